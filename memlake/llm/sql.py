@@ -9,7 +9,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS s FROM w
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w
 ), sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 hit AS (
   SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
@@ -24,4 +24,106 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.root AS component_id,
 FROM sets s JOIN (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id) r USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1}
+
+_METRICS = ("symbols", "dup_lines", "repeats", "word_length")
+_FLOORS = {"symbols": 150.0, "dup_lines": 1000.0, "repeats": 500.0, "word_length": 60.0}
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP2 = f"""
+WITH t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
+    list_filter(string_split(text, chr(10)), lambda l: translate(l, {_SPACE}, '') <> '') AS ls FROM t
+), win AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS g FROM w WHERE len(ws) >= 3
+), twice AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS pos FROM twice) GROUP BY doc_id
+), s AS (
+  SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(translate(text, {_SPACE}, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id)
+), m AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS symbols,
+    CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines,
+    CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END AS repeats,
+    CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length FROM s
+), v AS (
+  SELECT lang, source, unnest({list(_METRICS)}) AS metric, unnest([symbols, dup_lines, repeats, word_length]) AS x FROM m WHERE NOT base_failed
+), b AS (
+  SELECT lang, source, metric, CASE WHEN x <= 0 THEN 0 ELSE 1 + CAST(floor(ln(x) / ln(1.02)) AS INT) END AS bucket FROM v
+), leveled AS (
+  SELECT 2 AS level, lang, source, metric, bucket, count(*) AS n FROM b GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM b GROUP BY ALL
+  UNION ALL SELECT 0, NULL, NULL, metric, bucket, count(*) FROM b GROUP BY ALL
+), r AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric) AS docs, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS up_to,
+    CASE WHEN bucket = 0 THEN 0.0 ELSE pow(1.02, bucket) END AS x FROM leveled
+), q AS (
+  SELECT level, lang, source, metric, max(docs) AS docs, min(x) FILTER (4 * up_to >= docs) AS q1, min(x) FILTER (4 * up_to >= 3 * docs) AS q3 FROM r GROUP BY ALL
+), f AS (
+  SELECT level, lang, source, docs, metric,
+    q1 - 3 * greatest(q3 - q1, CASE metric {' '.join(f"WHEN '{k}' THEN {x}" for k, x in _FLOORS.items())} END) AS low,
+    q3 + 3 * greatest(q3 - q1, CASE metric {' '.join(f"WHEN '{k}' THEN {x}" for k, x in _FLOORS.items())} END) AS high FROM q
+), l AS (
+  SELECT level, lang, source, max(docs) AS docs, {', '.join(f"max(high) FILTER (metric = '{k}') AS {k}_high" for k in _METRICS)},
+    max(low) FILTER (metric = 'word_length') AS word_length_low FROM f GROUP BY ALL
+)
+SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed,
+  NOT m.base_failed AND {' AND '.join(f"coalesce(m.{k} <= coalesce(a.{k}_high, b.{k}_high, c.{k}_high), true)" for k in _METRICS)}
+  AND coalesce(m.word_length >= coalesce(a.word_length_low, b.word_length_low, c.word_length_low), true) AS kept
+FROM m LEFT JOIN l a ON a.level = 2 AND a.docs >= 200 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
+LEFT JOIN l b ON b.level = 1 AND b.docs >= 200 AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN l c ON c.level = 0
+"""
+
+OP5 = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), '{UPPER}', '{LOWER}') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
+), r AS (
+  SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(rhost, rpath, verdict)
+), best AS (
+  SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
+  FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
+"""
+
+
+def _secret_sql() -> str:
+    from memlake.llm.secret_scan import BASE_RULES, MORE_RULES
+
+    rules = BASE_RULES + MORE_RULES
+    parts = []
+    for i, r in enumerate(rules):
+        regex = r.regex.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, m, g, p FROM (SELECT doc_id, regexp_extract_all(text, '{regex}') AS m, "
+            f"regexp_extract_all(text, '{regex}', {r.group}) AS g, string_split_regex(text, '{regex}') AS p FROM t) WHERE len(m) > 0"
+        )
+    least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(rules))
+    base = [r.kind for r in BASE_RULES]
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({' UNION ALL '.join(parts)}),
+x AS (SELECT doc_id, k, kind, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM f),
+y AS (
+  SELECT doc_id, k, kind, length(m[i]) AS n, length(g[i]) AS good,
+    CAST(list_sum(list_transform(p[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS BIGINT) AS pos FROM x
+), z AS (SELECT *, kind || ':' || pos || ':' || (pos + n) AS span FROM y WHERE good >= CASE k {least} END)
+SELECT t.doc_id, {', '.join(f"count(z.k) FILTER (kind = '{k}') AS n_{k}" for k in base)},
+  sha256(coalesce(string_agg(span, ',' ORDER BY pos, k) FILTER (k < {len(base)}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY pos, k), '') AS spans
+FROM t LEFT JOIN z USING (doc_id) GROUP BY t.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1, "op2_quality_rules": OP2, "op5_url_filter": OP5, "op9_secret_scan": _secret_sql()}
