@@ -6,7 +6,9 @@ so that a source's words stay at its target.  Two fractional documents transfer
 mass (words) at random until one fraction is 0 or 1, which leaves the sum and
 each document's expectation as they are.  Fractions are combined in a tree: a
 source's documents are dealt to groups of about ``fan_in`` by a hash, each group
-leaves one residual, and residuals meet in groups of the next level.
+leaves one residual, and residuals meet in groups of the next level.  A group
+takes its documents by falling size, so that small ones settle the large ones;
+the last fraction of a source is rounded to the nearer whole number.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def _step(state: Column, x: Column, level: int, seed: int) -> Column:
     to_b = F.when(goes_up & (up == x["p"] * mass_b), 0.0).when(~goes_up & (down == (1 - x["p"]) * mass_b), 1.0).otherwise(x["p"] - moved / mass_b)
 
     def entry(e: Column, p: Column) -> Column:
-        return F.struct(e["h"].alias("h"), e["doc_id"].alias("doc_id"), e["size"].alias("size"), p.alias("p"))
+        return F.struct(e["size"].alias("size"), e["h"].alias("h"), e["doc_id"].alias("doc_id"), p.alias("p"))
 
     whole_a = (to_a <= EPSILON) | (to_a >= 1 - EPSILON)
     done = F.when(whole_a, entry(a, F.round(to_a))).otherwise(entry(x, F.round(to_b)))
@@ -92,7 +94,7 @@ def mix(
 
     ``size`` counts a text's words (null: none); documents without words are taken
     ``floor`` of the source's copies times, which adds no word.  ``taken = copies *
-    size``; the sum over a source is its target but for one document's rounding.
+    size``; the sum over a source is its target but for half a document.
     The same rows give the same result on every run: draws are hashes of id, text
     and seed, and rows that repeat another one whole are interchangeable.  A null
     source is a source of its own.  An empty table gives no rows.
@@ -117,16 +119,16 @@ def mix(
     whole = (F.col("p") <= EPSILON) | (F.col("size") == 0)
     settled = dealt.where(whole).select("doc_id", "size", *keys, F.lit(0.0).alias("p"))
     open_rows = dealt.where(~whole).select("doc_id", "size", *keys, "p", "h", F.ceil(F.col("n") / fan_in).alias("groups"))
-    start = F.struct(F.lit(None).cast("struct<h:bigint,doc_id:bigint,size:bigint,p:double>").alias("rest"), F.expr("cast(array() as array<struct<h:bigint,doc_id:bigint,size:bigint,p:double>>)").alias("done"))
+    start = F.struct(F.lit(None).cast("struct<size:bigint,h:bigint,doc_id:bigint,p:double>").alias("rest"), F.expr("cast(array() as array<struct<size:bigint,h:bigint,doc_id:bigint,p:double>>)").alias("done"))
     level, parts = 0, [settled]
     while True:
         group = F.pmod(F.xxhash64("h", F.lit(level)), F.col("groups"))
-        item = F.struct("h", "doc_id", "size", "p")
-        folded = open_rows.groupBy(*keys, "groups", group.alias("group")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+        item = F.struct("size", "h", "doc_id", "p")
+        folded = open_rows.groupBy(*keys, "groups", group.alias("group")).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
         folded = checkpointed(folded.select(*keys, "groups", F.aggregate("items", start, _stepper(level, seed)).alias("out")).select(*keys, "groups", "out.rest", "out.done"))
         parts.append(folded.select(*keys, F.explode("done").alias("e")).select("e.doc_id", "e.size", *keys, "e.p"))
         if folded.where("groups > 1").isEmpty():
-            last = folded.where("rest is not null").select("rest.doc_id", "rest.size", *keys, F.when(_uniform(F.col("rest.h"), seed) < F.col("rest.p"), 1.0).otherwise(0.0).alias("p"))
+            last = folded.where("rest is not null").select("rest.doc_id", "rest.size", *keys, F.round("rest.p").alias("p"))
             parts.append(last)
             break
         open_rows = folded.where("rest is not null").select("rest.doc_id", "rest.size", *keys, "rest.p", "rest.h", F.ceil(F.col("groups") / fan_in).alias("groups"))
