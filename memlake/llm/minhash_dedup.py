@@ -13,7 +13,8 @@ the rest is confirmed on the full shingle sets.
   are skipped and met only when whole signatures are compared.
 * Lists are split by set size, as sets whose sizes differ too much can't match.
 * Groups of equal sets are one entry.  Each list first links its members with one
-  pivot; then only members outside the list's largest component meet the others.
+  pivot; then only members outside the list's largest component meet the others,
+  and of these only such as have shingles enough in common with any other.
 """
 
 from __future__ import annotations
@@ -106,19 +107,27 @@ def _semi_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _confirmed(docs: DataFrame, entries: DataFrame, pairs: DataFrame, least: int, num: int, den: int, n: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those that share ``least`` tokens and, on full sets, den * shared >= num * union."""
-    tokens = entries.select(F.col("rep"), "tokens", "n_shingles")
-    left = tokens.toDF("a", "tokens_a", "n_a")
-    right = tokens.toDF("b", "tokens_b", "n_b")
-    likely = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= least).where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    likely = checkpointed(likely.select("a", "b", "n_a", "n_b"))
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _semi_by_id(docs, ids).mapInArrow(_sets(n), "id long, shingles array<long>").dropDuplicates(["id"])
-    sets = checkpointed(sets)
-    joined = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """``id, shingles`` of the documents of ``ids(id)``."""
+    return checkpointed(_semi_by_id(docs, ids).mapInArrow(_sets(n), "id long, shingles array<long>").dropDuplicates(["id"]))
+
+
+def _colliding(entries: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """``a, b, n_a, n_b`` of the pairs that share ``least`` tokens of their whole signatures."""
+    tokens = entries.select("rep", "tokens", "n_shingles")
+    joined = pairs.join(tokens.toDF("a", "tokens_a", "n_a"), "a").join(tokens.toDF("b", "tokens_b", "n_b"), "b")
+    return checkpointed(joined.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= least).select("a", "b", "n_a", "n_b"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of ``pairs(a, b, n_a, n_b)`` those with den * shared >= num * union on full sets."""
+    joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return joined.withColumn("shared", shared).where(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b", "shared")
+    return joined.withColumn("shared", shared).where(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b")
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
 def near_duplicates(
@@ -166,7 +175,8 @@ def near_duplicates(
     # A pivot for each list: the first of its members by a hash.  Members that share no list have no pair.
     pivots = lists.groupBy("token", "band").agg(F.min_by("rep", F.xxhash64("rep")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
     first = lists.join(pivots, ["token", "band"]).where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-    links = checkpointed(_confirmed(docs, some, first, least, num, den, words_per_shingle))
+    likely = _colliding(some, first, least)
+    links = checkpointed(_confirmed(likely, _sets_of(docs, _members(likely), words_per_shingle), num, den))
     found = components(links)
 
     # What is left: pairs of a list in different components, one of them outside the list's largest.
@@ -175,11 +185,29 @@ def near_duplicates(
     sizes = labelled.groupBy("token", "band", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("token", "band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     open_lists = labelled.join(mixed, ["token", "band"])
-    outside = open_lists.where("root <> largest").select("token", "band", F.col("rep").alias("x"), F.col("root").alias("root_x"))
-    inside = open_lists.select("token", "band", F.col("rep").alias("y"), F.col("root").alias("root_y"))
-    rest = outside.join(inside, ["token", "band"]).where("root_x <> root_y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    more = _confirmed(docs, some, rest.join(first, ["a", "b"], "left_anti"), least, num, den, words_per_shingle)
-    found = components(links.select("a", "b").union(more.select("a", "b")))
+    open_lists = checkpointed(open_lists.join(pivots.drop("n"), ["token", "band"]))
+    needed = open_lists.select(F.explode(F.array("rep", "pivot")).alias("id")).distinct()
+    sets = _sets_of(docs, needed, words_per_shingle)
+    # Shingles that no other of these documents has are in no intersection, which bounds the size of a partner.
+    shingles = sets.select(F.col("id").alias("rep"), F.explode("shingles").alias("shingle"))
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    bounds = shingles.join(common, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("c"))
+    bounds = bounds.join(entries.select("rep", "n_shingles"), "rep").select("rep", F.col("n_shingles").alias("n"), (F.floor(F.col("c") * (num + den) / num) - F.col("n_shingles")).alias("reach"))
+    open_lists = open_lists.join(checkpointed(bounds.where("reach >= 1")), "rep")
+    smallest = open_lists.groupBy("token", "band").agg(F.min("n").alias("smallest"))
+    open_lists = open_lists.join(smallest, ["token", "band"]).where(F.col("reach") >= F.greatest(F.col("smallest"), F.ceil(F.col("n") * num / den)))
+    # Members of a list meet as differences from its pivot's set: short arrays, whose own difference is that of the sets.
+    attached = open_lists.groupBy("pivot", "rep", "root", "n", "reach").agg(F.bool_or(F.col("root") != F.col("largest")).alias("outside"))
+    deltas = attached.join(sets.toDF("rep", "own"), "rep").join(sets.toDF("pivot", "others"), "pivot")
+    deltas = checkpointed(deltas.select("pivot", "rep", "root", "n", "reach", "outside", F.concat(F.array_except("own", "others"), F.array_except("others", "own")).alias("delta")))
+    x = deltas.where("outside").select("pivot", *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "reach", "delta")])
+    y = deltas.select(F.col("pivot").alias("same"), *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "reach", "delta")])
+    apart = F.size("delta_x") + F.size("delta_y") - 2 * F.size(F.array_intersect("delta_x", "delta_y"))
+    room = (den - num) * (F.col("n_x") + F.col("n_y"))
+    fits = (F.col("root_x") != F.col("root_y")) & (F.col("reach_x") >= F.col("n_y")) & (F.col("reach_y") >= F.col("n_x"))
+    fits = fits & ((den + num) * F.abs(F.size("delta_x") - F.size("delta_y")) <= room) & ((den + num) * apart <= room)
+    more = x.join(y, (F.col("pivot") == F.col("same")) & fits).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
+    found = components(links.union(more))
 
     roots = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     joined = signed.join(roots, key, "left")
