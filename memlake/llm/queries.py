@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.llm import language_id
 from memlake.llm.minhash_dedup import near_duplicates
 from memlake.llm.mixing import mix
 from memlake.llm.quality_rules import apply_quality_rules
 from memlake.llm.secret_scan import BASE_RULES, scan_secrets, spans_text
+from memlake.llm.toxicity import held_out, score_documents
+from memlake.llm.toxicity import train as train_toxicity
 from memlake.llm.url_filter import filter_urls, rules_frame
 
 
@@ -30,10 +33,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = train_toxicity(documents, labels.where(~held_out(F.col("doc_id"))))
+    scored = score_documents(documents, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules_frame(spark))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    prototypes = language_id.train(documents.where(~out))
+    return language_id.identify(documents, prototypes).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -50,7 +67,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op7_language_id": op7_language_id,
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
 }
