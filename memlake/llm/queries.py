@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import language_id, pii
+from memlake.llm import language_id, lm_score, pii
+from memlake.llm.decontaminate import contaminated_spans
 from memlake.llm.minhash_dedup import near_duplicates
 from memlake.llm.mixing import mix
 from memlake.llm.quality_rules import apply_quality_rules
@@ -40,10 +41,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules_frame(spark))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score_documents(documents, lm_score.train(documents, good), good)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     out = language_id.held_out(F.col("doc_id"))
@@ -75,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
+    "op6_lm_score": op6_lm_score,
     "op7_language_id": op7_language_id,
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from memlake.llm.session import checkpointed
 from memlake.llm.textscan import LETTERS, Chunk, chunks, words
@@ -25,6 +26,9 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[0x21, 0x2E, 0x3F, 0x0A]] = True
 
 
+_SENTENCES = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())]))
+
+
 class Model(NamedTuple):
     """Word hashes in ascending order, their weights, and the weight of any sentence."""
 
@@ -200,7 +204,15 @@ def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
     same score each.  Other columns are ignored.
     """
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_score(model, threshold), "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
+    return score_rows(rows, model, threshold=threshold).select("doc_id", "score", "sentences")
+
+
+def score_rows(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents' own columns with ``score`` and ``sentences``, replacing columns of these names."""
+    own = documents.drop("score", "sentences")
+    text = F.col(text_col).cast("string").alias("_scored")
+    schema = StructType([*own.schema.fields, StructField("score", DoubleType()), StructField("sentences", _SENTENCES)])
+    return own.select("*", text).mapInArrow(_score(model, threshold), schema)
 
 
 def held_out(id_col: Column) -> Column:
