@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from memlake.plans import retrieval
+
+_MODULES: tuple[ModuleType, ...] = (retrieval,)
+
+#: Each module names its queries; a query's SQL is the constant of its name in capitals, if it has any.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(m, name) for m in _MODULES for name in m.NAMES}
+ORACLES: dict[str, str] = {name: getattr(m, name.upper()) for m in _MODULES for name in m.NAMES if hasattr(m, name.upper())}
