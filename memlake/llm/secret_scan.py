@@ -33,7 +33,8 @@ class Rule(NamedTuple):
 BASE_RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    # Runs are maximal, so the length may stand in the regex: shorter ones are no matches to drop.
+    Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 MORE_RULES = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 0, 24),
@@ -53,23 +54,24 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
     def runs(nodes, heads: list[list[str]]) -> list[list[str]]:
         # A head is a list of literal runs; the last run is still open.
         for kind, what in nodes:
+            broken = [[*h, ""] for h in heads]
             if kind is _op.LITERAL:
                 heads = [[*h[:-1], h[-1] + chr(what).lower()] for h in heads]
             elif kind is _op.SUBPATTERN:
                 heads = runs(what[-1], heads)
             elif kind is _op.BRANCH:
                 heads = [h for branch in what[1] for h in runs(branch, heads)]
-            elif kind is _op.IN and len(what) <= 8 and all(k is _op.LITERAL for k, _ in what):
+            elif kind is _op.IN and len(what) <= 8 and all(k is _op.LITERAL and chr(c).isalnum() for k, c in what):
                 heads = [[*h[:-1], h[-1] + chr(c).lower()] for h in heads for _, c in what]
-            elif kind is _op.MAX_REPEAT and what[0] == 0 and what[1] == 1 and len(what[2]) == 1:
+            elif kind is _op.MAX_REPEAT and what[0] == 0 and what[1] == 1 and all(k is _op.LITERAL for k, _ in what[2]):
                 heads = [[*h] for h in heads] + runs(what[2], heads)
             elif kind is _op.MAX_REPEAT and what[0] > 0:
                 heads = [[*h, ""] for h in runs(what[2], heads)]
             else:
-                heads = [[*h, ""] for h in heads]
+                heads = broken
             heads = [list(h) for h in dict.fromkeys(map(tuple, heads))]
             if len(heads) > MOST_ALTERNATIVES:
-                heads = [[""]]
+                heads = broken
         return heads
 
     found = [frozenset(r[i : i + 3] for r in head for i in range(len(r) - 2)) for head in runs(_regex.parse(regex), [[""]])]
