@@ -79,8 +79,10 @@ def _groups(column: pa.Array, n: int, dimensions: int) -> Iterator[tuple[int, _G
             docs = last - first
             doc = np.repeat(np.arange(docs), np.diff(bounds))
             letters = np.bincount(doc, part != SPACE_LETTER, docs)
-            text = np.insert(part, bounds, SPACE_LETTER) if docs else part
-            owner = np.insert(doc, bounds, np.r_[np.arange(docs), docs - 1])
+            # One space before and one after each: whatever its neighbours are, a document has the same n-grams.
+            around = np.repeat(bounds, 2)[1:-1]
+            text = np.insert(part, around, SPACE_LETTER)
+            owner = np.insert(doc, around, np.repeat(np.arange(docs), 2))
             # Runs of spaces are one.
             keep = np.ones(len(text), bool)
             keep[1:] = (text[1:] != SPACE_LETTER) | (text[:-1] != SPACE_LETTER) | (owner[1:] != owner[:-1])
