@@ -26,9 +26,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 #: Tokens: runs of letters, runs of digits, other characters but spaces one by one.
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
-_AT = re.compile(r"@|[\[(]\s*at\s*[\])]", re.IGNORECASE)
-_HINT = re.compile(r"[0-9@]")
-#: A line's tokens within this reach of a digit or an at sign are decoded; what is further off has the label O.
+#: What a span that the field calls an email must have: name, at, host and a dot, the signs perhaps written out.
+_ADDRESS = re.compile(r"\w\s*(@|[\[(]\s*at\s*[\])])\s*[\w-]+\s*(\.|[\[(]\s*dot\s*[\])])\s*\w", re.IGNORECASE)
+_HINT = re.compile(r"[0-9@]|[\[(]\s*[aA][tT]\s*[\])]")
+#: A line's tokens within this reach of a digit or an at sign, written out or not, are decoded; what is further off has the label O.
 REACH = 6
 
 #: Tag (the label), then text, alternating: a small labelled table.  O is no personal data.
@@ -321,7 +322,7 @@ def _decoded(field: Field, texts: list[str], pieces: list[tuple[int, int, int]])
         start, end = base + spans[lo - first[piece]][0], base + spans[hi - 1 - first[piece]][1]
         name, text = KINDS[labels[lo] - 1], texts[i][start:end]
         digits = len(_NOT_DIGIT.sub("", text))
-        if (name == "email" and _AT.search(text)) or (name == "phone" and 7 <= digits <= 15) or (name == "card" and 13 <= digits <= 19) or (name == "ip" and digits >= 4 and text.count(".") == 3):
+        if (name == "email" and _ADDRESS.search(text)) or (name == "phone" and 7 <= digits <= 15) or (name == "card" and 13 <= digits <= 19) or (name == "ip" and digits >= 4 and text.count(".") == 3):
             yield i, name, start, end
 
 
