@@ -2,9 +2,8 @@
 
 Only documents carry labels.  A sentence's score is logistic in the words it has;
 a document's score is their noisy-or, ``1 - prod(1 - p)``: one offending sentence
-is enough, and it can be pointed out.  The words that the model looks at are
-chosen by counts over all training documents; the weights are fitted on a sample
-of at most ``most_documents`` of them.
+is enough, and it can be pointed out.  The words that the model looks at and their
+weights are fitted on a sample of about ``most_documents`` labelled documents.
 """
 
 from __future__ import annotations
