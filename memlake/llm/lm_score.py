@@ -82,10 +82,10 @@ def train(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     flagged = _flagged(documents, target_ids, id_col, text_col).select("wanted", "text")
     counts = flagged.mapInArrow(_count, "bucket int, target long, everything long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("everything").alias("everything"))
     # One row for each bucket at most, however large the corpus is.
-    got = counts.toPandas()
+    got = counts.toArrow()
     table = np.zeros((2, (1 << PAIR_BITS) + (1 << WORD_BITS)))
-    at = got["bucket"].to_numpy(np.int64)
-    table[0, at], table[1, at] = got["target"].to_numpy(float), got["everything"].to_numpy(float)
+    at = got["bucket"].to_numpy()
+    table[0, at], table[1, at] = got["target"].to_numpy(), got["everything"].to_numpy()
     sums = table[:, 1 << PAIR_BITS :].sum(axis=1)
     if sums[0] == 0:
         table[0], sums[0] = table[1], sums[1]
