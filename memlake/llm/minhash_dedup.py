@@ -211,5 +211,5 @@ def near_duplicates(
 
     roots = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     joined = signed.join(roots, key, "left")
-    component = F.coalesce("root", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
