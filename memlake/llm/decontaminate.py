@@ -1,9 +1,10 @@
-"""Benchmark decontamination by rare n-gram seeds and local alignment.
+"""Benchmark decontamination by n-gram seeds and local alignment.
 
 Test items are cut into n-grams of words.  A filter of fixed size over the items'
 n-grams keeps, in one pass over the training texts, only the stretches of words
-around possible hits; a join on the n-gram gives the items.  Of an item's n-grams
-only those that are rare for it count as seeds.  Each seeded stretch is aligned
+around possible hits; a join on the n-gram gives the items.  Every n-gram that a
+text shares with an item is a seed, however many texts have it.  A stretch that has
+too few of its item's words for the least score is left; each other one is aligned
 with its item by Smith-Waterman over words, which also scores edited copies.
 """
 
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,24 +111,28 @@ def align(items: np.ndarray, item_sizes: np.ndarray, texts: np.ndarray, text_siz
     return best // unit, best % unit, best_end
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        items, texts = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        order = sorted(range(len(items)), key=lambda k: (len(items[k]), len(texts[k])))
-        score, start, end = (np.zeros(len(items), np.int64) for _ in range(3))
-        for lo in range(0, len(order), 256):
-            part = order[lo : lo + 256]
-            m, w = np.array([len(items[k]) for k in part]), np.array([len(texts[k]) for k in part])
-            # Padding differs on both sides and equals no hash of a real text but by odds of 2^-63.
-            a, b = np.zeros((len(part), max(1, m.max())), np.int64), np.ones((len(part), max(1, w.max())), np.int64)
-            for r, k in enumerate(part):
-                a[r, : m[r]], b[r, : w[r]] = items[k], texts[k]
-            score[part], start[part], end[part] = align(a, m, b, w)
-        first = np.asarray(batch.column(2))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(score / (MATCH * np.maximum(1, np.asarray(batch.column(3))))), pa.array(first + start), pa.array(first + end)],
-            ["id", "item", "score", "first_word", "end_word"],
-        )
+def _aligned(least_score: float):
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [(np.asarray(c.flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(c)))]) for c in (batch.column(4), batch.column(5))]
+            items, texts = ([values[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)] for values, at in lists)
+            # An alignment has at most as many matches as the item has words that the text has too.
+            able = [k for k in range(len(items)) if np.isin(items[k], texts[k]).sum() >= least_score * len(items[k])]
+            order = sorted(able, key=lambda k: (len(items[k]), len(texts[k])))
+            score, start, end = (np.zeros(len(items), np.int64) for _ in range(3))
+            for lo in range(0, len(order), 256):
+                part = order[lo : lo + 256]
+                m, w = np.array([len(items[k]) for k in part]), np.array([len(texts[k]) for k in part])
+                # Padding differs on both sides and equals no hash of a real text but by odds of 2^-63.
+                a, b = np.zeros((len(part), max(1, m.max())), np.int64), np.ones((len(part), max(1, w.max())), np.int64)
+                for r, k in enumerate(part):
+                    a[r, : m[r]], b[r, : w[r]] = items[k], texts[k]
+                score[part], start[part], end[part] = align(a, m, b, w)
+            first = np.asarray(batch.column(2))
+            columns = [batch.column(0), batch.column(1), pa.array(score / (MATCH * np.maximum(1, np.asarray(batch.column(3))))), pa.array(first + start), pa.array(first + end)]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(able, pa.int64())) for c in columns], ["id", "item", "score", "first_word", "end_word"])
+
+    return aligned
 
 
 def contaminated_spans(
@@ -144,10 +150,9 @@ def contaminated_spans(
     The score is that of the best local alignment (2 for equal words, -1 for other
     words and gaps) by what the whole item would have; the words are those of the
     document's best copy, end exclusive.  Words are runs of letters and digits, A-Z
-    folded.  A seed is an n-gram of an item that no more documents have than twice
-    the median of the item's n-grams and 8 more.  Null and empty texts match
-    nothing, nor do items of fewer than n words, which have no seed.  Rows that
-    repeat an id count as one document.  Other columns are ignored.
+    folded.  Every n-gram of an item is a seed.  Null and empty texts match nothing,
+    nor do items of fewer than n words, which have no seed.  Rows that repeat an id
+    count as one document.  Other columns are ignored.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null")
@@ -166,13 +171,9 @@ def contaminated_spans(
 
     hits = found.select("id", "first", F.explode(F.arrays_zip("places", "grams")).alias("h")).select("id", "first", F.col("h.places").alias("at"), F.col("h.grams").alias("gram"))
     hits = hits.join(seeds, "gram")
-    spread = hits.groupBy("item", "gram").agg(F.countDistinct("id").alias("df"))
-    spread = checkpointed(spread)
-    usual = spread.groupBy("item").agg(F.percentile("df", 0.5).alias("usual"))
-    rare = spread.join(usual, "item").where(F.col("df") <= 2 * F.col("usual") + 8).select("item", "gram")
     # Seeds of one copy lie on near diagonals: one window for each band of them.
     band = F.floor((F.col("at") - F.col("place")) / (F.col("m") + 1))
-    windows = hits.join(rare, ["item", "gram"]).groupBy("id", "first", "item", "m", band.alias("band"))
+    windows = hits.groupBy("id", "first", "item", "m", band.alias("band"))
     windows = windows.agg(F.min(F.col("at") - F.col("place")).alias("lo"), F.max(F.col("at") - F.col("place") + F.col("m")).alias("hi"))
     slack = F.floor(F.col("m") / 2) + 8
     lo, hi = F.greatest(F.lit(1), F.col("lo") - slack + 1), F.col("hi") + slack + 1
@@ -180,7 +181,7 @@ def contaminated_spans(
     once = found.select("id", "first", "words").dropDuplicates(["id", "first"])
     texts = windows.join(once, ["id", "first"]).select("id", "item", "m", (F.col("first") + lo - 1).alias("first"), F.slice("words", lo, hi - lo).alias("text_words"))
     ready = texts.join(items.select("item", F.col("words").alias("item_words")), "item").select("id", "item", "first", "m", "item_words", "text_words")
-    scored = ready.mapInArrow(_aligned, "id long, item long, score double, first_word long, end_word long").where(F.col("score") >= least_score)
+    scored = ready.mapInArrow(_aligned(least_score), "id long, item long, score double, first_word long, end_word long").where(F.col("score") >= least_score)
     best = scored.groupBy("id", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("f"), "end_word")).alias("b"))
     return best.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "b.score", (-F.col("b.f")).alias("first_word"), "b.end_word")
 

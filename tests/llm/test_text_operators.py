@@ -81,6 +81,16 @@ def test_leaks_match_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_an_edited_copy_in_many_documents_is_found_next_to_an_exact_one(spark):
+    item = [f"item{k}" for k in range(40)]
+    edited = [f"other{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
+    # 101 also has words of the item far from the copy, 102 has too few of them.
+    rows = [(i, f"before {i} " + " ".join(edited) + " after") for i in range(100)] + [(100, " ".join(item)), (101, " ".join([*item[:4], *["filler"] * 300, *edited])), (102, " ".join([*item[:4], "filler", *item[20:24]]))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: round(r.score, 9) for r in decontaminate.contaminated_spans(frame(spark, rows), bench).collect()}
+    assert got == {**dict.fromkeys(range(100), 0.7125), 100: 1.0, 101: 0.7125}
+
+
 def test_leak_edge_cases(spark):
     item = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "too short here"), (None, item)], "item_id long, text string")
