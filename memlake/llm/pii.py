@@ -254,26 +254,31 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Pieces of lines around digits and at signs, cut at spaces about ``REACH`` words off."""
+    """Pieces of lines around digits and at signs, cut at spaces about ``REACH`` words off every one of them."""
     out: list[tuple[int, int]] = []
+    word = 0  # The word of the last hint ends here: hints in one word reach as far.
     for m in _HINT.finditer(text):
         at = m.start()
-        if out and at < out[-1][1]:
+        if out and at < word:
             continue
-        floor = max(out[-1][1] if out else 0, text.rfind("\n", 0, at) + 1)
-        lo = at
-        for _ in range(REACH):
-            cut = text.rfind(" ", floor, max(floor, lo - 1))
-            lo = cut + 1 if cut >= 0 else floor
+        held = bool(out) and at < out[-1][1]
         ceiling = text.find("\n", at)
         ceiling = len(text) if ceiling < 0 else ceiling
-        hi = at
+        hi, word = at, 0
         for _ in range(REACH):
             cut = text.find(" ", hi + 1, ceiling)
+            hi = ceiling if cut < 0 else cut
+            word = word or hi
             if cut < 0:
-                hi = ceiling
                 break
-            hi = cut
+        if held:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+            continue
+        floor = max(out[-1][1] if out else 0, text.rfind("\n", 0, at) + 1)
+        lo = at
+        for _ in range(REACH):
+            cut = text.rfind(" ", floor, max(floor, lo - 1))
+            lo = cut + 1 if cut >= 0 else floor
         if out and lo <= out[-1][1] and "\n" not in text[out[-1][1] : at]:
             out[-1] = (out[-1][0], hi)
         else:

@@ -160,6 +160,23 @@ def test_field_adds_what_patterns_miss(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_every_hint_reaches_as_far(spark):
+    line = "at 5 pm or mail info [at] example [dot] com now"
+    found = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, [(1, line), (2, line + "\nnext line of plain words")])).collect()}
+    for spans in found.values():
+        assert any(s.kind == "email" and line[s.start : s.end].startswith("info [at] example [dot] com") for s in spans)
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", "a", "7", "x@y", "[at]", "12 3"]) + rng.choice([" ", " ", " ", " ", "\n"]) for _ in range(rng.randrange(1, 60)))
+        windows = pii._windows(text)
+        assert all(a[1] <= b[0] for a, b in zip(windows, windows[1:], strict=False))
+        for at in (m.start() for m in pii._HINT.finditer(text)):
+            line_end = (text + "\n").find("\n", at)
+            cuts = [k for k in range(at + 1, line_end) if text[k] == " "]
+            end = cuts[pii.REACH - 1] if len(cuts) >= pii.REACH else line_end
+            assert any(lo <= at and end <= hi <= line_end for lo, hi in windows), (text, at)
+
+
 def test_redaction_takes_every_span_and_keeps_the_columns(spark):
     rows = [(1, "mail a@b.example or 10.0.0.1 now"), (2, None), (3, "nothing here")]
     docs = frame(spark, rows)
