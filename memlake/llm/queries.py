@@ -52,7 +52,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_score.score_documents(documents, lm_score.train(documents, good), good)
+    return lm_score.train_and_score(documents, good)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

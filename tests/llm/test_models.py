@@ -191,6 +191,20 @@ def test_losses_match_brute_force(spark):
     assert sum(unseen) / len(unseen) < sum(others) / len(others)
 
 
+def test_lm_counts_stay_exact_with_many_words(spark):
+    """More different words and pairs than any fixed number of buckets of 2^18 and 2^20 keeps apart."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"x{rng.randrange(400_000)}" for _ in range(12_000)), None) for i in range(60)]
+    target = set(range(0, 60, 3))
+    docs, ids = frame(spark, rows).repartition(5), spark.createDataFrame([(i,) for i in target], "doc_id long")
+    want = brute_scores(rows, target)
+    both = [lm_score.score_documents(docs, lm_score.train(docs, ids), ids).collect(), lm_score.train_and_score(docs, ids).collect()]
+    assert [len(rows) for rows in both] == [60, 60]
+    for r in [r for rows in both for r in rows]:
+        n, a, b = want[r.doc_id]
+        assert r.n_tokens == n and abs(r.loss_target - a) < 1e-6 and abs(r.loss_background - b) < 1e-6
+
+
 def test_lm_edge_cases(spark):
     docs = frame(spark, [(1, "a b c", None), (None, "a b", None), (2, "Zz! " * 50_000, None), (1, "a b c", None)])
     nobody = spark.createDataFrame([], "doc_id long")
