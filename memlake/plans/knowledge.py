@@ -214,9 +214,9 @@ def relation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions among results stand for their nations."""
     nation = table(spark, sf_dir, "nation")
     relations = nation.groupBy((F.col("n_regionkey") + 1000).cast("long").alias("id")).agg(F.collect_list(F.col("n_nationkey").cast("long")).alias("participants"))
-    customers = table(spark, sf_dir, "customer").where("c_custkey <= 200")
+    customers = table(spark, sf_dir, "customer")
     plain = customers.select(F.col("c_custkey").alias("query_id"), F.col("c_nationkey").cast("long").alias("id"), F.lit("fact").alias("kind"))
-    regions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 5 + 1000).alias("id"), F.lit("relation").alias("kind"))
+    regions = customers.select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 5 + 1000).alias("id"), F.lit("relation").alias("kind"))
     excluded = nation.where("n_nationkey % 7 = 0").select(F.col("n_nationkey").cast("long").alias("id"))
     return graph.expand_relations(plain.unionByName(regions), relations, excluded)
 
