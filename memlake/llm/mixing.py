@@ -41,11 +41,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
     limited = totals.withColumn("weight", weight).withColumn("limit", F.col("source_size") * float(most))
     by_limit = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
     before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
+    turn_to_fill = F.row_number().over(by_limit)
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levelled = limited.withColumn("level", level)
-    # The first source that isn't full at its level sets the level of all that follow.
-    water = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct(F.col("limit") / F.col("weight"), F.col("level").alias("level")))).over(everything)["level"]
+    levelled = limited.withColumn("level", level).withColumn("place", turn_to_fill)
+    # The first source that isn't full at its level sets the level of all that follow, of equal limits too.
+    water = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct("place", "level"))).over(everything)["level"]
     return levelled.withColumn("water", water).select("source", "source_size", F.least(F.col("limit"), F.coalesce(F.col("water") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
@@ -68,7 +69,7 @@ def _step(state: Column, x: Column, level: int, seed: int) -> Column:
     to_b = F.when(goes_up & (up == x["p"] * mass_b), 0.0).when(~goes_up & (down == (1 - x["p"]) * mass_b), 1.0).otherwise(x["p"] - moved / mass_b)
 
     def entry(e: Column, p: Column) -> Column:
-        return F.struct(e["size"].alias("size"), e["h"].alias("h"), e["doc_id"].alias("doc_id"), p.alias("p"))
+        return F.struct(e["size"].alias("size"), e["h"].alias("h"), e["doc_id"].alias("doc_id"), e["text_hash"].alias("text_hash"), p.alias("p"))
 
     whole_a = (to_a <= EPSILON) | (to_a >= 1 - EPSILON)
     done = F.when(whole_a, entry(a, F.round(to_a))).otherwise(entry(x, F.round(to_b)))
@@ -90,23 +91,30 @@ def mix(
     seed: int = 17,
     fan_in: int = 128,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for each row.
+    """``doc_id, source, size, source_size, target, copies, taken, text_hash`` for each row.
 
     ``size`` counts a text's words (null: none); documents without words are taken
     ``floor`` of the source's copies times, which adds no word.  ``taken = copies *
     size``; the sum over a source is its target but for half a document.
-    The same rows give the same result on every run: draws are hashes of id, text
-    and seed, and rows that repeat another one whole are interchangeable.  A null
-    source is a source of its own.  An empty table gives no rows.
+    The same rows give the same result on every run: draws are hashes of id, text,
+    seed and, for rows that repeat another one whole, a running number; which of
+    these rows gets which copies is open.  Ties of size go by the draws' hash.  A
+    null source is a source of its own, a null id one like any other.  A text longer
+    than its source's target is taken a whole number of times, so that source may
+    miss its target by half that text.  An empty table gives no rows.  Other columns
+    are ignored.  ``text_hash`` is ``xxhash64`` of the text, null as empty.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = documents.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("h"),
+        F.xxhash64(text).alias("text_hash"),
     )
-    rows = checkpointed(rows)
+    # Equal rows are counted and numbered, so that each has draws, and a group, of its own.
+    kinds = rows.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("n"))
+    numbered = kinds.select("doc_id", "source", "size", "text_hash", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    rows = checkpointed(numbered.select("doc_id", "source", "size", "text_hash", F.xxhash64("doc_id", "text_hash", "k", F.lit(seed)).alias("h")))
     targets = source_targets(rows.select("source", "size"), weights, most)
     counts = rows.where("size > 0").groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "s")
     targets = checkpointed(targets.join(counts, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", F.coalesce("n", F.lit(0)).alias("n")))
@@ -117,24 +125,24 @@ def mix(
 
     keys = ["source", "source_size", "target", "floor"]
     whole = (F.col("p") <= EPSILON) | (F.col("size") == 0)
-    settled = dealt.where(whole).select("doc_id", "size", *keys, F.lit(0.0).alias("p"))
-    open_rows = dealt.where(~whole).select("doc_id", "size", *keys, "p", "h", F.ceil(F.col("n") / fan_in).alias("groups"))
-    start = F.struct(F.lit(None).cast("struct<size:bigint,h:bigint,doc_id:bigint,p:double>").alias("rest"), F.expr("cast(array() as array<struct<size:bigint,h:bigint,doc_id:bigint,p:double>>)").alias("done"))
+    settled = dealt.where(whole).select("doc_id", "text_hash", "size", *keys, F.lit(0.0).alias("p"))
+    open_rows = dealt.where(~whole).select("doc_id", "text_hash", "size", *keys, "p", "h", F.ceil(F.col("n") / fan_in).alias("groups"))
+    start = F.struct(F.lit(None).cast("struct<size:bigint,h:bigint,doc_id:bigint,text_hash:bigint,p:double>").alias("rest"), F.expr("cast(array() as array<struct<size:bigint,h:bigint,doc_id:bigint,text_hash:bigint,p:double>>)").alias("done"))
     level, parts = 0, [settled]
     while True:
         group = F.pmod(F.xxhash64("h", F.lit(level)), F.col("groups"))
-        item = F.struct("size", "h", "doc_id", "p")
+        item = F.struct("size", "h", "doc_id", "text_hash", "p")
         folded = open_rows.groupBy(*keys, "groups", group.alias("group")).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
         folded = checkpointed(folded.select(*keys, "groups", F.aggregate("items", start, _stepper(level, seed)).alias("out")).select(*keys, "groups", "out.rest", "out.done"))
-        parts.append(folded.select(*keys, F.explode("done").alias("e")).select("e.doc_id", "e.size", *keys, "e.p"))
+        parts.append(folded.select(*keys, F.explode("done").alias("e")).select("e.doc_id", "e.text_hash", "e.size", *keys, "e.p"))
         if folded.where("groups > 1").isEmpty():
-            last = folded.where("rest is not null").select("rest.doc_id", "rest.size", *keys, F.round("rest.p").alias("p"))
+            last = folded.where("rest is not null").select("rest.doc_id", "rest.text_hash", "rest.size", *keys, F.round("rest.p").alias("p"))
             parts.append(last)
             break
-        open_rows = folded.where("rest is not null").select("rest.doc_id", "rest.size", *keys, "rest.p", "rest.h", F.ceil(F.col("groups") / fan_in).alias("groups"))
+        open_rows = folded.where("rest is not null").select("rest.doc_id", "rest.text_hash", "rest.size", *keys, "rest.p", "rest.h", F.ceil(F.col("groups") / fan_in).alias("groups"))
         level += 1
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     copies = (F.col("floor") + F.round("p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "text_hash")

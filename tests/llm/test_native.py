@@ -107,6 +107,28 @@ def test_targets_match_repeated_resharing(spark):
         assert got == pytest.approx(water(sizes, (5, 2, 1)))
 
 
+def test_targets_with_ties_are_whole(spark):
+    """Equal limits by weight: the first that isn't full sets the level, and the targets add up."""
+    cases = [[1000, 1000, 10, 50, 1, 50, 1000, 1], [10] * 7, [5, 2, 1] * 3, [0, 0, 3], [7], [0, 0]]
+    for sizes in cases:
+        named = {(None if k == len(sizes) - 1 else f"s{k}"): n for k, n in enumerate(sizes)}
+        got = {r.source: r.target for r in source_targets(spark.createDataFrame(list(named.items()), "source string, size long")).collect()}
+        assert got == pytest.approx(water(named, (5, 2, 1)))
+        assert sum(got.values()) == pytest.approx(sum(sizes)) and min(got.values()) >= 0
+    rows = [(s, "w " * n, None, f"s{s}", None) for s, n in enumerate(cases[0])]
+    assert all(r.taken >= 0 for r in mix(spark.createDataFrame(rows, DOCS)).collect())
+
+
+def test_mix_of_one_row_many_times(spark):
+    """Equal rows have draws of their own: a group never holds all of them."""
+    rows = [(1, "a b c", None, "x", None)] * 900 + [(2, "a " * 4000, None, "y", None), (None, None, None, None, None)]
+    got = mix(spark.createDataFrame(rows, DOCS), fan_in=8).collect()
+    assert len(got) == 902
+    taken = sum(r.taken for r in got if r.source == "x")
+    assert taken == pytest.approx(next(r.target for r in got if r.source == "x"), abs=3)
+    assert len({r.copies for r in got if r.source == "x"}) == 2
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), None, rng.choice(["a", "a", "a", "b", "c", None]), None) for i in range(3000)]
