@@ -13,8 +13,11 @@ the rest is confirmed on the full shingle sets.
   are skipped and met only when whole signatures are compared.
 * Lists are split by set size, as sets whose sizes differ too much can't match.
 * Groups of equal sets are one entry.  Each list first links its members with one
-  pivot; then only members outside the list's largest component meet the others,
-  and of these only such as have shingles enough in common with any other.
+  pivot.  Members that stay outside the list's largest component are then described
+  by their difference from the pivot's set.  Two such differences of small size are
+  always near each other, so the member of the smallest difference links them like
+  a hub, in a few rounds; pairs that remain must share elements of their
+  differences and are joined on the rarest of them, prefixes again.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.components import components
-from memlake.llm.session import checkpointed
+from memlake.llm.session import checkpointed, row_key
 from memlake.llm.textscan import chunks, grams, long_lists, mix, multipliers, words
 
 #: Most document ids that are broadcast (some 50 MB); beyond, the ids are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rounds in which lists are linked by hubs: they only spare work, what they leave is joined exactly.
+HUB_ROUNDS = 4
 
 
 def _shingles(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -54,7 +59,7 @@ def _sign(n: int, coordinates: int):
         flips, factors = multipliers(coordinates, 3), multipliers(coordinates, 5)
         for batch in batches:
             sizes, sums, folds, signatures = [], [], [], []
-            for counts, g in _shingles(batch.column(1), n):
+            for counts, g in _shingles(batch.column(2), n):
                 some = np.flatnonzero(counts)
                 firsts = np.r_[0, np.cumsum(counts[some])[:-1]] if len(some) else some
                 signature = np.zeros((len(some), coordinates), np.uint64)
@@ -73,12 +78,13 @@ def _sign(n: int, coordinates: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
+                        batch.column(1),
                         pa.array(np.concatenate(sizes), pa.int64()),
                         pa.array(np.concatenate(sums).view(np.int64)),
                         pa.array(np.concatenate(folds).view(np.int64)),
                         long_lists(np.concatenate([s for s, _ in signatures]), np.concatenate([c for _, c in signatures])),
                     ],
-                    ["id", "n_shingles", "set_sum", "set_fold", "tokens"],
+                    ["doc_id", "id", "n_shingles", "set_sum", "set_fold", "tokens"],
                 )
 
     return sign
@@ -126,6 +132,65 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return joined.withColumn("shared", shared).where(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b")
 
 
+def _mixed(deltas: DataFrame) -> DataFrame:
+    """The lists that have members of several roots, with the root that most of them have."""
+    sizes = deltas.groupBy("pivot", "root").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("pivot").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    return deltas.join(largest, "pivot")
+
+
+def _apart(x: str, y: str) -> Column:
+    """Size of the symmetric difference of two sets."""
+    return F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(x, y))
+
+
+def _links_of_roots(deltas: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: roots that the links among the lists' members join.
+
+    ``deltas(pivot, rep, root, n, delta)`` has the members of each list by their
+    difference from its pivot.  Members x and y are linked if ``(den + num) * |x - y|
+    <= (den - num) * (n_x + n_y)``, where x - y is the symmetric difference.  With
+    ``gap = (den + num) * |delta| - (den - num) * n`` this is so whenever their gaps
+    sum to 0 or less; then the member of the least gap is linked with both.  Other
+    linked pairs share (gap_x + gap_y) / (2 * (den + num)) elements of their deltas.
+    """
+    gap = (den + num) * F.size("delta") - (den - num) * F.col("n")
+    deltas = deltas.withColumn("gap", gap)
+    edges = deltas.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0)
+    for turn in range(HUB_ROUNDS):
+        current = checkpointed(_mixed(deltas))
+        if current.isEmpty():
+            return edges
+        # Two hubs for each list: the member of the least gap of all, and of those outside the largest component.
+        member = F.struct("rep", "root", "n", "delta")
+        rank = F.struct("gap", F.xxhash64("rep", F.lit(turn)))
+        hubs = current.groupBy("pivot").agg(F.min_by(member, rank).alias("first"), F.min_by(member, F.when(F.col("root") != F.col("largest"), F.struct(F.xxhash64("rep", F.lit(turn)) if turn % 2 else F.col("gap"), F.xxhash64("rep")))).alias("second"))
+        tried = current.join(hubs.select("pivot", F.explode(F.array("first", "second")).alias("hub")), "pivot").where(F.col("root") != F.col("hub.root"))
+        linked = (den + num) * (F.size("delta") + F.size("hub.delta") - 2 * F.size(F.array_intersect("delta", F.col("hub.delta")))) <= (den - num) * (F.col("n") + F.col("hub.n"))
+        more = checkpointed(tried.where(linked).select(F.greatest("root", "hub.root").alias("a"), F.least("root", "hub.root").alias("b")).distinct())
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
+        moved = components(more).toDF("root", "to")
+        deltas = current.drop("largest").join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+    current = _mixed(deltas).join(deltas.groupBy("pivot").agg(F.min("gap").alias("least_gap")), "pivot")
+    shares = F.greatest(F.lit(1), F.ceil((F.col("gap") + F.col("least_gap")) / (2 * (den + num)))).cast("int")
+    current = checkpointed(current.select("pivot", "rep", "root", "n", "delta", (F.col("root") != F.col("largest")).alias("outside"), shares.alias("shares")))
+    # Elements that only members of one root have are in no intersection that counts.
+    elements = current.select("pivot", "rep", "root", "shares", F.explode("delta").alias("element"))
+    common = elements.groupBy("pivot", "element").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot", "element", "m")
+    own = elements.join(common, ["pivot", "element"]).groupBy("pivot", "rep", "shares").agg(F.sort_array(F.collect_list(F.struct("m", "element"))).alias("own"))
+    own = own.where(F.size("own") >= F.col("shares")).select("pivot", "rep", F.slice("own", F.lit(1), F.size("own") - F.col("shares") + 1)["element"].alias("prefix"))
+    posted = checkpointed(current.join(own, ["pivot", "rep"]).withColumn("element", F.explode("prefix")).drop("prefix", "shares"))
+    x = posted.where("outside").select("pivot", "element", *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "delta")])
+    y = posted.select(F.col("pivot").alias("same_pivot"), F.col("element").alias("same_element"), "outside", *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "delta")])
+    room = (den - num) * (F.col("n_x") + F.col("n_y"))
+    fits = (F.col("root_x") != F.col("root_y")) & (~F.col("outside") | (F.col("rep_x") < F.col("rep_y")))
+    fits = fits & ((den + num) * F.abs(F.size("delta_x") - F.size("delta_y")) <= room) & ((den + num) * _apart("delta_x", "delta_y") <= room)
+    more = x.join(y, (F.col("pivot") == F.col("same_pivot")) & (F.col("element") == F.col("same_element")) & fits)
+    return edges.union(more.select(F.greatest("root_x", "root_y").alias("a"), F.least("root_x", "root_y").alias("b")).distinct())
+
+
 def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
@@ -139,23 +204,29 @@ def near_duplicates(
     words_per_shingle: int = 5,
     coordinates: int = 64,
 ) -> DataFrame:
-    """Groups of near-duplicates: ``doc_id, n_shingles, component_id, kept`` for each row.
+    """Groups of near-duplicates: ``doc_id, n_shingles, component_id, kept, row_key, group_key`` for each row.
 
     Two documents are linked if ``den * shared >= num * union`` of their sets of
     shingles (words split at ASCII white space, A-Z folded).  Fewer words than a
     shingle has: the whole sequence is one shingle.  Null, empty and blank texts
     have none and are linked with nothing.  ``component_id`` is the smallest id
-    that can be reached; rows that repeat an id with its text are one document, so
-    each of them has that document's result.  Rows without an id stay alone, with
-    null ``component_id`` and kept.  Other columns are ignored.
+    that can be reached.  Every row is a document: rows that repeat an id with its
+    text have that document's result each, and an id with several texts has a
+    result for each text.  A row without an id is linked by its text; it is kept
+    only if no row of its group has an id, whose ``component_id`` is then null.
+    ``group_key`` names the group (null for rows without shingles) and ``row_key``
+    the row's id and text.  A text of any length is one set.  Other columns are
+    ignored, whatever their names.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = checkpointed(docs.mapInArrow(_sign(words_per_shingle, coordinates), "id long, n_shingles long, set_sum long, set_fold long, tokens array<long>"))
+    # Within, a document goes by its row key, as ids may be null or repeat.
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = checkpointed(docs.mapInArrow(_sign(words_per_shingle, coordinates), "doc_id long, id long, n_shingles long, set_sum long, set_fold long, tokens array<long>"))
+    docs = docs.select("id", "text")
     key = ["n_shingles", "set_sum", "set_fold"]
-    full = signed.where("n_shingles > 0 and id is not null")
-    classes = checkpointed(full.groupBy(key).agg(F.min("id").alias("rep")))
-    # Of a class only one row brings its tokens along; an id that comes with two texts stands for both.
-    entries = full.join(classes.withColumnRenamed("rep", "id"), [*key, "id"], "left_semi").dropDuplicates([*key, "id"])
+    full = signed.where("n_shingles > 0").drop("doc_id")
+    classes = checkpointed(signed.where("n_shingles > 0").groupBy(key).agg(F.min("id").alias("rep"), F.min("doc_id").alias("least_id")))
+    # Of a class only one row brings its tokens along.
+    entries = full.join(classes.select(*key, F.col("rep").alias("id")), [*key, "id"], "left_semi").dropDuplicates([*key, "id"])
     entries = entries.withColumnRenamed("id", "rep")
     least = match_threshold(num / den, coordinates)
 
@@ -196,20 +267,19 @@ def near_duplicates(
     open_lists = open_lists.join(checkpointed(bounds.where("reach >= 1")), "rep")
     smallest = open_lists.groupBy("token", "band").agg(F.min("n").alias("smallest"))
     open_lists = open_lists.join(smallest, ["token", "band"]).where(F.col("reach") >= F.greatest(F.col("smallest"), F.ceil(F.col("n") * num / den)))
-    # Members of a list meet as differences from its pivot's set: short arrays, whose own difference is that of the sets.
-    attached = open_lists.groupBy("pivot", "rep", "root", "n", "reach").agg(F.bool_or(F.col("root") != F.col("largest")).alias("outside"))
+    # Members of a list are described by their differences from its pivot's set, which has met them all.
+    attached = open_lists.where("rep <> pivot").select("pivot", "rep", "root", "n").distinct()
     deltas = attached.join(sets.toDF("rep", "own"), "rep").join(sets.toDF("pivot", "others"), "pivot")
-    deltas = checkpointed(deltas.select("pivot", "rep", "root", "n", "reach", "outside", F.concat(F.array_except("own", "others"), F.array_except("others", "own")).alias("delta")))
-    x = deltas.where("outside").select("pivot", *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "reach", "delta")])
-    y = deltas.select(F.col("pivot").alias("same"), *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "reach", "delta")])
-    apart = F.size("delta_x") + F.size("delta_y") - 2 * F.size(F.array_intersect("delta_x", "delta_y"))
-    room = (den - num) * (F.col("n_x") + F.col("n_y"))
-    fits = (F.col("root_x") != F.col("root_y")) & (F.col("reach_x") >= F.col("n_y")) & (F.col("reach_y") >= F.col("n_x"))
-    fits = fits & ((den + num) * F.abs(F.size("delta_x") - F.size("delta_y")) <= room) & ((den + num) * apart <= room)
-    more = x.join(y, (F.col("pivot") == F.col("same")) & fits).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
-    found = components(links.union(more))
-
-    roots = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
+    delta = F.concat(F.array_except("own", "others"), F.array_except("others", "own"))
+    deltas = checkpointed(deltas.select("pivot", "rep", "root", "n", delta.alias("delta")))
+    found = components(found.toDF("a", "b").union(_links_of_roots(deltas, num, den)))
+
+    # The roots are no nodes of their own.
+    linked = classes.join(found.union(found.select("root", "root").distinct()).toDF("rep", "root"), "rep")
+    reached = linked.groupBy("root").agg(F.min("least_id").alias("least_id"))
+    linked = linked.select("rep", "root").join(reached, "root")
+    roots = classes.join(linked.toDF("root", "rep", "least_linked"), "rep", "left")
+    roots = roots.select(*key, F.coalesce("root", "rep").alias("group_key"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("least_linked")).alias("least_id"))
     joined = signed.join(roots, key, "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
-    return joined.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    component = F.when(F.col("group_key").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("id").alias("row_key"), "group_key")

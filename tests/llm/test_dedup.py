@@ -73,7 +73,36 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
     frame = spark.createDataFrame([(4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = near_duplicates(frame).collect()
     assert sorted((r.component_id, r.kept) for r in got if r.doc_id is not None) == [(2, False), (2, False), (2, True)]
-    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
+    # A row without an id goes with its text.
+    assert sorted((str(r.component_id), r.kept) for r in got if r.doc_id is None) == [("2", False), ("None", True)]
+
+
+def test_an_id_with_two_texts_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f g", 0), (1, "p q r s t u v", 0), (5, "p q r s t u v", 0), (7, long, 0), (8, long + " more", 0), (None, "k l m n o p", 0), (None, "k l m n o p", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, token long")
+    for name in ("rep", "root", "pivot", "tokens", "id", "delta", "element", "group_key", "row_key"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    got = near_duplicates(frame.repartition(3), num=85, den=100).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got) == [(0, 2, None, True), (0, 2, None, True), (1, 3, 1, True), (1, 3, 1, True), (5, 3, 1, False), (7, 59_996, 7, True), (8, 59_997, 7, False)]
+    assert len({r.group_key for r in got}) == 4
+
+
+def test_links_that_only_differences_show(spark):
+    """Two clouds around bases that are not there, near each other, and members at any distance of them."""
+    rng = random.Random(4)
+    rows = []
+    for cloud in range(2):
+        base = [f"b{i}" for i in range(200)]
+        for k in range(12 * cloud):
+            base[k * 15] = f"other{k}"
+        for i in range(90):
+            copy = list(base)
+            for _ in range(rng.choice((1, 2, 4, 6, 7, 9))):
+                copy[rng.randrange(200)] = f"x{rng.randrange(40) if i % 3 else rng.randrange(10**6)}"
+            rows.append((cloud * 1000 + i, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), num=85, den=100).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 85, 100).items()}
 
 
 def test_threshold_is_low_enough():
