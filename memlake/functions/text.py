@@ -61,13 +61,34 @@ def snippet(text: Column | str, terms: Sequence[str], width: int) -> Column:
     return F.when(hit.isNull() | (size <= width), truncate(flat, width)).otherwise(marked)
 
 
+# Formats of credentials, taken out whole with their label.
+SECRET_FORMATS = (
+    r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    r"(?i)\b(?:api[_-]?key|secret|token)\s*[:=]\s*['\"]?[A-Za-z0-9_./+=-]{16,}",
+    r"\bAKIA[0-9A-Z]{16}\b",
+    r"\b(?:ghp|gho|ghu|ghs|github_pat)_[A-Za-z0-9_]{20,}\b",
+    r"\bsk-[A-Za-z0-9_-]{20,}\b",
+)
+LONG_TOKEN, LEAST_ENTROPY = r"[A-Za-z0-9_+/=-]{32,}", 4.0
+
+
+def entropy(token: Column) -> Column:
+    """Shannon entropy in bits a character."""
+    share = lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))) / F.length(token)
+    return -F.aggregate(F.array_distinct(F.filter(F.split(token, ""), lambda c: c != "")), F.lit(0.0), lambda s, c: s + share(c) * F.log2(share(c)))
+
+
 def redact(text: Column | str, mark: str = "[REDACTED]") -> Column:
-    """Key formats and labelled secrets replaced; a label stays, its value goes."""
+    """Keys, labelled secrets and long tokens of high entropy replaced, each by one mark.
+
+    Wider spans go first, so what lies in them isn't marked again.
+    """
     out = column(text)
-    # Key formats.
-    for pattern in (r"AKIA[0-9A-Z]{16}", r"(?:ghp|gho|ghu|ghs|github_pat)_[A-Za-z0-9_]{20,}", r"sk-[A-Za-z0-9_-]{20,}"):
-        out = F.regexp_replace(out, rf"\b{pattern}\b", mark)
-    return F.regexp_replace(out, r"(?i)\b((?:api[_-]?key|secret|token)\s*[:=]\s*['\"]?)[A-Za-z0-9_./+=-]{16,}", rf"$1{mark}")
+    for pattern in SECRET_FORMATS:
+        out = F.regexp_replace(out, pattern, mark)
+    random = F.filter(F.array_distinct(F.regexp_extract_all(out, F.lit(LONG_TOKEN), F.lit(0))), lambda t: entropy(t) >= LEAST_ENTROPY)
+    longest_first = F.transform(F.sort_array(F.transform(random, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))), asc=False), lambda e: e["t"])
+    return F.aggregate(longest_first, out, lambda s, t: F.replace(s, t, F.lit(mark)))
 
 
 def has_identity_signal(text: Column | str) -> Column:
@@ -78,16 +99,26 @@ def has_identity_signal(text: Column | str) -> Column:
     return found
 
 
-def key_tokens(text: Column | str) -> Column:
-    """Distinct tokens with a digit or a capital, in order."""
-    found = F.regexp_extract_all(column(text), F.lit(r"[A-Za-z0-9]+(?:[_@./:-]+[A-Za-z0-9]+)*"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda t: F.regexp_like(t, F.lit("[0-9A-Z]"))))
+# Fixed value: what counts as one token of an identifier, a name or a number; signs join it only inside.
+KEY_TOKEN = r"[A-Za-z0-9][A-Za-z0-9_@-]*(?:[./:][A-Za-z0-9][A-Za-z0-9_@-]*)*"
+
+
+def key_tokens(text: Column | str, folded: bool = False) -> Column:
+    """Distinct tokens with a digit or a capital, in order; ``folded`` compares them without case."""
+    found = F.filter(F.regexp_extract_all(column(text), F.lit(KEY_TOKEN), F.lit(0)), lambda t: F.regexp_like(t, F.lit("[0-9A-Z]")))
+    return F.array_distinct(F.transform(found, F.lower) if folded else found)
+
+
+# Fixed value: words that announce an end date.
+END_WORDS = r"(?:until|through|thru|valid until|expires?(?: on)?|no later than)"
 
 
 def end_date(text: Column | str) -> Column:
-    """The date written after until, through, expires and the like; null without one."""
-    found = F.regexp_extract(column(text), r"(?i)\b(?:until|through|thru|valid until|expires?(?: on)?|no later than)\s+(\d{4}[-/]\d{2}[-/]\d{2})", 1)
-    return F.try_to_date(F.translate(found, "/", "-"), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.nullif(F.translate(found, "/", "-"), F.lit("")), "yyyy-MM-dd")
+    """The date written after until, through, expires and the like; null without one, or if it is none."""
+    found = F.regexp_extract(column(text), rf"(?i)\b{END_WORDS}\s+(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{2}}/\d{{2}}|[A-Z][a-z]+ \d{{1,2}},? \d{{4}})", 1)
+    plain = F.initcap(F.translate(F.translate(found, "/", "-"), ",", ""))
+    tries = [F.try_to_timestamp(plain, F.lit(f)) for f in ("yyyy-MM-dd", "MMMM d yyyy", "MMM d yyyy")]
+    return F.coalesce(*tries).cast("date")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -103,8 +134,11 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def one_edit(a: Column, b: Column) -> Column:
-    """At most one insertion, deletion, change or swap of neighbours; the first two letters must be the same ones."""
-    swapped = F.lit(False)
+    """Equal, or one insertion, deletion, change or swap of neighbours apart.
+
+    Unequal words need two letters each, at most 512, and the same first two; only
+    words of one length may have these two swapped.
+    """
     n = F.length(a)
     differ = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
     first = F.try_element_at(differ, F.lit(1))
@@ -116,5 +150,6 @@ def one_edit(a: Column, b: Column) -> Column:
         & (F.substring(a, first + 1, F.lit(1)) == F.substring(b, first, F.lit(1)))
     )
     head_a, head_b = F.substring(a, 1, 2), F.substring(b, 1, 2)
-    heads = (head_a == head_b) | (head_a == F.reverse(head_b))
-    return (n >= 2) & (F.length(b) >= 2) & (n <= 512) & (F.length(b) <= 512) & heads & ((F.levenshtein(a, b) <= 1) | F.coalesce(swapped, F.lit(False)))
+    heads = (head_a == head_b) | ((F.length(b) == n) & (head_a == F.reverse(head_b)))
+    near = (n >= 2) & (F.length(b) >= 2) & (n <= 512) & (F.length(b) <= 512) & heads & ((F.levenshtein(a, b) <= 1) | F.coalesce(swapped, F.lit(False)))
+    return (a == b) | near

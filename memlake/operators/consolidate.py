@@ -45,13 +45,13 @@ def demote(rows: DataFrame) -> DataFrame:
 def degrade(rows: DataFrame, first: int = 800, second: int = 300) -> DataFrame:
     """Tier 1 to 2 and 2 to 3 by shortening; a step that would lose a key token is refused.
 
-    Key tokens have a digit or a capital.  The copy's id is a digest of its parent's
-    and the tier.
+    Key tokens have a digit or a capital and are compared without case.  The copy's
+    id is a digest of its parent's and the tier; its text is null if refused.
     """
     limit = F.when(F.col("tier") == 1, first).otherwise(second)
     short = F.when(F.col("tier") == 1, truncate(single_line("content"), first)).otherwise(truncate(single_line("content"), second))
     step = rows.where(F.col("tier") < 3).withColumn("short", short).withColumn("limit", limit)
-    lost = F.size(F.array_except(key_tokens("content"), key_tokens("short")))
+    lost = F.size(F.array_except(key_tokens("content", folded=True), key_tokens("short", folded=True)))
     return step.select(
         "id",
         (F.col("tier") + 1).alias("tier"),
@@ -59,4 +59,5 @@ def degrade(rows: DataFrame, first: int = 800, second: int = 300) -> DataFrame:
         F.length("short").cast("long").alias("size"),
         lost.cast("long").alias("lost_keys"),
         (lost == 0).alias("accepted"),
+        F.when(lost == 0, F.col("short")).alias("copy"),
     )

@@ -49,12 +49,14 @@ def collapse_lineage(results: DataFrame) -> DataFrame:
 
 
 def fuzzy_matches(candidates: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of names at least ``threshold`` alike.
+    """Pairs of names at least ``threshold`` alike; below 0.8 too few letters are sure to stay, which is refused.
 
     Distinct names meet by two letters that both have, not each with each.  With at
     most a fifth of the letters edited two neighbours stay intact, and a prefix has
     them too; the first letter alone stands in for names of one letter.
     """
+    if threshold < 0.8:
+        raise ValueError("threshold must be 0.8 or more")
     left = candidates.select(F.col("name").alias("a")).distinct()
     right = known.select(F.col("name").alias("b")).distinct()
     pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,23 +25,46 @@ def phrases(query: str) -> list[list[str]]:
     return [p for p in found if p]
 
 
-def phrase_count(own: Column, phrase: list[str]) -> Column:
-    """How often the phrase's tokens follow each other in the token array ``own``."""
-    if len(phrase) == 1:
-        return F.size(F.filter(own, _equals(phrase[0])))
-    # The tokens stand outside of the lambdas, so no element evaluates them anew.
-    run = F.transform(own, _equals(phrase[0]))
-    for j, token in enumerate(phrase[1:], 2):
-        run = F.zip_with(run, F.slice(own, j, F.greatest(F.size(own), F.lit(1))), _and_equals(token))
-    return F.size(F.filter(run, lambda hit: hit))
+class Index(NamedTuple):
+    """``postings(term, id, dl, tf, positions)`` sorted by term, ``terms(term, df)``, and ``corpus(n, avgdl)``, one row."""
 
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
 
-def _equals(token: str) -> Callable[[Column], Column]:
-    return lambda t: t == token
 
+def build_index(memories: DataFrame, folder: str) -> Index:
+    """Tokenise the memories once and write their postings.
 
-def _and_equals(token: str) -> Callable[[Column, Column], Column]:
-    return lambda hit, t: hit & F.coalesce(t == token, F.lit(False))
+    Postings are dealt by ranges of term and id, so a term that most texts have
+    spans several files, and a query's terms select a few row groups.
+    """
+    spark = memories.sparkSession
+    own = memories.select("id", tokens("content").alias("t"))
+    lengths = own.select("id", F.size("t").alias("dl"), F.posexplode_outer("t").alias("at", "term"))
+    grouped = lengths.groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    grouped.write.mode("overwrite").parquet(f"{folder}/by_text")
+    by_text = spark.read.parquet(f"{folder}/by_text")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    posted = by_text.where("term is not null").select("term", "id", "dl", "tf", "positions")
+    posted.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+    postings = spark.read.parquet(f"{folder}/postings")
+    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    # A text's length stands in each of its rows; one without tokens has a row without a term.
+    by_text.select("id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/corpus")
+    return Index(postings, spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/corpus"))
+
+
+def _phrase_frequency(places: list[Column]) -> Column:
+    """How often the phrase's tokens follow each other, from each token's positions in a text."""
+    hits = places[0]
+    for j, other in enumerate(places[1:], 1):
+        hits = F.array_intersect(hits, F.transform(other, _less(j)))
+    return F.size(hits)
+
+
+def _less(j: int) -> Callable[[Column], Column]:
+    return lambda p: p - j
 
 
 def bm25_weight(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
@@ -48,37 +72,41 @@ def bm25_weight(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) ->
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def score(memories: DataFrame, query: str, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """The memories that have every phrase of the query, with their BM25 ``score``.
+def score(index: Index, query: str) -> DataFrame:
+    """``id, score`` of the texts that have every phrase of the query, by BM25.
 
-    Texts are tokenised once and reduced to counts; the corpus figures are one row
+    Only the postings of the query's tokens are read; the corpus figures are one row
     and are broadcast.  A query without letters or digits matches nothing.
     """
     wanted = phrases(query)
+    words = sorted({t for p in wanted for t in p})
     if not wanted:
-        return memories.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    split = memories.withColumn("_t", tokens(text_col))
-    counted = split.withColumn("_dl", F.size("_t"))
-    for i, p in enumerate(wanted):
-        counted = counted.withColumn(f"_f{i}", phrase_count(F.col("_t"), p))
-    counted = counted.drop("_t")
-    fs = [f"_f{i}" for i in range(len(wanted))]
-    corpus = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.col(f) > 0).alias(f"_d{f}") for f in fs])
-    every = F.lit(True)
+        return index.postings.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
+    found = index.postings.where(F.col("term").isin(words))
+    places = [F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{k}") for k, w in enumerate(words)]
+    rows = found.groupBy("id", "dl").agg(*places)
+    counted = rows.select("id", "dl", *[F.coalesce(_phrase_frequency([F.col(f"p{words.index(t)}") for t in p]), F.lit(0)).alias(f"f{i}") for i, p in enumerate(wanted)])
+    fs = [f"f{i}" for i in range(len(wanted))]
+    known = counted.agg(*[F.count_if(F.col(f) > 0).alias(f"d{f}") for f in fs]).crossJoin(F.broadcast(index.corpus))
     total = F.lit(0.0)
+    fits = F.lit(True)
     for f in fs:
-        every = every & (F.col(f) > 0)
-        total = total + bm25_weight(F.col(f), F.col(f"_d{f}"), F.col("_n"), F.col("_dl"), F.col("_avgdl"))
-    hit = counted.where(every).crossJoin(F.broadcast(corpus))
-    return hit.withColumn("score", total).drop(*fs, "_dl", "_n", "_avgdl", *[f"_d{f}" for f in fs])
+        fits = fits & (F.col(f) > 0)
+        total = total + bm25_weight(F.col(f), F.col(f"d{f}"), F.col("n"), F.col("dl"), F.col("avgdl"))
+    return counted.where(fits).crossJoin(F.broadcast(known)).select("id", total.alias("score"))
+
 
+def recall(memories: DataFrame, index: Index, query: str, k: int = 10, namespace: str | None = None, min_importance: int | None = None) -> DataFrame:
+    """Top ``k`` (1 to 100) by score, importance, recency and id; literal search if the query has no token.
 
-def recall(memories: DataFrame, query: str, k: int = 10, namespace: str | None = None, min_importance: int | None = None) -> DataFrame:
-    """Top ``k`` (1 to 100) by score, importance, recency and id; literal search if the query has no token."""
+    Ranking reads narrow columns; the texts of the k rows join at the end.
+    """
     k = max(1, min(100, k))
-    hits = score(memories, query) if phrases(query) else literal(memories, query).withColumn("score", F.lit(0.0))
+    narrow = memories.drop("content")
+    hits = narrow.join(score(index, query), "id") if phrases(query) else literal(memories, query).drop("content").withColumn("score", F.lit(0.0))
     hits = hits.where(predicate(namespace, min_importance)).withColumn("score", F.round("score", 6))
-    return hits.orderBy(F.desc("score"), F.desc("importance"), F.desc("created_at"), F.asc("id")).limit(k)
+    best = hits.orderBy(F.desc("score"), F.desc("importance"), F.desc("created_at"), F.asc("id")).limit(k)
+    return best.join(memories.select("id", "content"), "id").orderBy(F.desc("score"), F.desc("importance"), F.desc("created_at"), F.asc("id"))
 
 
 def predicate(namespace: str | None, min_importance: int | None) -> Column:
@@ -97,8 +125,8 @@ def literal(memories: DataFrame, query: str) -> DataFrame:
     return memories.where(F.contains(ascii_lower("content"), F.lit(low)))
 
 
-def count_matching(memories: DataFrame, query: str, namespace: str | None = None, min_importance: int | None = None) -> DataFrame:
-    hits = score(memories, query) if phrases(query) else literal(memories, query)
+def count_matching(memories: DataFrame, index: Index, query: str, namespace: str | None = None, min_importance: int | None = None) -> DataFrame:
+    hits = memories.join(score(index, query).select("id"), "id", "left_semi") if phrases(query) else literal(memories, query)
     return hits.where(predicate(namespace, min_importance)).agg(F.count("*").alias("n"))
 
 
@@ -107,20 +135,17 @@ def fallback_terms(text: Column | str, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))), 1, most)
 
 
-def recall_batch(memories: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, id, score, rank``: top ``k`` memories of every query of ``queries(query_id, terms)``, any term counts.
+def recall_batch(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
+    """``query_id, id, score, rank``: top ``k`` texts of every query of ``queries(query_id, terms)``, any term counts.
 
-    Only tokens that some query has are posted, so the shuffle follows the queries'
-    vocabulary; the ranking keeps ``k`` rows of each query before its shuffle.
+    Queries meet the terms first, so the postings of other terms are dropped by a
+    semi join before anything is shuffled; the ranking keeps ``k`` rows of each query
+    before its shuffle.
     """
-    lengths = memories.select("id", tokens("content").alias("_t")).withColumn("dl", F.size("_t"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    posted = lengths.select("id", "dl", F.explode("_t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = posted.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = postings.join(df, "term").crossJoin(F.broadcast(corpus))
-    weighed = weighed.select("term", "id", bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl")).alias("w"))
-    scored = wanted.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(index.terms, "term")
+    posted = index.postings.select("term", "id", "dl", "tf").join(wanted.select("term").distinct(), "term", "left_semi")
+    scored = wanted.join(posted, "term").crossJoin(F.broadcast(index.corpus))
+    weight = bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))
+    scored = scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

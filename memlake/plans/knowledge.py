@@ -31,11 +31,12 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REDACT = "text"
-for _p in (r"\bAKIA[0-9A-Z]{16}\b", r"\b(?:ghp|gho|ghu|ghs|github_pat)_[A-Za-z0-9_]{20,}\b", r"\bsk-[A-Za-z0-9_-]{20,}\b"):
-    _REDACT = f"regexp_replace({_REDACT}, '{_p}', '[REDACTED]', 'g')"
-_LABEL = r"(?i)\b((?:api[_-]?key|secret|token)\s*[:=]\s*[''\"]?)[A-Za-z0-9_./+=-]{16,}"
-_REDACT = f"regexp_replace({_REDACT}, '{_LABEL}', '\\1[REDACTED]', 'g')"
-REDACT_SECRETS = f"SELECT doc_id AS id, md5({_REDACT}) AS digest, {_REDACT} <> text AS changed FROM documents"
+for _p in T.SECRET_FORMATS:
+    _REDACT = "regexp_replace({}, '{}', '[REDACTED]', 'g')".format(_REDACT, _p.replace("'", "''"))
+_ENTROPY = "-list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: (length(t) - length(replace(t, c, ''))) / length(t) * log2((length(t) - length(replace(t, c, ''))) / length(t))))"
+REDACT_SECRETS = f"""WITH a AS (SELECT doc_id AS id, text, {_REDACT} AS c FROM documents), b AS (SELECT id, text, c, list_filter(list_distinct(regexp_extract_all(c, '{T.LONG_TOKEN}')), lambda t: {_ENTROPY} >= 4.0) AS r FROM a),
+d AS (SELECT id, text, list_reduce(list_prepend(c, list_reverse_sort(list_transform(r, lambda t: lpad(CAST(length(t) AS VARCHAR), 9, '0') || t))), lambda s, t: replace(s, substr(t, 10), '[REDACTED]')) AS c FROM b)
+SELECT id, md5(c) AS digest, c <> text AS changed FROM d"""
 
 
 def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +62,8 @@ def key_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("id", F.array_join(T.key_tokens("content"), " ").alias("keys"))
 
 
-KEY_TOKENS = """
-WITH k AS (SELECT doc_id AS id, list_filter(regexp_extract_all(text, '[A-Za-z0-9]+(?:[_@./:-]+[A-Za-z0-9]+)*'), lambda t: regexp_matches(t, '[0-9A-Z]')) AS x FROM documents)
+KEY_TOKENS = f"""
+WITH k AS (SELECT doc_id AS id, list_filter(regexp_extract_all(text, '{T.KEY_TOKEN}'), lambda t: regexp_matches(t, '[0-9A-Z]')) AS x FROM documents)
 SELECT id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ' ') AS keys FROM k
 """
 
@@ -70,15 +71,18 @@ SELECT id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i),
 def end_date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end date that an order's note gives, back from text."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    form = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("open until "), day)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("EXPIRES ON "), F.translate(day, "-", "/"))).otherwise(F.concat(F.lit("made "), day))
+    named = F.concat(F.lit("no later than "), F.date_format("o_orderdate", "MMMM d"), F.lit(", "), F.date_format("o_orderdate", "yyyy"))
+    form = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("open until "), day))
+        .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("EXPIRES ON "), F.translate(day, "-", "/")))
+        .when(F.col("o_orderkey") % 5 == 2, named)
+        .when(F.col("o_orderkey") % 5 == 3, F.lit("through 2024-02-31"))
+        .otherwise(F.concat(F.lit("made "), day))
+    )
     return table(spark, sf_dir, "orders").select("o_orderkey", T.end_date(form).cast("string").alias("valid_until"))
 
 
-END_DATE_EXTRACT = """
-WITH n AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'open until ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'EXPIRES ON ' || strftime(o_orderdate, '%Y/%m/%d') ELSE 'made ' || strftime(o_orderdate, '%Y-%m-%d') END AS note FROM orders),
-d AS (SELECT o_orderkey, replace(regexp_extract(note, '(?i)\\b(?:until|through|thru|valid until|expires?(?: on)?|no later than)\\s+(\\d{4}[-/]\\d{2}[-/]\\d{2})', 1), '/', '-') AS d FROM n)
-SELECT o_orderkey, CAST(TRY_CAST(d AS DATE) AS VARCHAR) AS valid_until FROM d
-"""
+END_DATE_EXTRACT = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <= 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS valid_until FROM orders"
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,32 +260,36 @@ def lineage_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINEAGE_COLLAPSE = "SELECT l_orderkey AS query_id, CAST(l_linenumber AS BIGINT) AS id FROM lineitem l WHERE NOT (l_linenumber > 2 AND EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber = l.l_linenumber - 2))"
 
 
+def _typed(known: DataFrame) -> DataFrame:
+    return known.select(F.concat(F.substring("name", 1, 3), F.substring("name", 5, 99)).alias("name"))
+
+
 def fuzzy_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations against misspelt nations."""
-    known = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"))
-    typed = known.select(F.concat(F.substring("name", 1, 3), F.substring("name", 5, 99)).alias("name"))
-    return graph.fuzzy_matches(typed, known, 0.8)
+    """Names of nations and parts against the same ones with a letter left out."""
+    known = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).union(table(spark, sf_dir, "part").select("p_name"))
+    return graph.fuzzy_matches(_typed(known), known, 0.8)
 
 
 _SIM = "CASE WHEN a = b THEN 1.0 WHEN starts_with(a, b) OR starts_with(b, a) THEN 0.7 + 0.3 * r WHEN contains(a, b) OR contains(b, a) THEN 0.5 + 0.3 * r ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END"
 FUZZY_ENTITIES = f"""
-WITH k AS (SELECT DISTINCT lower(n_name) AS b FROM nation), t AS (SELECT DISTINCT substr(b, 1, 3) || substr(b, 5, 99) AS a FROM k),
+WITH k AS (SELECT lower(n_name) AS b FROM nation UNION SELECT p_name FROM part), t AS (SELECT DISTINCT substr(b, 1, 3) || substr(b, 5, 99) AS a FROM k),
 p AS (SELECT a, b, least(length(a), length(b)) / greatest(length(a), length(b)) AS r FROM t, k)
 SELECT a, b, round({_SIM}, 6) AS similarity FROM p WHERE round({_SIM}, 6) >= 0.8
 """
 
 
 def one_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of nations and regions, and the same with neighbours swapped, one edit apart."""
+    """Names of nations, regions and parts against the same with neighbours swapped, one edit apart."""
     names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).unionByName(table(spark, sf_dir, "region").select(F.lower("r_name").alias("name")))
+    names = names.union(table(spark, sf_dir, "part").select("p_name"))
     swapped = names.select(F.concat(F.substring("name", 1, 3), F.substring("name", 5, 1), F.substring("name", 4, 1), F.substring("name", 6, 99)).alias("name"))
     return graph.one_edit_pairs(names, swapped)
 
 
 ONE_EDIT = """
-WITH n AS (SELECT lower(n_name) AS a FROM nation UNION SELECT lower(r_name) FROM region),
+WITH n AS (SELECT lower(n_name) AS a FROM nation UNION SELECT lower(r_name) FROM region UNION SELECT p_name FROM part),
 s AS (SELECT DISTINCT substr(a, 1, 3) || substr(a, 5, 1) || substr(a, 4, 1) || substr(a, 6, 99) AS b FROM n)
-SELECT a, b FROM n, s WHERE length(a) >= 2 AND length(b) >= 2 AND (substr(a, 1, 2) = substr(b, 1, 2) OR substr(a, 1, 2) = reverse(substr(b, 1, 2))) AND damerau_levenshtein(a, b) <= 1
+SELECT a, b FROM n, s WHERE a = b OR (length(a) >= 2 AND length(b) >= 2 AND (substr(a, 1, 2) = substr(b, 1, 2) OR (length(a) = length(b) AND substr(a, 1, 2) = reverse(substr(b, 1, 2)))) AND damerau_levenshtein(a, b) <= 1)
 """
 
 NAMES = (

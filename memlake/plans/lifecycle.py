@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.functions.text import KEY_TOKEN
 from memlake.operators import consolidate
 from memlake.operators.store import fold_operations
-from memlake.sources.tables import events, table, texts, turns
+from memlake.sources.tables import events, shared_folder, table, texts, turns
 from memlake.streaming import capture
 
 
@@ -33,14 +31,14 @@ min(CASE WHEN turn % 2 = 1 THEN 1000 - turn END) AS valid_until, CASE WHEN bool_
 
 def degrade_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts(spark, sf_dir).select("id", "content", (F.col("id") % 3 + 1).cast("int").alias("tier"))
-    return consolidate.degrade(rows).select("id", F.col("tier").cast("long").alias("tier"), "copy_id", "size", "lost_keys", "accepted")
+    return consolidate.degrade(rows).select("id", F.col("tier").cast("long").alias("tier"), "copy_id", "size", "lost_keys", "accepted", F.md5(F.col("copy").cast("binary")).alias("digest"))
 
 
-_KEYS = "list_distinct(list_filter(regexp_extract_all({}, '[A-Za-z0-9]+(?:[_@./:-]+[A-Za-z0-9]+)*'), lambda t: regexp_matches(t, '[0-9A-Z]')))"
+_KEYS = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '" + KEY_TOKEN + "'), lambda t: regexp_matches(t, '[0-9A-Z]')), lambda t: lower(t)))"
 DEGRADE_TIERS = f"""WITH a AS (SELECT doc_id AS id, text, doc_id % 3 + 1 AS tier, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents WHERE doc_id % 3 < 2),
 b AS (SELECT *, CASE WHEN tier = 1 THEN 800 ELSE 300 END AS m FROM a), c AS (SELECT *, CASE WHEN length(f) <= m THEN f ELSE rtrim(substr(f, 1, m - 1)) || '…' END AS s FROM b),
 d AS (SELECT *, {_KEYS.format('s')} AS ks FROM c), e AS (SELECT *, len(list_filter({_KEYS.format('text')}, lambda x: NOT list_contains(ks, x))) AS lost FROM d)
-SELECT id, tier + 1 AS tier, substr(sha256(id || '|' || (tier + 1)), 1, 32) AS copy_id, length(s) AS size, lost AS lost_keys, lost = 0 AS accepted FROM e"""
+SELECT id, tier + 1 AS tier, substr(sha256(id || '|' || (tier + 1)), 1, 32) AS copy_id, length(s) AS size, lost AS lost_keys, lost = 0 AS accepted, CASE WHEN lost = 0 THEN md5(s) END AS digest FROM e"""
 
 
 def operation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,26 +55,20 @@ SELECT id, arg_max(content, seq) FILTER (op IN ('remember', 'update')) AS conten
 FROM l GROUP BY id HAVING bool_or(op = 'remember') AND NOT bool_or(op = 'forget')"""
 
 
-def _folder(spark: SparkSession) -> str:
-    """A shared place for a stream's sink: beside the cluster's checkpoints, else (tests) a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/memlake-stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="memlake-stream-")
-
-
 def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _folder(spark)
+    at = shared_folder(spark, "stream")
     source = table(spark, sf_dir, "conversations")
     stream = capture.stream_parquet(spark, f"{sf_dir}/conversations.parquet*", source.schema).select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
     capture.run_available(capture.capture_turns(stream), f"{at}/out", f"{at}/state")
-    return spark.read.parquet(f"{at}/out").select("session_id", "turn", "role", "importance", F.substring("content", 1, 400).alias("content"))
+    return spark.read.parquet(f"{at}/out").select("session_id", "turn", "role", "importance", "content")
 
 
 STREAM_CAPTURE = """SELECT * FROM (SELECT conv_id AS session_id, turn, role, CASE WHEN role = 'user' AND length(text) > 5 THEN CAST(0.5 AS DOUBLE) WHEN role = 'assistant' AND length(text) > 10 THEN 0.15 WHEN role = 'tool' THEN 0.2 END AS importance,
-substr(text, 1, 400) AS content FROM conversations WHERE trim(text) <> '') WHERE importance IS NOT NULL"""
+text AS content FROM conversations WHERE trim(text) <> '') WHERE importance IS NOT NULL"""
 
 
 def stream_access_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _folder(spark)
+    at = shared_folder(spark, "stream")
     stream = capture.stream_parquet(spark, f"{sf_dir}/events.parquet*", events(spark, sf_dir).schema).select(F.col("user_id").alias("id"), F.col("ts").alias("at"))
     capture.run_counts(capture.access_counts(stream), f"{at}/out", f"{at}/state")
     batches = spark.read.parquet(f"{at}/out")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.operators import search, store
-from memlake.sources.tables import events, importance, table, texts, turns, with_importance
+from memlake.sources.tables import events, importance, shared_folder, table, texts, turns, with_importance
+from memlake.streaming import capture
 
 TERMS = "the that"
 _FOLD = f"translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}')"
@@ -17,10 +18,30 @@ _MEM = f"mem AS (SELECT d.doc_id AS id, d.text AS content, d.source AS namespace
 _WEIGHT = "greatest(ln((n - {d} + 0.5) / ({d} + 0.5)), 1e-6) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
 
 
+#: One index for each session and folder of tables: written once, read by every query.
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build_index(texts(spark, sf_dir), shared_folder(spark, "index"))
+    return _INDEXES[key]
+
+
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's terms with the texts that have them."""
+    return index(spark, sf_dir).terms
+
+
+INDEX_TERMS = f"SELECT term, count(DISTINCT id) AS df FROM (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term"
+
+
 def _scored(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    """Narrow scored rows; importance joins after the texts are gone."""
-    hits = search.score(texts(spark, sf_dir), query).drop("content").withColumn("score", F.round("score", 6))
-    return with_importance(hits, importance(spark, sf_dir))
+    """Narrow scored rows: the texts themselves are never read."""
+    hits = search.score(index(spark, sf_dir), query).withColumn("score", F.round("score", 6))
+    plain = texts(spark, sf_dir).drop("content")
+    return with_importance(hits.join(plain, "id"), importance(spark, sf_dir))
 
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
@@ -179,13 +200,11 @@ SELECT * FROM r WHERE scope = 'global' OR session_id = '7' ORDER BY event_id DES
 
 def turn_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that are kept as memories, with their importance."""
-    rows = turns(spark, sf_dir).where(F.trim("content") != "")
-    weight = F.when((F.col("role") == "user") & (F.length("content") > 5), 0.5).when((F.col("role") == "assistant") & (F.length("content") > 10), 0.15).when(F.col("role") == "tool", 0.2)
-    return rows.withColumn("importance", weight).where("importance is not null").select("session_id", "turn", "role", "importance", F.substring("content", 1, 400).alias("content"))
+    return capture.capture_turns(turns(spark, sf_dir)).select("session_id", "turn", "role", "importance", "content")
 
 
 TURN_CAPTURE = """SELECT * FROM (SELECT conv_id AS session_id, turn, role, CASE WHEN role = 'user' AND length(text) > 5 THEN CAST(0.5 AS DOUBLE) WHEN role = 'assistant' AND length(text) > 10 THEN 0.15 WHEN role = 'tool' THEN 0.2 END AS importance,
-substr(text, 1, 400) AS content FROM conversations WHERE trim(text) <> '') WHERE importance IS NOT NULL"""
+text AS content FROM conversations WHERE trim(text) <> '') WHERE importance IS NOT NULL"""
 
 
 def identity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +229,7 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.recall_batch(texts(spark, sf_dir), _probes(spark, sf_dir), 5)
+    return search.recall_batch(index(spark, sf_dir), _probes(spark, sf_dir), 5)
 
 
 _BATCH = f"""
@@ -288,6 +307,6 @@ SELECT query_id, bool_or(regexp_matches(term, '[0-9]') AND length(term) >= 4 AND
 """
 
 NAMES = (
-    "fts_topk fts_filtered fts_phrase literal_recall count_matching list_recent list_by_importance describe_store count_by_namespace dedup_proposals dedup_exact dedup_members dedup_losers access_fold ring_last3 "
+    "index_terms fts_topk fts_filtered fts_phrase literal_recall count_matching list_recent list_by_importance describe_store count_by_namespace dedup_proposals dedup_exact dedup_members dedup_losers access_fold ring_last3 "
     "latest_outcome audit_scoped turn_capture identity_signals fallback_terms recall_batch recall_mrr hit_by_category score_floor abstain_identifiers"
 ).split()
