@@ -37,12 +37,14 @@ def hybrid(vec: Column, fts: Column, importance: Column, recency: Column, weight
     return base * (floor + (1 - floor) * recency)
 
 
-def source_quality(content: Column, source: Column, raw: Sequence[str] = ("conversation",)) -> Column:
-    """Usefulness factor of a memory's source and label; 0 for transcripts of the assistant."""
+def source_quality(content: Column, source: Column, raw: Sequence[str] = ("conversation",), include_raw_tools: bool = False) -> Column:
+    """Usefulness factor of a memory's source and label; 0 for transcripts of the assistant and, unless wanted, of tools."""
     upper, low = F.upper(F.trim(content)), F.lower(source)
     label = F.when(F.startswith(upper, F.lit("[USER]")), 0.68).when(F.startswith(upper, F.lit("[IDENTITY]")), 0.80).when(F.startswith(low, F.lit("memoria_source")), 0.90).otherwise(1.0)
     factor = F.when(low.isin(*DISTILLED), 1.12).otherwise(1.0) * F.when(low.isin(*raw), 0.72).otherwise(1.0) * label
-    hidden = F.startswith(upper, F.lit("[ASSISTANT]")) | low.isin("conversation_tool", "conversation_delegation")
+    hidden = F.startswith(upper, F.lit("[ASSISTANT]"))
+    if not include_raw_tools:
+        hidden = hidden | low.isin("conversation_tool", "conversation_delegation")
     return F.when(hidden, 0.0).otherwise(factor)
 
 

@@ -149,3 +149,17 @@ def recall_batch(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     scored = scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def recall_all(index: Index, queries: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, id, score, rank`` and the facts: top ``k`` texts that have every term of ``queries(query_id, terms)``.
+
+    ``facts(id, importance, created_at)`` break ties, as for a single query.
+    """
+    wanted = queries.select("query_id", F.size(F.array_distinct("terms")).alias("needed"), F.explode(F.array_distinct("terms")).alias("term")).join(index.terms, "term")
+    posted = index.postings.select("term", "id", "dl", "tf").join(wanted.select("term").distinct(), "term", "left_semi")
+    weight = bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))
+    scored = wanted.join(posted, "term").crossJoin(F.broadcast(index.corpus)).groupBy("query_id", "id", "needed").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("found"))
+    hits = scored.where("found = needed").drop("found", "needed").join(facts, "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("importance"), F.desc("created_at"), F.asc("id"))
+    return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
