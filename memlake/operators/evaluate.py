@@ -62,6 +62,11 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return left.join(right, key).withColumn("diff", F.col("b") - F.col("a"))
 
 
+def exact_share(a: Column, b: Column) -> Column:
+    """Share of pairs with equal values; null without pairs."""
+    return F.round(F.avg(a.eqNullSafe(b).cast("double")), 6)
+
+
 def unpaired_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that only one arm has; a strict comparison wants none."""
     left, right = a.select(key, F.lit(True).alias("in_a")), b.select(key, F.lit(True).alias("in_b"))
@@ -97,18 +102,48 @@ def bootstrap_means(values: DataFrame, rounds: int) -> DataFrame:
     """``b, mean`` of resampled ``values(i, x, w)``: ``i`` counts from 0, ``w`` observations sum to ``x``.
 
     Every round draws as many entries as there are.  Draws are rows, so they are
-    dealt over the cluster, and meet their values by an equi-join.
+    dealt over the cluster, and meet their values by an equi-join; equal draws of a
+    round are counted before.
     """
     n = values.agg(F.count("*").alias("n"))
     draws = values.select(F.col("i").alias("slot")).join(F.broadcast(n)).select(F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"), "slot", "n")
-    drawn = draws.select("b", draw(F.col("b"), F.col("slot"), F.col("n")).alias("i"))
-    return drawn.join(values, "i").groupBy("b").agg((F.sum("x") / F.sum("w")).alias("mean"))
+    drawn = draws.select("b", draw(F.col("b"), F.col("slot"), F.col("n")).alias("i")).groupBy("b", "i").agg(F.count("*").alias("times"))
+    return drawn.join(values, "i").groupBy("b").agg((F.sum(F.col("x") * F.col("times")) / F.sum(F.col("w") * F.col("times"))).alias("mean"))
+
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with ``i``, counted from 0 in the order of the key: parts are numbered by themselves, then moved by those before."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()).persist()
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    # One row for each part.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    placed = dealt.withColumn("own", own).join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+    return placed.withColumn("i", (F.col("own") + F.col("before")).cast("long")).drop("part", "own", "before")
 
-def interval(means: DataFrame) -> DataFrame:
-    """The 2.5 % and 97.5 % percentiles (linear), and whether they leave out 0."""
+
+def interval(means: DataFrame, observed: DataFrame) -> DataFrame:
+    """The 2.5 % and 97.5 % percentiles (linear), whether they leave out 0, the mean, and the share of rounds on the other side of 0.
+
+    ``observed(mean)`` is one row, the mean of the values themselves.
+    """
     low, high = F.percentile("mean", 0.025), F.percentile("mean", 0.975)
-    return means.agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), ((low > 0) | (high < 0)).alias("excludes_zero"), F.count("*").alias("rounds"))
+    joined = means.crossJoin(F.broadcast(observed.select(F.col("mean").alias("seen"))))
+    other = F.when(F.col("seen") > 0, F.col("mean") <= 0).otherwise(F.col("mean") >= 0)
+    return joined.groupBy("seen").agg(low.alias("low"), high.alias("high"), F.count("*").alias("rounds"), F.avg(other.cast("double")).alias("other")).select(
+        F.round("seen", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"), F.round("other", 6).alias("other_side"), "rounds"
+    )
+
+
+def mean_of(values: DataFrame) -> DataFrame:
+    return values.agg((F.sum("x") / F.sum("w")).alias("mean"))
+
+
+def percentile_floor(values: Column, share: float) -> Column:
+    """The value at the whole place below ``share`` of the way through the sorted values."""
+    order = F.sort_array(F.collect_list(values))
+    return F.try_element_at(order, (F.floor((F.size(order) - 1) * share) + 1).cast("int"))
 
 
 def holm(tests: DataFrame) -> DataFrame:

@@ -126,28 +126,33 @@ k AS (SELECT *, row_number() OVER (ORDER BY p, name) AS k, count(*) OVER () AS m
 SELECT name, p, round(max(least(1.0, p * (m - k + 1))) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM k"""
 
 
+#: Rounds of the paired interval and of the resampling of whole users.
+ROUNDS, CLUSTER_ROUNDS = 10_000, 2_000
+
+
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _arms(spark, sf_dir)
-    rows = evaluate.paired(a, b, "probe_id", "score")
-    # Users are numbered from 0: the window runs over one row for each user.
-    values = rows.select((F.row_number().over(Window.orderBy("probe_id")) - 1).cast("long").alias("i"), F.round("diff", 9).alias("x"), F.lit(1).alias("w"))
-    return evaluate.interval(evaluate.bootstrap_means(values, 200))
+    rows = evaluate.numbered(evaluate.paired(a, b, "probe_id", "score"), "probe_id")
+    values = rows.select("i", F.round("diff", 9).alias("x"), F.lit(1).alias("w"))
+    return evaluate.interval(evaluate.bootstrap_means(values, ROUNDS), evaluate.mean_of(values))
 
 
 _DRAW = "CAST('0x' || substr(md5(b || ':' || i), 1, 8) AS BIGINT) % n"
-_BOOT = f"""c AS (SELECT count(*) AS n FROM v), d AS (SELECT b, {_DRAW} AS i FROM v, c, (SELECT unnest(range(0, 200)) AS b)),
-m AS (SELECT b, sum(x) / sum(w) AS mean FROM d JOIN v USING (i) GROUP BY b)
-SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, quantile_cont(mean, 0.025) > 0 OR quantile_cont(mean, 0.975) < 0 AS excludes_zero, count(*) AS rounds FROM m"""
-BOOTSTRAP_CI = f"WITH {_ARMS}, v AS (SELECT row_number() OVER (ORDER BY probe_id) - 1 AS i, round(b - a, 9) AS x, 1 AS w FROM p), {_BOOT}"
+_BOOT = f"""c AS (SELECT count(*) AS n FROM v), d AS (SELECT b, {_DRAW} AS i FROM v, c, (SELECT unnest(range(0, ROUNDS)) AS b)),
+m AS (SELECT b, sum(x) / sum(w) AS mean FROM d JOIN v USING (i) GROUP BY b), o AS (SELECT sum(x) / sum(w) AS seen FROM v)
+SELECT round(any_value(seen), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, quantile_cont(mean, 0.025) > 0 OR quantile_cont(mean, 0.975) < 0 AS excludes_zero,
+round(avg(CAST(CASE WHEN seen > 0 THEN mean <= 0 ELSE mean >= 0 END AS INT)), 6) AS other_side, count(*) AS rounds FROM m, o"""
+BOOTSTRAP_CI = f"WITH {_ARMS}, v AS (SELECT row_number() OVER (ORDER BY probe_id) - 1 AS i, round(b - a, 9) AS x, 1 AS w FROM p), {_BOOT}".replace("ROUNDS", str(ROUNDS))
 
 
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampling of users with all their events."""
     sums = events(spark, sf_dir).groupBy("user_id").agg(F.round(F.sum(F.col("value") - 50), 6).alias("x"), F.count("*").alias("w"))
-    return evaluate.interval(evaluate.bootstrap_means(sums.select((F.row_number().over(Window.orderBy("user_id")) - 1).cast("long").alias("i"), "x", "w"), 200))
+    values = evaluate.numbered(sums, "user_id").select("i", "x", "w")
+    return evaluate.interval(evaluate.bootstrap_means(values, CLUSTER_ROUNDS), evaluate.mean_of(values))
 
 
-CLUSTER_BOOTSTRAP = f"WITH v AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, round(sum(value - 50), 6) AS x, count(*) AS w FROM events GROUP BY user_id), {_BOOT}"
+CLUSTER_BOOTSTRAP = f"WITH v AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, round(sum(value - 50), 6) AS x, count(*) AS w FROM events GROUP BY user_id), {_BOOT}".replace("ROUNDS", str(CLUSTER_ROUNDS))
 
 
 def power_mde(spark: SparkSession, sf_dir: str) -> DataFrame:
