@@ -90,6 +90,12 @@ def words(chunk: Chunk, kind: np.ndarray = SPACED) -> Words:
     ends[cuts - 1] = inside[cuts - 1]
     start = np.flatnonzero(begins)
     length = np.flatnonzero(ends) + 1 - start
+    doc = np.searchsorted(chunk.bounds, start, "right") - 1
+    return Words(doc, start, length, span_hashes(chunk, start, length))
+
+
+def span_hashes(chunk: Chunk, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes, none of them empty, A-Z folded (FNV-1a, mixed)."""
     folded = LOWER[chunk.bytes].astype(np.uint64)
     h = np.full(len(start), _FNV_OFFSET)
     active, at = np.arange(len(start)), 0
@@ -97,8 +103,7 @@ def words(chunk: Chunk, kind: np.ndarray = SPACED) -> Words:
         h[active] = (h[active] ^ folded[start[active] + at]) * _FNV_PRIME
         at += 1
         active = active[length[active] > at]
-    doc = np.searchsorted(chunk.bounds, start, "right") - 1
-    return Words(doc, start, length, mix(h))
+    return mix(h)
 
 
 def multipliers(n: int, seed: int) -> np.ndarray:

@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning over sentences.
 
-Only documents carry labels.  A sentence's score is logistic in the words it has;
-a document's score is their noisy-or, ``1 - prod(1 - p)``: one offending sentence
-is enough, and it can be pointed out.  The words that the model looks at and their
-weights are fitted on a sample of about ``most_documents`` labelled documents.
+Only documents carry labels.  A sentence's score is logistic in its terms: the
+words it has and their first ``STEMS`` letters, as one stem has many endings.  A
+document's score is the noisy-or of its sentences, ``1 - prod(1 - p)``: one
+offending sentence is enough, and it can be pointed out.  The terms that the model
+looks at and their weights are fitted on a sample of about ``most_documents``
+labelled documents.
 """
 
 from __future__ import annotations
@@ -17,19 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from memlake.llm.session import checkpointed
-from memlake.llm.textscan import LETTERS, Chunk, chunks, words
+from memlake.llm.session import checkpointed, fresh
+from memlake.llm.textscan import LETTERS, Chunk, chunks, span_hashes, words
 
 #: Bytes that end a sentence.
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x21, 0x2E, 0x3F, 0x0A]] = True
+#: Longer words are terms by their first so many letters, too.
+STEMS = (4, 5, 6)
 
 
 _SENTENCES = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())]))
 
 
 class Model(NamedTuple):
-    """Word hashes in ascending order, their weights, and the weight of any sentence."""
+    """Term hashes in ascending order, their weights, and the weight of any sentence."""
 
     words: np.ndarray
     weights: np.ndarray
@@ -45,7 +49,7 @@ class _Sentences(NamedTuple):
 
 
 def _sentences(chunk: Chunk) -> _Sentences:
-    """Sentences that have a word, and the distinct words of each."""
+    """Sentences that have a word, and the terms of each."""
     found = words(chunk, LETTERS)
     if not len(found.start):
         none = np.zeros(0, np.int64)
@@ -58,7 +62,16 @@ def _sentences(chunk: Chunk) -> _Sentences:
     number = np.cumsum(fresh) - 1
     first = np.flatnonzero(fresh)
     last = np.r_[first[1:], len(fresh)] - 1
-    return _Sentences(found.doc[first], found.start[first], found.start[last] + found.length[last], number, found.hash)
+    numbers, hashes = [number], [found.hash]
+    # Where each code point begins: bytes that don't continue one.
+    heads = np.r_[np.flatnonzero(chunk.bytes & 0xC0 != 0x80), len(chunk.bytes)]
+    letter = np.searchsorted(heads, found.start)
+    for k in STEMS:
+        end = heads[np.minimum(letter + k, len(heads) - 1)]
+        longer = np.flatnonzero(end < found.start + found.length)
+        numbers.append(number[longer])
+        hashes.append(span_hashes(chunk, found.start[longer], (end - found.start)[longer]) ^ np.uint64(k))
+    return _Sentences(found.doc[first], found.start[first], found.start[last] + found.length[last], np.concatenate(numbers), np.concatenate(hashes))
 
 
 def _known(sentences: _Sentences, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,28 +154,31 @@ def fit_weights(labels: np.ndarray, counts: np.ndarray, sentence: np.ndarray, wo
     return w[:size], float(w[size])
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_documents: int = 6000, vocabulary: int = 2000, least: int = 4) -> Model:
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_documents: int = 6000, deviations: float = 3.0) -> Model:
     """A model from documents and the 0/1 labels of some of them.
 
     It is fitted on a sample of about ``most_documents`` labels, drawn by a hash of
     the id; only these ids, so a bounded number, are broadcast to the documents.
-    The vocabulary is the words that speak most for the label (log-odds by their
-    deviation), at most ``vocabulary`` of them and each in ``least`` documents or
-    more.  Rows without id, text or label are left out.  Without rows of both
-    labels every text gets the score 0.
+    The vocabulary is every term whose log-odds for the label are more than
+    ``deviations`` of their standard deviations.  Rows without id, text or label are
+    left out; an id with several labels has the highest, one with several texts that
+    of the least hash.  Without rows of both labels every text gets the score 0.
     """
     known_labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     share = min(1.0, most_documents / max(1, known_labels.count()))
-    drawn = known_labels.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < round(share * 1_000_000)).dropDuplicates(["id"])
+    drawn = known_labels.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < round(share * 1_000_000)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = checkpointed(texts.join(F.broadcast(drawn), "id").select("text", "toxic"))
+    # One row for each id: rows that repeat one neither weigh more nor reach the driver.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic"))
+    rows = checkpointed(texts.join(F.broadcast(drawn), "id").groupBy("id").agg(one.alias("row")).select("row.text", "row.toxic"))
     totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not 0 < totals.t < totals.n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    counted = rows.mapInArrow(_word_counts, "word long, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= least)
+    counted = rows.mapInArrow(_word_counts, "word long, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"))
     odds = F.log((F.col("t") + 0.5) / (totals.t - F.col("t") + 0.5)) - F.log((F.col("n") - F.col("t") + 0.5) / (totals.n - totals.t - F.col("n") + F.col("t") + 0.5))
     spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))
-    chosen = counted.where(odds > 2 * spread).orderBy(F.desc(odds / spread), "word").limit(vocabulary).select("word").collect()
+    # As many as the sample has, whose size is bounded.
+    chosen = counted.where(odds > deviations * spread).select("word").collect()
     known = np.sort(np.array([r.word for r in chosen], np.int64).view(np.uint64))
     got = rows.mapInArrow(_instances(known), "toxic int, n int, at array<int>, word array<int>").collect()
     counts = np.array([r.n for r in got], np.int64)
@@ -173,7 +189,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return Model(known, weights, bias)
 
 
-def _score(model: Model, threshold: float):
+def _score(model: Model, threshold: float, names: tuple[str, str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.zeros(len(batch.column(0)))
@@ -190,7 +206,7 @@ def _score(model: Model, threshold: float):
                     start = int((before & 0xC0 != 0x80).sum())
                     worst[chunk.first + s.doc[k]].append({"start": start, "end": start + int((inside & 0xC0 != 0x80).sum()), "score": float(p[k])})
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array(worst, kind)], [*batch.schema.names[:-1], "score", "sentences"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array(worst, kind)], [*batch.schema.names[:-1], *names])
 
     return score
 
@@ -206,12 +222,11 @@ def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
     return score_rows(rows, model, threshold=threshold).select("doc_id", "score", "sentences")
 
 
-def score_rows(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents' own columns with ``score`` and ``sentences``, replacing columns of these names."""
-    own = documents.drop("score", "sentences")
-    text = F.col(text_col).cast("string").alias("_scored")
-    schema = StructType([*own.schema.fields, StructField("score", DoubleType()), StructField("sentences", _SENTENCES)])
-    return own.select("*", text).mapInArrow(_score(model, threshold), schema)
+def score_rows(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, score: str = "score", sentences: str = "sentences") -> DataFrame:
+    """The documents' own columns with ``score`` and ``sentences``, which need names that these don't have."""
+    text = F.col(text_col).cast("string").alias(fresh(documents, "scored"))
+    schema = StructType([*documents.schema.fields, StructField(score, DoubleType()), StructField(sentences, _SENTENCES)])
+    return documents.select("*", text).mapInArrow(_score(model, threshold, (score, sentences)), schema)
 
 
 def held_out(id_col: Column) -> Column:
