@@ -38,6 +38,8 @@ from memlake.llm.textscan import chunks, grams, long_lists, mix, multipliers, wo
 BROADCAST_IDS = 1_000_000
 #: Rounds in which lists are linked by hubs: they only spare work, what they leave is joined exactly.
 HUB_ROUNDS = 4
+#: Differences that one task takes: few of them take few tasks, as many tiny ones would leave many tiny files.
+DELTAS_PER_TASK = 20_000
 
 
 def _shingles(column: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -132,11 +134,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return joined.withColumn("shared", shared).where(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b")
 
 
-def _mixed(deltas: DataFrame) -> DataFrame:
+def _mixed(deltas: DataFrame, tasks: int) -> DataFrame:
     """The lists that have members of several roots, with the root that most of them have."""
-    sizes = deltas.groupBy("pivot", "root").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("pivot").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    return deltas.join(largest, "pivot")
+    sizes = deltas.groupBy("pivot", "root").agg(F.count("*").alias("m")).coalesce(tasks)
+    largest = sizes.groupBy("pivot").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots").coalesce(tasks)
+    return deltas.join(largest, "pivot").coalesce(tasks)
 
 
 def _apart(x: str, y: str) -> Column:
@@ -154,41 +156,44 @@ def _links_of_roots(deltas: DataFrame, num: int, den: int) -> DataFrame:
     sum to 0 or less; then the member of the least gap is linked with both.  Other
     linked pairs share (gap_x + gap_y) / (2 * (den + num)) elements of their deltas.
     """
+    tasks = max(1, math.ceil(deltas.count() / DELTAS_PER_TASK))
     gap = (den + num) * F.size("delta") - (den - num) * F.col("n")
-    deltas = deltas.withColumn("gap", gap)
+    deltas = deltas.withColumn("gap", gap).coalesce(tasks)
     edges = deltas.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0)
     for turn in range(HUB_ROUNDS):
-        current = checkpointed(_mixed(deltas))
+        current = checkpointed(_mixed(deltas, tasks))
         if current.isEmpty():
             return edges
         # Two hubs for each list: the member of the least gap of all, and of those outside the largest component.
         member = F.struct("rep", "root", "n", "delta")
         rank = F.struct("gap", F.xxhash64("rep", F.lit(turn)))
         hubs = current.groupBy("pivot").agg(F.min_by(member, rank).alias("first"), F.min_by(member, F.when(F.col("root") != F.col("largest"), F.struct(F.xxhash64("rep", F.lit(turn)) if turn % 2 else F.col("gap"), F.xxhash64("rep")))).alias("second"))
-        tried = current.join(hubs.select("pivot", F.explode(F.array("first", "second")).alias("hub")), "pivot").where(F.col("root") != F.col("hub.root"))
+        tried = current.join(hubs.select("pivot", F.explode(F.array("first", "second")).alias("hub")), "pivot").where(F.col("root") != F.col("hub.root")).coalesce(tasks)
         linked = (den + num) * (F.size("delta") + F.size("hub.delta") - 2 * F.size(F.array_intersect("delta", F.col("hub.delta")))) <= (den - num) * (F.col("n") + F.col("hub.n"))
-        more = checkpointed(tried.where(linked).select(F.greatest("root", "hub.root").alias("a"), F.least("root", "hub.root").alias("b")).distinct())
+        more = checkpointed(tried.where(linked).select(F.greatest("root", "hub.root").alias("a"), F.least("root", "hub.root").alias("b")).distinct().coalesce(tasks))
         if more.isEmpty():
             break
         edges = edges.union(more)
         moved = components(more).toDF("root", "to")
-        deltas = current.drop("largest").join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
-    current = _mixed(deltas).join(deltas.groupBy("pivot").agg(F.min("gap").alias("least_gap")), "pivot")
+        deltas = current.drop("largest").join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to").coalesce(tasks)
+    current = _mixed(deltas, tasks).join(deltas.groupBy("pivot").agg(F.min("gap").alias("least_gap")).coalesce(tasks), "pivot").coalesce(tasks)
     shares = F.greatest(F.lit(1), F.ceil((F.col("gap") + F.col("least_gap")) / (2 * (den + num)))).cast("int")
     current = checkpointed(current.select("pivot", "rep", "root", "n", "delta", (F.col("root") != F.col("largest")).alias("outside"), shares.alias("shares")))
     # Elements that only members of one root have are in no intersection that counts.
     elements = current.select("pivot", "rep", "root", "shares", F.explode("delta").alias("element"))
-    common = elements.groupBy("pivot", "element").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot", "element", "m")
-    own = elements.join(common, ["pivot", "element"]).groupBy("pivot", "rep", "shares").agg(F.sort_array(F.collect_list(F.struct("m", "element"))).alias("own"))
+    if current.isEmpty():
+        return edges
+    common = elements.groupBy("pivot", "element").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot", "element", "m").coalesce(tasks)
+    own = elements.join(common, ["pivot", "element"]).groupBy("pivot", "rep", "shares").agg(F.sort_array(F.collect_list(F.struct("m", "element"))).alias("own")).coalesce(tasks)
     own = own.where(F.size("own") >= F.col("shares")).select("pivot", "rep", F.slice("own", F.lit(1), F.size("own") - F.col("shares") + 1)["element"].alias("prefix"))
-    posted = checkpointed(current.join(own, ["pivot", "rep"]).withColumn("element", F.explode("prefix")).drop("prefix", "shares"))
+    posted = checkpointed(current.join(own, ["pivot", "rep"]).withColumn("element", F.explode("prefix")).drop("prefix", "shares").coalesce(tasks))
     x = posted.where("outside").select("pivot", "element", *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "delta")])
     y = posted.select(F.col("pivot").alias("same_pivot"), F.col("element").alias("same_element"), "outside", *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "delta")])
     room = (den - num) * (F.col("n_x") + F.col("n_y"))
     fits = (F.col("root_x") != F.col("root_y")) & (~F.col("outside") | (F.col("rep_x") < F.col("rep_y")))
     fits = fits & ((den + num) * F.abs(F.size("delta_x") - F.size("delta_y")) <= room) & ((den + num) * _apart("delta_x", "delta_y") <= room)
     more = x.join(y, (F.col("pivot") == F.col("same_pivot")) & (F.col("element") == F.col("same_element")) & fits)
-    return edges.union(more.select(F.greatest("root_x", "root_y").alias("a"), F.least("root_x", "root_y").alias("b")).distinct())
+    return edges.union(more.select(F.greatest("root_x", "root_y").alias("a"), F.least("root_x", "root_y").alias("b")).distinct().coalesce(tasks))
 
 
 def _members(pairs: DataFrame) -> DataFrame:
