@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.session import checkpointed
+from memlake.llm.session import checkpointed, fresh, row_key
 from memlake.llm.textscan import ALNUM, chunks, grams, long_lists, words
 
 #: Bits of the filter: 16 MB, whatever the number of items.  False hits end in the join.
@@ -26,6 +26,8 @@ FILTER_BITS = 27
 #: Words that a stretch reaches beyond its outermost hits.
 MARGIN = 64
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Cells of a row of all pairs that are aligned at once.
+BLOCK_CELLS = 100_000
 
 
 def _item_words(n: int):
@@ -50,7 +52,7 @@ def _slot(g: np.ndarray) -> np.ndarray:
 
 def _stretches(bits, n: int, reach: int):
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``id, first, words, hits``: hits are (place in the stretch, gram) pairs in two lists."""
+        """``id, doc_id, first, words, hits``: hits are (place in the stretch, gram) pairs in two lists."""
         table = bits.value
         for batch in batches:
             ids = np.asarray(batch.column(0))
@@ -75,8 +77,8 @@ def _stretches(bits, n: int, reach: int):
                 inside = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
                 place = at - np.repeat(lo, hits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[chunk.first + doc[first]]), pa.array(lo - starts[doc[first]]), long_lists(found.hash[inside], size), long_lists(place.astype(np.int64), hits), long_lists(g, hits)],
-                    ["id", "first", "words", "places", "grams"],
+                    [pa.array(ids[chunk.first + doc[first]]), batch.column(2).take(pa.array(chunk.first + doc[first])), pa.array(lo - starts[doc[first]]), long_lists(found.hash[inside], size), long_lists(place.astype(np.int64), hits), long_lists(g, hits)],
+                    ["id", "doc_id", "first", "words", "places", "grams"],
                 )
 
     return stretches
@@ -111,6 +113,19 @@ def align(items: np.ndarray, item_sizes: np.ndarray, texts: np.ndarray, text_siz
     return best // unit, best % unit, best_end
 
 
+def _blocks(order: list[int], texts: list[np.ndarray]) -> Iterator[list[int]]:
+    """The pairs in turn, as many at once as their widest text allows."""
+    block, width = [], 0
+    for k in order:
+        width = max(width, len(texts[k]))
+        if block and width * (len(block) + 1) > BLOCK_CELLS:
+            yield block
+            block, width = [], len(texts[k])
+        block.append(k)
+    if block:
+        yield block
+
+
 def _aligned(least_score: float):
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,8 +135,7 @@ def _aligned(least_score: float):
             able = [k for k in range(len(items)) if np.isin(items[k], texts[k]).sum() >= least_score * len(items[k])]
             order = sorted(able, key=lambda k: (len(items[k]), len(texts[k])))
             score, start, end = (np.zeros(len(items), np.int64) for _ in range(3))
-            for lo in range(0, len(order), 256):
-                part = order[lo : lo + 256]
+            for part in _blocks(order, texts):
                 m, w = np.array([len(items[k]) for k in part]), np.array([len(texts[k]) for k in part])
                 # Padding differs on both sides and equals no hash of a real text but by odds of 2^-63.
                 a, b = np.zeros((len(part), max(1, m.max())), np.int64), np.ones((len(part), max(1, w.max())), np.int64)
@@ -149,14 +163,24 @@ def contaminated_spans(
 
     The score is that of the best local alignment (2 for equal words, -1 for other
     words and gaps) by what the whole item would have; the words are those of the
-    document's best copy, end exclusive.  Words are runs of letters and digits, A-Z
-    folded.  Every n-gram of an item is a seed.  Null and empty texts match nothing,
-    nor do items of fewer than n words, which have no seed.  Rows that repeat an id
-    count as one document.  Other columns are ignored.
+    document's best copy, end exclusive; of equal scores the first.  Words are runs
+    of letters and digits, A-Z folded.  Every n-gram of an item is a seed.  Null and
+    empty texts match nothing, nor do items of fewer than n words, which have no
+    seed.  Of rows that repeat a document's or an item's id, with the same text or
+    another one, the best copy counts; rows without an id are left out.  Texts of
+    any length are scanned whole.  Other columns are ignored.
     """
-    spark = documents.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null")
-    items = checkpointed(items.mapInArrow(_item_words(n), "item long, words array<long>, grams array<long>").dropDuplicates(["item"]))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), row_key(item_col, item_text_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    spans = _spans(docs.select("id", "text", "doc_id"), items, n, least_score).join(items.select("item", "item_id").distinct(), "item")
+    best = spans.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("f"), "end_word")).alias("b"))
+    return best.select("doc_id", "item_id", "b.score", (-F.col("b.f")).alias("first_word"), "b.end_word")
+
+
+def _spans(docs: DataFrame, items: DataFrame, n: int, least_score: float) -> DataFrame:
+    """``id, doc_id, item, score, first_word, end_word`` of ``docs(id, text, doc_id)`` and ``items(item, text)``, the best of each id and item."""
+    spark = docs.sparkSession
+    items = checkpointed(items.select("item", "text").mapInArrow(_item_words(n), "item long, words array<long>, grams array<long>").dropDuplicates(["item"]))
     seeds = items.select("item", F.size("words").alias("m"), F.posexplode("grams").alias("place", "gram"))
     # Of the items only the filter's bytes come to the driver: at most all of its 2^24.
     slot = f"shiftrightunsigned(gram, {64 - FILTER_BITS})"
@@ -165,8 +189,7 @@ def contaminated_spans(
     got = set_bytes.toPandas()
     table[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
     longest = int(items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0])
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    found = docs.mapInArrow(_stretches(spark.sparkContext.broadcast(table), n, longest + MARGIN), "id long, first long, words array<long>, places array<long>, grams array<long>")
+    found = docs.mapInArrow(_stretches(spark.sparkContext.broadcast(table), n, longest + MARGIN), "id long, doc_id long, first long, words array<long>, places array<long>, grams array<long>")
     found = checkpointed(found)
 
     hits = found.select("id", "first", F.explode(F.arrays_zip("places", "grams")).alias("h")).select("id", "first", F.col("h.places").alias("at"), F.col("h.grams").alias("gram"))
@@ -183,10 +206,14 @@ def contaminated_spans(
     ready = texts.join(items.select("item", F.col("words").alias("item_words")), "item").select("id", "item", "first", "m", "item_words", "text_words")
     scored = ready.mapInArrow(_aligned(least_score), "id long, item long, score double, first_word long, end_word long").where(F.col("score") >= least_score)
     best = scored.groupBy("id", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("f"), "end_word")).alias("b"))
-    return best.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "b.score", (-F.col("b.f")).alias("first_word"), "b.end_word")
+    best = best.join(found.select("id", "doc_id").distinct(), "id")
+    return best.select("id", "doc_id", "item", "b.score", (-F.col("b.f")).alias("first_word"), "b.end_word")
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those that have a contaminated span; rows without an id stay."""
-    spans = contaminated_spans(documents, benchmark, id_col, text_col, **options)
-    return documents.join(spans.select(F.col("doc_id").alias("_leaked")).distinct(), F.col(id_col) == F.col("_leaked"), "left_anti")
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text", n: int = 4, least_score: float = 0.5) -> DataFrame:
+    """The documents without those that have a contaminated span, with or without an id."""
+    docs = documents.select(row_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("long").alias("doc_id"))
+    items = benchmark.select(F.xxhash64(F.col(item_text_col).cast("string")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    leaked = fresh(documents, "leaked")
+    spans = _spans(docs, items, n, least_score).select(F.col("id").alias(leaked)).distinct()
+    return documents.join(spans, row_key(id_col, text_col) == F.col(leaked), "left_anti")
