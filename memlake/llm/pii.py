@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Tried only where a run of digits begins, as a later start in it fails alike: a long run costs its length.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,8 +30,8 @@ _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 #: What a span that the field calls an email must have: name, at, host and a dot, the signs perhaps written out.
 _ADDRESS = re.compile(r"\w\s*(@|[\[(]\s*at\s*[\])])\s*[\w-]+\s*(\.|[\[(]\s*dot\s*[\])])\s*\w", re.IGNORECASE)
 _HINT = re.compile(r"[0-9@]|[\[(]\s*[aA][tT]\s*[\])]")
-#: A line's tokens within this reach of a digit or an at sign, written out or not, are decoded; what is further off has the label O.
-REACH = 6
+#: Characters of lines that are decoded at once; a longer line is decoded alone.
+DECODED_CHARACTERS = 400_000
 
 #: Tag (the label), then text, alternating: a small labelled table.  O is no personal data.
 LABELLED = (
@@ -240,7 +241,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _HINT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p := part.lstrip("0")) < 3 or (len(p) == 3 and p <= "255") for part in m.group().split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
@@ -253,37 +254,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _windows(text: str) -> list[tuple[int, int]]:
-    """Pieces of lines around digits and at signs, cut at spaces about ``REACH`` words off every one of them."""
-    out: list[tuple[int, int]] = []
-    word = 0  # The word of the last hint ends here: hints in one word reach as far.
-    for m in _HINT.finditer(text):
-        at = m.start()
-        if out and at < word:
-            continue
-        held = bool(out) and at < out[-1][1]
-        ceiling = text.find("\n", at)
-        ceiling = len(text) if ceiling < 0 else ceiling
-        hi, word = at, 0
-        for _ in range(REACH):
-            cut = text.find(" ", hi + 1, ceiling)
-            hi = ceiling if cut < 0 else cut
-            word = word or hi
-            if cut < 0:
-                break
-        if held:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-            continue
-        floor = max(out[-1][1] if out else 0, text.rfind("\n", 0, at) + 1)
-        lo = at
-        for _ in range(REACH):
-            cut = text.rfind(" ", floor, max(floor, lo - 1))
-            lo = cut + 1 if cut >= 0 else floor
-        if out and lo <= out[-1][1] and "\n" not in text[out[-1][1] : at]:
-            out[-1] = (out[-1][0], hi)
-        else:
-            out.append((lo, hi))
-    return out
+def _lines(text: str) -> Iterator[tuple[int, int]]:
+    """The lines that have a digit or an at sign, written out or not; all tokens of the others are O."""
+    at = 0
+    while m := _HINT.search(text, at):
+        end = text.find("\n", m.end())
+        end = len(text) if end < 0 else end
+        yield text.rfind("\n", 0, m.start()) + 1, end
+        at = end
+
+
+def _batches(pieces: Iterator[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    batch, size = [], 0
+    for piece in pieces:
+        if batch and size + piece[2] - piece[1] > DECODED_CHARACTERS:
+            yield batch
+            batch, size = [], 0
+        batch.append(piece)
+        size += piece[2] - piece[1]
+    if batch:
+        yield batch
 
 
 def _detect(field: Field):
@@ -292,11 +282,15 @@ def _detect(field: Field):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found = [base_spans(t) if t else [] for t in texts]
-            pieces = [(i, lo, hi) for i, t in enumerate(texts) if t for lo, hi in _windows(t)]
             more: dict[int, list[tuple[str, int, int]]] = {}
-            for k in range(0, len(pieces), 20_000):
-                for i, name, lo, hi in _decoded(field, texts, pieces[k : k + 20_000]):
-                    if not any(lo < e and s < hi for _, s, e in found[i]):
+            for pieces in _batches((i, lo, hi) for i, t in enumerate(texts) if t for lo, hi in _lines(t)):
+                own: dict[int, np.ndarray] = {}
+                for i, name, lo, hi in _decoded(field, texts, pieces):
+                    if i not in own:
+                        own[i] = np.array(sorted((s, e) for _, s, e in found[i]), np.int64).reshape(-1, 2)
+                    # Spans of different kinds may overlap, so the farthest end up to each start counts.
+                    before = np.searchsorted(own[i][:, 0], hi)
+                    if not before or own[i][:before, 1].max() <= lo:
                         more.setdefault(i, []).append((name, lo, hi))
             rows = []
             for i, base in enumerate(found):
@@ -308,14 +302,14 @@ def _detect(field: Field):
 
 
 def _decoded(field: Field, texts: list[str], pieces: list[tuple[int, int, int]]) -> Iterator[tuple[int, str, int, int]]:
-    """Spans that the field finds in pieces of texts and that can be one: digits enough, or an address."""
+    """Spans that the field finds in lines of texts and that can be one: digits enough, or an address."""
     parts = [_tokens(texts[i][lo:hi]) for i, lo, hi in pieces]
     lengths = np.array([len(p[0]) for p in parts], np.int64)
     line = np.repeat(np.arange(len(parts)), lengths)
     if not len(line):
         return
     feats = _features(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), line)
-    labels = viterbi(field, field.emit[feats].sum(axis=1), lengths[lengths > 0])
+    labels = viterbi(field, sum(field.emit[feats[:, k]] for k in range(feats.shape[1])), lengths[lengths > 0])
     first = np.cumsum(lengths) - lengths
     edges = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (line[1:] != line[:-1])])
     for lo, hi in zip(edges, np.r_[edges[1:], len(labels)], strict=True):
@@ -334,9 +328,12 @@ def _decoded(field: Field, texts: list[str], pieces: list[tuple[int, int, int]])
 def find_pii(documents: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, spans`` for each row; spans ``(kind, start, end, base)`` in code points by kind as listed, then start.
 
-    ``base`` tells a pattern's span from one that the field adds.  Null texts count
-    as empty and have none.  Repeated rows have the same spans each.  Other columns
-    are ignored.
+    ``base`` tells a pattern's span from one that the field adds; the field decodes
+    whole lines, and its spans that overlap a base span are left out.  Of paths of
+    equal weight Viterbi takes the label that comes first (none, then the kinds as
+    listed).  Null texts count as empty and have none.  Texts and lines of any length
+    are read whole.  Repeated rows have the same spans each.  Other columns are
+    ignored.
     """
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_detect(field or train()), "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
