@@ -21,6 +21,8 @@ from memlake.llm.textscan import chunks, mix
 
 #: Texts are taken in groups of about so many characters.
 GROUP_CHARACTERS = 400_000
+#: N-grams whose vectors are made at once, and those that a worker keeps.
+BLOCK, KEPT = 4096, 16_384
 SPACE_LETTER = 0x20
 
 
@@ -38,7 +40,7 @@ def _fold() -> np.ndarray:
     global _FOLD
     if _FOLD is None:
         table = np.full(0x110000, SPACE_LETTER, np.uint32)
-        for c in range(0x30000):
+        for c in range(0x110000):
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()
@@ -55,15 +57,60 @@ def letter_vectors(letters: np.ndarray, dimensions: int) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
+class _Vectors:
+    """Vectors of n-grams; those met first stay, at most ``KEPT``, as most texts have the same ones."""
+
+    def __init__(self, n: int, dimensions: int) -> None:
+        self.n, self.dimensions = n, dimensions
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.kept = np.zeros((0, dimensions), np.float32)
+
+    def of(self, keys: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The vectors of n-grams: ascending keys, and their letters in a row each."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        out = np.ones((len(keys), self.dimensions), np.float32)
+        out[known] = self.kept[self.rows[at[known]]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            alphabet, code = np.unique(letters[new], return_inverse=True)
+            code = code.reshape(len(new), self.n)
+            base = letter_vectors(alphabet, self.dimensions)
+            for j in range(self.n):
+                # The last letter is rolled by 0, each one before it by one more.
+                out[new] *= np.roll(base, self.n - 1 - j, axis=1)[code[:, j]]
+            room = new[: max(0, KEPT - len(self.keys))]
+            if len(room):
+                self.rows = np.r_[self.rows, len(self.kept) + np.arange(len(room))]
+                self.kept = np.concatenate([self.kept, out[room]])
+                order = np.argsort(np.r_[self.keys, keys[room]], kind="stable")
+                self.keys, self.rows = np.r_[self.keys, keys[room]][order], self.rows[order]
+        return out
+
+
 class _Grams(NamedTuple):
-    """Counts of a group's n-grams: for each document and distinct n-gram, and the n-grams' vectors."""
+    """A group's n-grams: for each its document and kind in order of kinds, each kind's key and letters; letters by document."""
 
-    counts: np.ndarray
-    vectors: np.ndarray
+    owner: np.ndarray
+    which: np.ndarray
+    keys: np.ndarray
+    spelled: np.ndarray
     letters: np.ndarray
 
+    def sums(self, vectors: _Vectors) -> np.ndarray:
+        """The sum of its n-grams' vectors for each document."""
+        docs = len(self.letters)
+        out = np.zeros((docs, vectors.dimensions))
+        for lo in range(0, len(self.keys), BLOCK):
+            hi = min(lo + BLOCK, len(self.keys))
+            a, b = np.searchsorted(self.which, (lo, hi))
+            counts = np.bincount(self.owner[a:b] * (hi - lo) + self.which[a:b] - lo, minlength=docs * (hi - lo)).reshape(docs, hi - lo)
+            # Whole numbers under 2^24, so single precision is exact: a block has at most a group's characters.
+            out += counts.astype(np.float32) @ vectors.of(self.keys[lo:hi], self.spelled[lo:hi])
+        return out
 
-def _groups(column: pa.Array, n: int, dimensions: int) -> Iterator[tuple[int, _Grams]]:
+
+def _groups(column: pa.Array, n: int) -> Iterator[tuple[int, _Grams]]:
     fold = _fold()
     for chunk in chunks(column):
         # Every document stands between spaces, so that no n-gram runs over its ends.
@@ -87,21 +134,18 @@ def _groups(column: pa.Array, n: int, dimensions: int) -> Iterator[tuple[int, _G
             keep = np.ones(len(text), bool)
             keep[1:] = (text[1:] != SPACE_LETTER) | (text[:-1] != SPACE_LETTER) | (owner[1:] != owner[:-1])
             text, owner = text[keep], owner[keep]
-            alphabet, code = np.unique(text, return_inverse=True)
-            size = len(alphabet)
             at = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1]) if len(text) >= n else np.zeros(0, np.int64)
-            gram = np.zeros(len(at), np.int64)
-            for j in range(n):
-                gram = gram * size + code[at + j]
-            kinds, which = np.unique(gram, return_inverse=True)
-            base = letter_vectors(alphabet, dimensions)
-            vectors = np.ones((len(kinds), dimensions), np.float32)
-            rest = kinds.copy()
+            gram = np.zeros(len(at), np.uint64)
             for j in range(n):
-                vectors *= np.roll(base, j, axis=1)[rest % size]
-                rest //= size
-            counts = np.bincount(owner[at] * len(kinds) + which, minlength=docs * len(kinds)).reshape(docs, len(kinds)) if len(kinds) else np.zeros((docs, 0))
-            yield chunk.first + first, _Grams(counts, vectors, letters)
+                # 21 bits a letter; more than three letters are hashed.
+                gram = (gram << np.uint64(21) if n <= 3 else mix(gram + np.uint64(1))) ^ text[at + j].astype(np.uint64)
+            order = np.argsort(gram, kind="stable")
+            gram, at = gram[order], at[order]
+            new = np.ones(len(gram), bool)
+            new[1:] = gram[1:] != gram[:-1]
+            heads_of = at[new]
+            spelled = np.stack([text[heads_of + j] for j in range(n)], axis=1) if len(at) else np.zeros((0, n), np.uint32)
+            yield chunk.first + first, _Grams(owner[at], np.cumsum(new) - 1, gram[new], spelled, letters)
             first = last
 
 
@@ -109,12 +153,14 @@ def _bundle(n: int, dimensions: int):
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A sum of text vectors for each language and batch."""
         sums: dict[str, np.ndarray] = {}
+        vectors = _Vectors(n, dimensions)
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            for first, grams in _groups(batch.column(1), n, dimensions):
-                own = langs[first : first + len(grams.counts)]
-                for lang in set(own):
-                    total = grams.counts[own == lang].sum(axis=0).astype(np.float64) @ grams.vectors.astype(np.float64)
+            for first, grams in _groups(batch.column(1), n):
+                # A language's texts of a group are summed as one.
+                names, code = np.unique(langs[first : first + len(grams.letters)], return_inverse=True)
+                joined = grams._replace(owner=code[grams.owner], letters=np.zeros(len(names)))
+                for lang, total in zip(names, joined.sums(vectors), strict=True):
                     sums[lang] = sums.get(lang, 0) + np.rint(total).astype(np.int64)
         for lang, vector in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang], "vector": [vector.tolist()]}, schema=pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.int64()))]))
@@ -145,13 +191,14 @@ def _predict(prototypes: Prototypes, n: int, dimensions: int):
         own = prototypes.vectors - (prototypes.mean if spread else 0)
         length = np.linalg.norm(own, axis=1, keepdims=True)
         own = (own / np.where(length > 0, length, 1)).astype(np.float32)
+        vectors = _Vectors(n, dimensions)
         for batch in batches:
             rows = len(batch.column(1))
             best, score = np.full(rows, -1), np.zeros(rows)
-            for first, grams in _groups(batch.column(1), n, dimensions):
+            for first, grams in _groups(batch.column(1), n):
                 if not len(own):
                     break
-                v = grams.counts.astype(np.float32) @ grams.vectors
+                v = grams.sums(vectors).astype(np.float32)
                 size = np.linalg.norm(v, axis=1, keepdims=True)
                 v = v / np.where(size > 0, size, 1) - (prototypes.mean.astype(np.float32) if spread else 0)
                 size = np.linalg.norm(v, axis=1, keepdims=True)

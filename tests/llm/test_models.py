@@ -2,9 +2,11 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from memlake.llm import language_id, lm_score, toxicity
 
@@ -132,6 +134,60 @@ def test_prototypes_match_brute_force_and_any_partitioning(spark):
         assert cosine > 0.999
 
 
+def test_predictions_match_brute_force(spark, monkeypatch):
+    """Every n-gram by itself; few n-grams are kept and blocks are small, as with large alphabets."""
+    monkeypatch.setattr(language_id, "KEPT", 40)
+    monkeypatch.setattr(language_id, "BLOCK", 16)
+    rows = language_corpus(random.Random(8), 40)
+    docs = frame(spark, rows)
+    prototypes = language_id.train(docs, dimensions=128)
+    texts = [(i, t) for i, t, _ in rows[:12]] + [(90, "".join(chr(0x4E00 + 7 * k) for k in range(300))), (91, "\U00030000\U00030001 \U00030000"), (92, "1 2 3")]
+    # The batches are read here, so that the small limits hold.
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in texts], "text": [t for _, t in texts]})
+    out = next(language_id._predict(prototypes, 3, 128)(iter([batch]))).to_pydict()
+    own = prototypes.vectors - prototypes.mean
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    for (_, t), lang, score in zip(texts, out["lang_pred"], out["score"], strict=True):
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        padded, total = f" {' '.join(words)} ", np.zeros(128)
+        for i in range(len(padded) - 2):
+            total += np.prod([np.roll(language_id.letter_vectors(np.array([ord(c)], np.uint32), 128)[0], 2 - j) for j, c in enumerate(padded[i : i + 3])], axis=0)
+        v = total / np.linalg.norm(total) - prototypes.mean
+        cosine = own @ v / np.linalg.norm(v)
+        assert lang == prototypes.languages[int(cosine.argmax())] and abs(score - (cosine.max() + 1) / 2) < 1e-4
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = ["plain", "words", "grumblen", "grumbles", "grumblefluff", "über", "überall", "mild", "tea", "gru"]
+    terms = ["grumblen", "tea", "grum", "grumb", "über", "überal"]
+    weights = dict(zip(terms, (3.0, -1.0, 2.0, 1.5, 0.7, 2.5), strict=True))
+    stems = {t: len(t) for t in terms if t in ("grum", "grumb", "überal")}
+    hashed = {}
+    for t in terms:
+        raw = t.encode()
+        chunk = toxicity.Chunk(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        h = toxicity.words(chunk, toxicity.LETTERS).hash[0]
+        hashed[t] = h ^ np.uint64(stems[t]) if t in stems else h
+    order = sorted(terms, key=lambda t: hashed[t])
+    model = toxicity.Model(np.array([hashed[t] for t in order]), np.array([weights[t] for t in order]), -4.0)
+    rows = [(i, "".join(rng.choice(vocabulary) + rng.choice([" ", " ", ", ", ". ", "! ", "\n"]) for _ in range(rng.randrange(0, 40)))) for i in range(60)]
+    got = {r.doc_id: (r.score, r.sentences) for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model, threshold=0.3).collect()}
+    for i, text in rows:
+        clean, bad = 1.0, 0
+        for sentence in re.split("[!.?\n]", text):
+            words = set(re.findall(r"[^\W\d_]+", sentence))
+            if words:
+                found = {t for t in terms if t not in stems and t in words} | {t for t, k in stems.items() if any(w[:k] == t and len(w) > k for w in words)}
+                p = 1 / (1 + math.exp(4 - sum(weights[t] for t in found)))
+                clean *= 1 - p
+                bad += p >= 0.3
+        assert abs(got[i][0] - (1 - clean)) < 1e-9 and len(got[i][1]) == bad
+
+
 def test_language_edge_cases(spark):
     docs = frame(spark, [*language_corpus(random.Random(6), 40), (100, None, "aa"), (101, "text without language", None)])
     prototypes = language_id.train(docs)
