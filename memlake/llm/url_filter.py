@@ -68,13 +68,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rule's; the longest rule (host and path) wins, of equal ones the longer host.
     Null URLs and those without ``://`` have an empty host and path, fit no rule
     and get the default.  Repeated rows are judged each.  An empty path fits no
-    rule, as all rules' paths begin with ``/``.  Other columns are ignored.
+    rule, as all rules' paths begin with ``/``.  URLs of any length are judged whole.
+    Other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.monotonically_increasing_id().alias("row"))
     rows = checkpointed(rows)
     labels = F.reverse(F.split("host", r"\."))
+    # A suffix of more labels than any rule's host has is no rule's: a host of many labels has few keys.
+    deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     keys = rows.where("host <> '' and path <> ''").select(
-        "row", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.col("path")))).alias("key")
+        "row", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.col("path")))).alias("key")
     )
     stack_type = "array<struct<n:int,host_n:int,rule:string,verdict:string>>"
     events = rule_events(rules).select("key", "side", "depth", F.lit(None).cast("long").alias("row"), F.col("stack").cast(stack_type).alias("stack"))
