@@ -3,9 +3,11 @@
 The sketch is a histogram over logarithmic buckets with a fixed relative error
 (as in DDSketch).  Sketches merge by adding counts, in any order and with the
 same result, so a language's sketch is the sum of its sources' and the sketch of
-everything the sum of all.  Groups of few documents use the next wider sketch.
-A threshold is a fence around the middle half of a group's documents; documents
-beyond a fence are rejected after a join of the thresholds.
+everything the sum of all.  Groups of few documents use the next wider sketch.  A
+threshold is a fence around the middle half of a group's documents: ``REACH`` times
+the distance of the quartiles beyond them, or ``REACH`` times what one more symbol
+or repeated line adds in the document at hand, if this is larger.  Documents beyond
+a fence are rejected after a join of the quartiles.
 """
 
 from __future__ import annotations
@@ -25,16 +27,22 @@ GROWTH = 1.02
 
 
 class Rule(NamedTuple):
-    """A metric's fences: ``reach`` times the quartile distance, of at least ``floor``, beyond the quartiles."""
+    """A metric, what one more occurrence adds to it, and whether there is a fence below the quartiles, too."""
 
     metric: str
-    floor: float
+    step: str
     below: bool = False
 
 
 #: Metrics are whole numbers: shares in hundredths of a percent, lengths in hundredths.
-RULES = (Rule("symbols", 150.0), Rule("dup_lines", 1000.0), Rule("repeats", 500.0), Rule("word_length", 60.0, below=True))
+RULES = (
+    Rule("symbols", "try_divide(10000D, word_chars)"),
+    Rule("dup_lines", "try_divide(10000D, n_lines)"),
+    Rule("repeats", "try_divide(20000D, n_lines)"),
+    Rule("word_length", "try_divide(metrics.word_length, n_words)", below=True),
+)
 REACH = 3.0
+#: Documents that a language, or a source of it, needs for quartiles of its own.
 LEAST_DOCUMENTS = 200
 
 
@@ -100,41 +108,39 @@ def sketches(statistics: DataFrame) -> DataFrame:
     return level[0].unionByName(level[1]).unionByName(level[2])
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """``lang, source, level, docs`` and for each metric ``metric_low, metric_high``."""
+def thresholds(sketch: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """``lang, source, level`` and for each metric ``metric_q1, metric_q3``, of the groups that are large enough."""
     keys = ["lang", "source", "level", "metric"]
     whole = Window.partitionBy(*keys)
     running = sketch.withColumn("docs", F.sum("n").over(whole)).withColumn("up_to", F.sum("n").over(whole.orderBy("bucket")))
     # The value of a bucket is its upper end.
     value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(GROWTH), F.col("bucket").cast("double")))
     quantile = lambda num: F.min(F.when(4 * F.col("up_to") >= num * F.col("docs"), value))
-    quartiles = running.groupBy(*keys).agg(F.max("docs").alias("docs"), quantile(1).alias("q1"), quantile(3).alias("q3"))
-    floor = F.lit(0.0)
-    for r in RULES:
-        floor = F.when(F.col("metric") == r.metric, F.lit(r.floor)).otherwise(floor)
-    width = REACH * F.greatest(F.col("q3") - F.col("q1"), floor)
-    fences = quartiles.withColumn("low", F.col("q1") - width).withColumn("high", F.col("q3") + width)
-    pick = lambda r, side: F.max(F.when(F.col("metric") == r.metric, F.col(side))).alias(f"{r.metric}_{side}")
-    return fences.groupBy("lang", "source", "level").agg(F.max("docs").alias("docs"), *[pick(r, side) for r in RULES for side in ("low", "high")])
+    quartiles = running.where((F.col("level") == 0) | (F.col("docs") >= least_documents)).groupBy(*keys).agg(quantile(1).alias("q1"), quantile(3).alias("q3"))
+    pick = lambda r, q: F.max(F.when(F.col("metric") == r.metric, F.col(q))).alias(f"{r.metric}_{q}")
+    return quartiles.groupBy("lang", "source", "level").agg(*[pick(r, q) for r in RULES for q in ("q1", "q3")])
 
 
-def apply_quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` for each row.
+def apply_quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, level`` for each row.
 
     Null, empty and blank texts have no words and fail the base rules, as all of
     fewer than 50 words do.  A null language or source is a group of its own.
     Sketches hold the documents that pass the base rules; a group with fewer than
-    ``LEAST_DOCUMENTS`` uses its language's thresholds, or those of all documents.
-    Repeated rows count and are judged each.  Other columns are ignored.
+    ``least_documents`` of them uses its language's quartiles, or those of all
+    documents, and ``level`` tells which: 2 its own, 1 its language's, 0 those of all.
+    A value at a fence is kept.
+    Texts of any length are counted whole.  Repeated rows count and are judged each.
+    Other columns are ignored.
     """
     stats = document_statistics(documents, id_col, text_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = checkpointed(stats.withColumn("metrics", _metrics()).withColumn("base_failed", failed))
-    limits = checkpointed(thresholds(sketches(stats.where(~F.col("base_failed")))))
+    limits = checkpointed(thresholds(sketches(stats.where(~F.col("base_failed"))), least_documents))
     out = stats
     for level, keys in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])):
-        side = limits.where((F.col("level") == level) & ((F.col("docs") >= LEAST_DOCUMENTS) | F.lit(level == 0)))
-        side = side.select(*[F.col(k).alias(f"{k}_{level}") for k in keys], F.struct(*[f"{r.metric}_{x}" for r in RULES for x in ("low", "high")]).alias(f"limits_{level}"))
+        side = limits.where(F.col("level") == level)
+        side = side.select(*[F.col(k).alias(f"{k}_{level}") for k in keys], F.struct(*[f"{r.metric}_{q}" for r in RULES for q in ("q1", "q3")]).alias(f"limits_{level}"))
         if keys:
             on = F.lit(True)
             for k in keys:
@@ -146,7 +152,10 @@ def apply_quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col:
     out = out.withColumn("limits", F.coalesce("limits_2", "limits_1", "limits_0"))
     fine = ~F.col("base_failed")
     for r in RULES:
-        fine = fine & F.coalesce(F.col(f"metrics.{r.metric}") <= F.col(f"limits.{r.metric}_high"), F.lit(True))
+        value, q1, q3 = F.col(f"metrics.{r.metric}"), F.col(f"limits.{r.metric}_q1"), F.col(f"limits.{r.metric}_q3")
+        width = REACH * F.greatest(q3 - q1, F.expr(r.step))
+        fine = fine & F.coalesce(value <= q3 + width, F.lit(True))
         if r.below:
-            fine = fine & F.coalesce(F.col(f"metrics.{r.metric}") >= F.col(f"limits.{r.metric}_low"), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fine.alias("kept"))
+            fine = fine & F.coalesce(value >= q1 - width, F.lit(True))
+    level = F.when(F.col("limits_2").isNotNull(), 2).when(F.col("limits_1").isNotNull(), 1).otherwise(0)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fine.alias("kept"), level.alias("level"))

@@ -39,7 +39,8 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 0, 24),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    # Only where a run of its characters begins, so that a long run is read once.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 #: Alternatives that a query may have before its rule counts as one without mandatory trigrams.
@@ -110,8 +111,10 @@ def scan_secrets(documents: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE
     """``doc_id, spans`` for each row; ``spans`` is an array of ``(start, end, kind)`` by start, then order of rules.
 
     A rule's matches are the leftmost ones that don't overlap; those that fail its
-    length check are dropped and not retried.  Null texts count as empty and have
-    no spans.  Repeated rows have the same spans each.  Other columns are ignored.
+    length check are dropped and not retried.  Spans of different rules that start
+    alike come in the order of the rules.  Null texts count as empty and have no
+    spans.  Texts of any length are scanned whole.  Repeated rows have the same spans
+    each.  Other columns are ignored.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     full = [r for r in rules if not queries[r.kind]]

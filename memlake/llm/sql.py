@@ -26,7 +26,6 @@ FROM sets s JOIN (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id)
 
 
 _METRICS = ("symbols", "dup_lines", "repeats", "word_length")
-_FLOORS = {"symbols": 150.0, "dup_lines": 1000.0, "repeats": 500.0, "word_length": 60.0}
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP2 = f"""
@@ -67,20 +66,20 @@ WITH t AS (
     CASE WHEN bucket = 0 THEN 0.0 ELSE pow(1.02, bucket) END AS x FROM leveled
 ), q AS (
   SELECT level, lang, source, metric, max(docs) AS docs, min(x) FILTER (4 * up_to >= docs) AS q1, min(x) FILTER (4 * up_to >= 3 * docs) AS q3 FROM r GROUP BY ALL
-), f AS (
-  SELECT level, lang, source, docs, metric,
-    q1 - 3 * greatest(q3 - q1, CASE metric {' '.join(f"WHEN '{k}' THEN {x}" for k, x in _FLOORS.items())} END) AS low,
-    q3 + 3 * greatest(q3 - q1, CASE metric {' '.join(f"WHEN '{k}' THEN {x}" for k, x in _FLOORS.items())} END) AS high FROM q
 ), l AS (
-  SELECT level, lang, source, max(docs) AS docs, {', '.join(f"max(high) FILTER (metric = '{k}') AS {k}_high" for k in _METRICS)},
-    max(low) FILTER (metric = 'word_length') AS word_length_low FROM f GROUP BY ALL
+  SELECT level, lang, source, {', '.join(f"max(q1) FILTER (metric = '{k}') AS {k}_q1, max(q3) FILTER (metric = '{k}') AS {k}_q3" for k in _METRICS)} FROM q WHERE level = 0 OR docs >= LEAST_DOCS GROUP BY ALL
+), j AS (
+  SELECT m.*, 10000 / word_chars AS symbols_step, 10000 / n_lines AS dup_lines_step, 20000 / n_lines AS repeats_step, word_length / n_words AS word_length_step,
+    {', '.join(f"coalesce(a.{k}_{x}, b.{k}_{x}, c.{k}_{x}) AS {k}_{x}" for k in _METRICS for x in ("q1", "q3"))},
+    CAST(CASE WHEN a.level IS NOT NULL THEN 2 WHEN b.level IS NOT NULL THEN 1 ELSE 0 END AS INT) AS level
+  FROM m LEFT JOIN l a ON a.level = 2 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
+  LEFT JOIN l b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN l c ON c.level = 0
 )
-SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed,
-  NOT m.base_failed AND {' AND '.join(f"coalesce(m.{k} <= coalesce(a.{k}_high, b.{k}_high, c.{k}_high), true)" for k in _METRICS)}
-  AND coalesce(m.word_length >= coalesce(a.word_length_low, b.word_length_low, c.word_length_low), true) AS kept
-FROM m LEFT JOIN l a ON a.level = 2 AND a.docs >= 200 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
-LEFT JOIN l b ON b.level = 1 AND b.docs >= 200 AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN l c ON c.level = 0
-"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, level,
+  NOT base_failed AND {' AND '.join(f"coalesce({k} <= {k}_q3 + 3 * greatest({k}_q3 - {k}_q1, {k}_step), true)" for k in _METRICS)}
+  AND coalesce(word_length >= word_length_q1 - 3 * greatest(word_length_q3 - word_length_q1, word_length_step), true) AS kept
+FROM j
+""".replace("LEAST_DOCS", "200")
 
 OP5 = f"""
 WITH u AS (
@@ -98,27 +97,36 @@ SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p
 """
 
 
-def _secret_sql() -> str:
-    from memlake.llm.secret_scan import BASE_RULES, MORE_RULES
+#: Kind, regex, the group that is measured, its least length, and the group that a match begins with but isn't part of it (0: none).
+_SECRETS = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, 0),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18, 0),
+    ("hex", r"[0-9a-f]+", 0, 16, 0),
+    ("github", r"gh[opsur]_[A-Za-z0-9]+", 0, 24, 0),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, 0),
+    ("jwt", r"(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 2, 30, 1),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, 0),
+)
 
-    rules = BASE_RULES + MORE_RULES
+
+def _secret_sql() -> str:
     parts = []
-    for i, r in enumerate(rules):
-        regex = r.regex.replace("'", "''")
+    for i, (kind, regex, group, least, before) in enumerate(_SECRETS):
+        regex = regex.replace("'", "''")
+        found = f"regexp_extract_all(text, '{regex}', {before})" if before else "[]"
         parts.append(
-            f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, m, g, p FROM (SELECT doc_id, regexp_extract_all(text, '{regex}') AS m, "
-            f"regexp_extract_all(text, '{regex}', {r.group}) AS g, string_split_regex(text, '{regex}') AS p FROM t) WHERE len(m) > 0"
+            f"SELECT doc_id, {i} AS k, '{kind}' AS kind, {least} AS least, m, g, p, h FROM (SELECT doc_id, regexp_extract_all(text, '{regex}') AS m, "
+            f"regexp_extract_all(text, '{regex}', {group}) AS g, string_split_regex(text, '{regex}') AS p, {found} AS h FROM t) WHERE len(m) > 0"
         )
-    least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(rules))
-    base = [r.kind for r in BASE_RULES]
+    base = [s[0] for s in _SECRETS[:3]]
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({' UNION ALL '.join(parts)}),
-x AS (SELECT doc_id, k, kind, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM f),
+x AS (SELECT doc_id, k, kind, least, m, g, p, h, unnest(range(1, len(m) + 1)) AS i FROM f),
 y AS (
-  SELECT doc_id, k, kind, length(m[i]) AS n, length(g[i]) AS good,
+  SELECT doc_id, k, kind, least, length(m[i]) AS n, length(g[i]) AS good, coalesce(length(h[i]), 0) AS skipped,
     CAST(list_sum(list_transform(p[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS BIGINT) AS pos FROM x
-), z AS (SELECT *, kind || ':' || pos || ':' || (pos + n) AS span FROM y WHERE good >= CASE k {least} END)
+), z AS (SELECT doc_id, k, kind, pos + skipped AS pos, kind || ':' || (pos + skipped) || ':' || (pos + n) AS span FROM y WHERE good >= least)
 SELECT t.doc_id, {', '.join(f"count(z.k) FILTER (kind = '{k}') AS n_{k}" for k in base)},
   sha256(coalesce(string_agg(span, ',' ORDER BY pos, k) FILTER (k < {len(base)}), '')) AS base_sha256,
   coalesce(string_agg(span, ',' ORDER BY pos, k), '') AS spans

@@ -3,11 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from memlake.llm.mixing import mix, source_targets
 from memlake.llm.quality_rules import apply_quality_rules
+from memlake.llm.sql import OP2
 from memlake.llm.secret_scan import BASE_RULES, MORE_RULES, Rule, scan_secrets, trigram_query
 from memlake.llm.url_filter import filter_urls, rules_frame
 
@@ -50,6 +52,31 @@ def test_quality_thresholds_follow_the_group(spark):
     assert apply_quality_rules(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_quality_levels_match_sql(spark, tmp_path):
+    """Quartiles of sources, languages and all, with small groups, against the SQL; plain values against Python."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(700):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9 + i % 3))) + rng.choice(["", "", "", "#"] if i % 9 == 0 else [""]) for _ in range(rng.randrange(30, 120))]
+        text = "".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words) + (" ".join(words[:9]) if i % 5 == 0 else "") + ("\nsame line" * (i % 7) if i % 6 == 0 else "")
+        rows.append((i, None if i % 50 == 0 else text, ("en", "de", None)[i % 7 % 3], ("s", "t", None, "u")[i % 11 % 4], "clash"))
+    rows += rows[:5]
+    frame = spark.createDataFrame(rows, DOCS)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for least in (40, 200):
+        sql = OP2.replace("docs >= 200", f"docs >= {least}")
+        # The SQL counts windows by id: rows that repeat one are for the operator alone.
+        found = database.execute(f"SELECT doc_id, n_repeat_words, base_failed, kept, level FROM ({sql}) WHERE doc_id >= 5 ORDER BY ALL").fetchall()
+        got = apply_quality_rules(frame, least_documents=least).where("doc_id >= 5").select("doc_id", "n_repeat_words", "base_failed", "kept", "level").collect()
+        if least == 40:
+            assert {r[4] for r in found} == {1, 2}
+        assert [tuple(r) for r in sorted(got)] == found
+    long = apply_quality_rules(spark.createDataFrame([(1, "word " * 200_000, "en", "s", "clash")], DOCS)).first()
+    assert (long.n_words, long.n_repeat_words, long.base_failed, long.kept) == (200_000, 200_000, True, False)
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://net/", "http://net", "HTTP://A.Example.NET/en/x?y#z", "x://example.net/en", "x://example.net/en/", "x://badexample.net/en/", "ftp://a.b.example.com/de/1",
     "http://example.com/DE/", "http://x.org/fr/", "http://x.org/fr", "http://org/fr/a://b", "http://net.org/fr/", "http://net:80/", "http://u@net/", "http://a..net/", "http://net./", "http://x.net?q=/", "http://x.net#/",
