@@ -36,13 +36,22 @@ def dedup_proposals(memories: DataFrame, prefix: int = 50) -> DataFrame:
 
 
 def exact_duplicates(memories: DataFrame) -> DataFrame:
-    return memories.groupBy("namespace", "content").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+    """Groups of equal texts of a namespace, by ``digest``: what is dealt is a SHA-256 and a length, never the texts."""
+    keyed = memories.select("id", "namespace", F.sha2("content", 256).alias("digest"), F.length("content").alias("size"))
+    return keyed.groupBy("namespace", "digest", "size").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
 def duplicate_members(memories: DataFrame) -> DataFrame:
-    """The rows of all groups of exact duplicates."""
-    groups = exact_duplicates(memories).select("namespace", "content")
-    return memories.join(groups, ["namespace", "content"], "left_semi")
+    """The rows of all groups of exact duplicates, with their digest in place of the text."""
+    keyed = memories.select("id", "namespace", F.sha2("content", 256).alias("digest"))
+    return keyed.join(exact_duplicates(memories).select("namespace", "digest"), ["namespace", "digest"], "left_semi")
+
+
+def consolidate_preview(memories: DataFrame, limit: int = 50, characters: int = 80) -> DataFrame:
+    """The largest groups of exact duplicates, with the beginning of their first text."""
+    groups = exact_duplicates(memories).orderBy(F.desc("n"), F.asc("first_id")).limit(limit)
+    first = memories.select(F.col("id").alias("first_id"), F.substring("content", 1, characters).alias("preview"))
+    return groups.join(first, "first_id").select("namespace", "first_id", "n", "preview")
 
 
 def duplicate_losers(memories: DataFrame) -> DataFrame:

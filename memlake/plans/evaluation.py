@@ -236,7 +236,7 @@ SELECT CAST(day AS TIMESTAMP) AS day, count(*) AS reviews, round(count(*) FILTER
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to look at and why: exact copies but the first, over-long ones, those without a label."""
     rows = texts(spark, sf_dir)
-    copies = duplicate_members(rows).select("id", "namespace", F.sha2("content", 256).alias("d"))
+    copies = duplicate_members(rows).select("id", "namespace", F.col("digest").alias("d"))
     later = copies.withColumn("n", F.row_number().over(Window.partitionBy("namespace", "d").orderBy("id"))).where("n > 1").select("id", F.lit("exact_duplicate").alias("copy"))
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("known"))
     facts = rows.select("id", F.length("content").alias("n")).join(later, "id", "left").join(labelled, "id", "left")

@@ -94,4 +94,59 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHANGE_FEED = "SELECT event_id AS seq, user_id AS id, event_type AS op FROM events WHERE event_id > 1000 ORDER BY event_id LIMIT 500"
 
-NAMES = "consolidate_sources degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed".split()
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed as a stream, run twice over the same table: the second run finds nothing new."""
+    at = shared_folder(spark, "stream")
+    for _ in range(2):
+        stream = capture.stream_parquet(spark, f"{sf_dir}/events.parquet*", events(spark, sf_dir).schema)
+        capture.run_change_feed(stream.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), F.col("event_type").alias("op")), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out")
+
+
+STREAM_CHANGES = "SELECT event_id AS seq, user_id AS id, event_type AS op FROM events"
+
+
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = shared_folder(spark, "stream")
+    stream = capture.stream_parquet(spark, f"{sf_dir}/events.parquet*", events(spark, sf_dir).schema)
+    rows = capture.audit_rows(stream.select("event_id", F.col("ts").alias("at"), F.col("event_type").alias("action"), F.col("user_id").alias("memory_id"), F.col("props").alias("detail")))
+    capture.run_available(rows, f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out")
+
+
+STREAM_AUDIT = "SELECT event_id, ts AS at, event_type AS action, user_id AS memory_id, sha256(coalesce(props, '')) AS detail_sha256 FROM events"
+
+
+def stream_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of four turns or more, consolidated as they arrive."""
+    at = shared_folder(spark, "stream")
+    source = table(spark, sf_dir, "conversations")
+    stream = capture.stream_parquet(spark, f"{sf_dir}/conversations.parquet*", source.schema)
+    rows = stream.select(F.col("conv_id").alias("session_id"), F.struct("turn", "role", "text").alias("seq"), F.concat_ws("-", F.col("turn").cast("string"), "role").alias("id"), F.col("text").alias("content"), F.lit(None).cast("long").alias("valid_until"), F.lit("session").alias("scope"))
+    capture.run_consolidation(rows, f"{at}/out", f"{at}/state", 4)
+    return spark.read.parquet(f"{at}/out").select("session_id", F.md5(F.col("summary").cast("binary")).alias("digest"), "sources")
+
+
+STREAM_CONSOLIDATION = "SELECT conv_id AS session_id, md5(string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' | ' ORDER BY turn, role, text)) AS digest, count(*) AS sources FROM conversations GROUP BY conv_id HAVING count(*) >= 4"
+
+
+def kept_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by context and speaker: those that an agent says to itself aren't kept."""
+    rows = turns(spark, sf_dir)
+    context = F.element_at(F.array(*[F.lit(c) for c in ("chat", "cron", "chat", "subagent")]), (F.col("turn") % 4 + 1).cast("int"))
+    marked = rows.select("session_id", "turn", "role", "content", context.alias("context"), F.when(F.col("role") == "user", "user").otherwise("agent").alias("speaker"), F.when(F.col("session_id") % 3 == 0, "other").alias("owner"))
+    return capture.worth_keeping(marked, "me").select("session_id", "turn", "role")
+
+
+KEPT_TURNS = "SELECT conv_id AS session_id, turn, role FROM conversations WHERE turn % 2 = 0 AND role = 'user' AND conv_id % 3 <> 0 AND trim(text) <> ''"
+
+
+def identity_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth turn says who its user is."""
+    rows = turns(spark, sf_dir).withColumn("content", F.when(F.col("turn") % 5 == 0, F.concat(F.lit("I'm proud of this. "), "content")).otherwise(F.col("content")))
+    return capture.identity_memories(rows).select("session_id", "turn", "importance", "scope", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+IDENTITY_TURNS = "SELECT conv_id AS session_id, turn, CAST(0.85 AS DOUBLE) AS importance, 'global' AS scope, md5(substr('I''m proud of this. ' || text, 1, 400)) AS digest FROM conversations WHERE role = 'user' AND turn % 5 = 0"
+
+NAMES = "consolidate_sources degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed stream_changes stream_audit stream_consolidation kept_turns identity_turns".split()

@@ -141,10 +141,10 @@ DEDUP_PROPOSALS = f"SELECT source AS namespace, substr(translate(text, '{T.UPPER
 
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = store.exact_duplicates(texts(spark, sf_dir))
-    return found.select("namespace", F.md5("content").alias("digest"), "n", "first_id")
+    return found.select("namespace", "digest", "n", "first_id")
 
 
-DEDUP_EXACT = "SELECT source AS namespace, md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY source, text HAVING count(*) > 1"
+DEDUP_EXACT = "SELECT source AS namespace, sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY source, text HAVING count(*) > 1"
 
 
 def dedup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +154,13 @@ def dedup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEDUP_MEMBERS = "SELECT doc_id AS id, source AS namespace FROM documents WHERE (source, text) IN (SELECT source, text FROM documents GROUP BY source, text HAVING count(*) > 1)"
 
 
+def dedup_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.consolidate_preview(texts(spark, sf_dir))
+
+
+DEDUP_PREVIEW = "SELECT namespace, first_id, n, substr(text, 1, 80) AS preview FROM (SELECT source AS namespace, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY source, text HAVING count(*) > 1 ORDER BY n DESC, first_id LIMIT 50) JOIN documents ON doc_id = first_id"
+
+
 def dedup_losers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_importance(texts(spark, sf_dir), importance(spark, sf_dir))
     return store.duplicate_losers(rows).select("id", "namespace", "importance", "rank")
@@ -307,6 +314,6 @@ SELECT query_id, bool_or(regexp_matches(term, '[0-9]') AND length(term) >= 4 AND
 """
 
 NAMES = (
-    "index_terms fts_topk fts_filtered fts_phrase literal_recall count_matching list_recent list_by_importance describe_store count_by_namespace dedup_proposals dedup_exact dedup_members dedup_losers access_fold ring_last3 "
+    "index_terms fts_topk fts_filtered fts_phrase literal_recall count_matching list_recent list_by_importance describe_store count_by_namespace dedup_proposals dedup_exact dedup_members dedup_preview dedup_losers access_fold ring_last3 "
     "latest_outcome audit_scoped turn_capture identity_signals fallback_terms recall_batch recall_mrr hit_by_category score_floor abstain_identifiers"
 ).split()
