@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions.text import KEY_TOKEN
-from memlake.operators import consolidate
+from memlake.operators import consolidate, plugins
 from memlake.operators.store import fold_operations
+from memlake.sources import strict
 from memlake.sources.tables import events, shared_folder, table, texts, turns
 from memlake.streaming import capture
 
@@ -149,4 +150,41 @@ def identity_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IDENTITY_TURNS = "SELECT conv_id AS session_id, turn, CAST(0.85 AS DOUBLE) AS importance, 'global' AS scope, md5(substr('I''m proud of this. ' || text, 1, 400)) AS digest FROM conversations WHERE role = 'user' AND turn % 5 = 0"
 
-NAMES = "consolidate_sources degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed stream_changes stream_audit stream_consolidation kept_turns identity_turns".split()
+def json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events, some with a double key, some broken, some lists."""
+    i = F.col("event_id")
+    text = F.when(i % 7 == 1, F.lit('{"k": 1, "k": 2}')).when(i % 7 == 2, F.lit("{no")).when(i % 7 == 3, F.lit("[1]")).otherwise(F.col("props"))
+    return strict.json_faults(events(spark, sf_dir).select("event_id", text.alias("j")), "j").select("event_id", "fault")
+
+
+JSON_FAULTS = "SELECT event_id, CASE event_id % 7 WHEN 1 THEN 'double key' WHEN 2 THEN 'not JSON' WHEN 3 THEN 'no object' END AS fault FROM events"
+
+
+def evidence_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as sections, and which of them a bounded index names."""
+    rows = texts(spark, sf_dir).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("title"), "content")
+    return strict.evidence_markdown(rows, 1000).select("id", "indexed", F.md5(F.col("section").cast("binary")).alias("digest"))
+
+
+EVIDENCE_SECTIONS = """SELECT doc_id AS id, sum(length('- text ' || doc_id) + 1) OVER (ORDER BY doc_id) <= 1000 AS indexed, md5('## text ' || doc_id || chr(10) || chr(10) || text || chr(10)) AS digest FROM documents"""
+
+
+def migrated_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as a store of the second version, brought to the present one."""
+    old = texts(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "content", "namespace", "created_at", F.lit(7).alias("importance"))
+    return strict.migrate(old, 1).select("id", "namespace", "importance", "context", "access_count", "last_accessed", "created_at")
+
+
+MIGRATED_STORE = "SELECT CAST(doc_id AS VARCHAR) AS id, source AS namespace, 7 AS importance, CAST(NULL AS VARCHAR) AS context, 0 AS access_count, CAST(NULL AS DOUBLE) AS last_accessed, CAST(n_chars AS DOUBLE) AS created_at FROM documents"
+
+
+def plugin_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the default summariser gives for each turn, and the judgment of a rule where no model is injected."""
+    rows = turns(spark, sf_dir).withColumn("summary", plugins.apply("summarise", "content"))
+    judged = plugins.judged(rows, F.col("content"), F.when(F.length("content") > 200, "long").otherwise("short"))
+    return judged.select("session_id", "turn", "role", F.md5(F.col("summary").cast("binary")).alias("digest"), "judgment")
+
+
+PLUGIN_SUMMARIES = "SELECT conv_id AS session_id, turn, role, md5(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), '. ')[1]) AS digest, CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS judgment FROM conversations"
+
+NAMES = "consolidate_sources degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed stream_changes stream_audit stream_consolidation kept_turns identity_turns json_faults evidence_sections migrated_store plugin_summaries".split()

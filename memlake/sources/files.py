@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -78,8 +78,9 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
 
 
 def expired_backups(backups: DataFrame, keep: int) -> DataFrame:
-    """Backups but the newest ``keep``."""
-    return backups.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("made_at"), F.asc("path")))).where(F.col("_n") > keep).drop("_n")
+    """Backups but the newest ``keep``; of equal times the paths that sort first stay."""
+    newest = backups.orderBy(F.desc("made_at"), F.asc("path")).limit(keep)
+    return backups.join(newest.select("path"), "path", "left_anti")
 
 
 def evidence_markdown(rows: DataFrame) -> DataFrame:
