@@ -166,7 +166,7 @@ def summarize(grades: DataFrame, by: list[str]) -> DataFrame:
     rate = lambda hit, of: F.round(F.try_divide(F.count_if(hit & of).cast("double"), F.count_if(of).cast("double")), 6)
     out = [F.count("*").alias("probes")]
     for kind in KINDS:
-        out += [F.count_if(is_kind(kind)).alias(f"{kind}_probes"), F.count_if(is_kind(kind) & F.col("answer_hit")).alias(f"{kind}_hits"), F.coalesce(F.sum(F.when(is_kind(kind), F.col("returned_rows"))), F.lit(0)).alias(f"{kind}_rows")]
+        out += [F.count_if(is_kind(kind)).alias(f"{kind}_probes"), F.count_if(is_kind(kind) & F.col("answer_hit")).alias(f"{kind}_hits"), F.coalesce(F.sum(F.when(is_kind(kind), F.col("returned_rows"))), F.lit(0)).alias(f"{kind}_returned")]
     return grades.groupBy(*by).agg(
         *out,
         rate(F.col("answer_hit"), answerable).alias("answerable_recall"),

@@ -84,7 +84,7 @@ def grade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summary(by: str) -> str:
-    kinds = ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_probes, count(*) FILTER (kind = '{k}' AND answer_hit) AS {k}_hits, coalesce(CAST(sum(returned_rows) FILTER (kind = '{k}') AS BIGINT), 0) AS {k}_rows" for k in G.KINDS)
+    kinds = ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_probes, count(*) FILTER (kind = '{k}' AND answer_hit) AS {k}_hits, coalesce(CAST(sum(returned_rows) FILTER (kind = '{k}') AS BIGINT), 0) AS {k}_returned" for k in G.KINDS)
     rate = "round(count(*) FILTER (answer_hit AND {c}) / nullif(count(*) FILTER ({c}), 0), 6)"
     return f"""SELECT {by}, count(*) AS probes, {kinds}, {rate.format(c="kind IN ('answerable_current', 'answerable_historical')")} AS answerable_recall, {rate.format(c="kind = 'carried_lesson'")} AS lesson_recall,
 count(*) FILTER (answered_fabricated) AS fabricated_with_rows, CAST(sum(fabricated_rows) AS BIGINT) AS fabricated_rows, CAST(sum(expired_served) AS BIGINT) AS expired_served, count(*) FILTER (expired_served > 0) AS expired_probes_served, CAST(sum(stale_above_current) AS BIGINT) AS stale_above_current FROM gr GROUP BY {by}"""
