@@ -27,11 +27,11 @@ nm AS (SELECT *, 'unit' || substr(md5(life_id || ':' || slot), 1, 6) AS entity,
 tv AS (SELECT *, unnest(range(0, versions)) AS version FROM nm),
 tl AS (SELECT *, {_list(G.VALUES)}[({_number('life_id', 'slot')} + version) % 6 + 1] AS value, version * 30 + {_number('life_id', 'slot', 'version')} % 20 AS day FROM tv),
 te AS (SELECT *, CASE WHEN version = versions - 1 AND {_number('life_id', 'slot', "'x'")} % 4 = 0 THEN day + 10 END AS ends FROM tl),
-ev AS (SELECT *, CASE WHEN version > 0 THEN 'Correction: the ' ELSE 'The ' END || attribute || ' of ' || entity || ' is ' || value || coalesce(' until day ' || ends, '') || '.' AS text FROM te),
+ev AS MATERIALIZED (SELECT *, CASE WHEN version > 0 THEN 'Correction: the ' ELSE 'The ' END || attribute || ' of ' || entity || ' is ' || value || coalesce(' until day ' || ends, '') || '.' AS text FROM te),
 gp AS (SELECT life_id, slot, entity, attribute, list(value ORDER BY version) AS v, max(ends) AS ends, max(day) AS day FROM ev GROUP BY ALL),
 aw AS (SELECT *, unnest([slot, slot + 5]) AS turn FROM gp), ak AS (SELECT *, {_list(G.KINDS)}[(turn + life_id) % 5 + 1] AS w FROM aw),
 ax AS (SELECT *, CASE WHEN w IN ('answerable_current', 'expired') THEN CASE WHEN ends IS NOT NULL THEN 'expired' ELSE 'answerable_current' END ELSE w END AS kind FROM ak),
-pb AS (SELECT life_id * 10 + turn AS probe_id, life_id, kind, CASE WHEN kind = 'fabricated' THEN 'z' || entity || 'z' ELSE entity END AS entity, attribute, CASE WHEN kind IN ('answerable_current', 'carried_lesson') THEN [v[-1]] WHEN kind = 'answerable_historical' THEN [v[1]] ELSE [] END AS answers,
+pb AS MATERIALIZED (SELECT life_id * 10 + turn AS probe_id, life_id, kind, CASE WHEN kind = 'fabricated' THEN 'z' || entity || 'z' ELSE entity END AS entity, attribute, CASE WHEN kind IN ('answerable_current', 'carried_lesson') THEN [v[-1]] WHEN kind = 'answerable_historical' THEN [v[1]] ELSE [] END AS answers,
   CASE WHEN kind = 'expired' THEN v WHEN kind = 'answerable_current' THEN list_filter(v, lambda x: x <> v[-1]) ELSE [] END AS stale, day + 40 AS as_of, CASE WHEN life_id % 5 = 0 THEN 'dev' ELSE 'heldout' END AS split FROM ax)"""
 
 
@@ -48,7 +48,7 @@ def life_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LIFE_PROBES = f"WITH {_LIVES} SELECT probe_id, life_id, kind, entity, array_to_string(answers, '|') AS answers, len(list_distinct(stale)) AS stale, as_of, split FROM pb"
 
-_HIT = "(regexp_matches(' ' || lower({text}) || ' ', '[^\\p{{L}}\\p{{N}}]' || regexp_escape(lower({term})) || '[^\\p{{L}}\\p{{N}}]'))"
+_HIT = "(CASE WHEN contains(lower({text}), lower({term})) THEN regexp_matches(' ' || lower({text}) || ' ', '[^\\p{{L}}\\p{{N}}]' || regexp_escape(lower({term})) || '[^\\p{{L}}\\p{{N}}]') ELSE false END)"
 
 
 def _recalled(strict: bool) -> str:
