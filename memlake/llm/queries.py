@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm import language_id, lm_score, pii
 from memlake.llm.decontaminate import contaminated_spans
+from memlake.llm.fill_in_middle import fill_in_middle
 from memlake.llm.minhash_dedup import near_duplicates
 from memlake.llm.mixing import mix
 from memlake.llm.quality_rules import apply_quality_rules
@@ -27,7 +28,8 @@ def _is_kind(kind: str) -> Callable[[Column], Column]:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100)
+    groups = near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +84,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return made.select("doc_id", "n", "form", *chars, "output_sha256", "restored_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -93,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
