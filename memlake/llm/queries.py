@@ -14,6 +14,7 @@ from memlake.llm.minhash_dedup import near_duplicates
 from memlake.llm.mixing import mix
 from memlake.llm.quality_rules import apply_quality_rules
 from memlake.llm.secret_scan import BASE_RULES, scan_secrets, spans_text
+from memlake.llm.simhash_dedup import simhash_groups
 from memlake.llm.toxicity import held_out, score_documents
 from memlake.llm.toxicity import train as train_toxicity
 from memlake.llm.url_filter import filter_urls, rules_frame
@@ -84,6 +85,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(_table(spark, sf_dir, "documents"))
     chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
@@ -101,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
+    "op12_simhash_dedup": op12_simhash_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
