@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import language_id, lm_score, pii
+from memlake.llm.collocations import collocations
 from memlake.llm.decontaminate import contaminated_spans
 from memlake.llm.fill_in_middle import fill_in_middle
 from memlake.llm.minhash_dedup import near_duplicates
@@ -85,6 +86,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
     "op12_simhash_dedup": op12_simhash_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }

@@ -134,6 +134,38 @@ FROM t LEFT JOIN z USING (doc_id) GROUP BY t.doc_id
 """
 
 
+OP11 = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p
+), g AS (
+  {" UNION ALL ".join(f"SELECT lang, {k} AS words, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) AS phrase FROM w WHERE len(ws) >= {k}" for k in (1, 2, 3, 4))}
+), f AS (
+  SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang
+), c AS (
+  SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, phrase, a, ws, unnest(range(1, words)) AS k FROM c
+), s AS (
+  SELECT u.lang, u.phrase, u.a, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * u.a // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.ws[1:u.k], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.ws[u.k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, u.k) = 1
+), sizes AS (
+  SELECT lang, a, ws, words, unnest(range(2, words)) AS size FROM c
+), inside AS (
+  SELECT lang, a, ws, size, unnest(range(1, words - size + 2)) AS i FROM sizes
+), longer AS (
+  SELECT lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, max(a) AS longer FROM inside GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM s LEFT JOIN longer b ON b.lang = s.lang AND b.phrase = s.phrase WHERE b.longer IS NULL OR 100 * b.longer < 80 * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 OP13 = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
@@ -158,5 +190,6 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2,
     "op5_url_filter": OP5,
     "op9_secret_scan": _secret_sql(),
+    "op11_collocations": OP11,
     "op13_fill_in_middle": OP13,
 }

@@ -45,8 +45,8 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def chunks(column: pa.Array) -> Iterator[Chunk]:
-    """The column's documents, nulls as empty texts, in chunks."""
+def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """The column's documents, nulls as empty texts, in chunks of about ``size`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -60,7 +60,7 @@ def chunks(column: pa.Array) -> Iterator[Chunk]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + size, "right")) - 1)
         yield Chunk(first, raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
         first = last
 
@@ -74,13 +74,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def words(chunk: Chunk, kind: np.ndarray = SPACED) -> Words:
-    """Maximal runs of bytes of a class within each document, hashed with A-Z folded (FNV-1a, mixed)."""
+def word_spans(chunk: Chunk, kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and length of the maximal runs of bytes of a class within each document."""
     inside = kind[chunk.bytes]
     n = len(inside)
     if n == 0 or not inside.any():
         none = np.zeros(0, np.int64)
-        return Words(none, none, none, none.astype(np.uint64))
+        return none, none, none
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -90,7 +90,12 @@ def words(chunk: Chunk, kind: np.ndarray = SPACED) -> Words:
     ends[cuts - 1] = inside[cuts - 1]
     start = np.flatnonzero(begins)
     length = np.flatnonzero(ends) + 1 - start
-    doc = np.searchsorted(chunk.bounds, start, "right") - 1
+    return np.searchsorted(chunk.bounds, start, "right") - 1, start, length
+
+
+def words(chunk: Chunk, kind: np.ndarray = SPACED) -> Words:
+    """The ``word_spans`` hashed with A-Z folded (FNV-1a, mixed)."""
+    doc, start, length = word_spans(chunk, kind)
     return Words(doc, start, length, span_hashes(chunk, start, length))
 
 
