@@ -54,10 +54,10 @@ def rule_events(rules: DataFrame) -> DataFrame:
     prefixes = named.select("key", F.explode(F.transform(F.sequence(F.length("key") - F.length("path") + 1, F.length("key")), lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("above"))
     holders = named.select(F.col("key").alias("above"), F.struct(F.length("key").alias("n"), F.length("host").alias("host_n"), F.concat("host", "path").alias("rule"), "verdict").alias("item"))
     stacks = prefixes.join(holders, "above").groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("stack"))
-    opened = stacks.select("key", F.lit(0).alias("side"), F.lit(0).alias("depth"), "stack")
-    closed = stacks.select(
-        F.concat("key", F.lit("\U0010ffff")).alias("key"), F.lit(2).alias("side"), (-F.size("stack")).alias("depth"), F.slice("stack", F.lit(1), F.size("stack") - 1).alias("stack")
-    )
+    # Keys are compared as bytes: no UTF-8 text has a byte 0xFF, so all that begins with a key lies before the key and that byte.
+    key = F.col("key").cast("binary")
+    opened = stacks.select(key.alias("key"), F.lit(0).alias("side"), F.lit(0).alias("depth"), "stack")
+    closed = stacks.select(F.concat(key, F.unhex(F.lit("FF"))).alias("key"), F.lit(2).alias("side"), (-F.size("stack")).alias("depth"), F.slice("stack", F.lit(1), F.size("stack") - 1).alias("stack"))
     return opened.unionByName(closed)
 
 
@@ -65,7 +65,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """``page_id, host, path, rule, verdict`` for each row; ``rule`` is null where none fits.
 
     A rule fits its host and all subdomains if the URL's path begins with the
-    rule's; the longest rule (host and path) wins, of equal ones the longer host.
+    rule's, whatever characters follow; the longest rule (host and path) wins, of
+    equal ones the longer host.
     Null URLs and those without ``://`` have an empty host and path, fit no rule
     and get the default.  Repeated rows are judged each.  An empty path fits no
     rule, as all rules' paths begin with ``/``.  URLs of any length are judged whole.
@@ -77,7 +78,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     # A suffix of more labels than any rule's host has is no rule's: a host of many labels has few keys.
     deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     keys = rows.where("host <> '' and path <> ''").select(
-        "row", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.col("path")))).alias("key")
+        "row", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.col("path")).cast("binary"))).alias("key")
     )
     stack_type = "array<struct<n:int,host_n:int,rule:string,verdict:string>>"
     events = rule_events(rules).select("key", "side", "depth", F.lit(None).cast("long").alias("row"), F.col("stack").cast(stack_type).alias("stack"))
