@@ -10,7 +10,7 @@ A rule without mandatory trigrams scans all texts.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from re import _constants as _op
 from re import _parser as _regex
 from typing import NamedTuple
@@ -81,6 +81,40 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
     return [q for q in dict.fromkeys(found) if not any(other < q for other in found)]
 
 
+def _running(lengths: Column) -> Column:
+    """``array<struct<start, end, good>>`` of ``array<struct<before, own, good>>``: lengths laid end to end.
+
+    A fold that appends copies its array each time, so the matches are folded in
+    blocks of about the root of their number, then the blocks' sums.
+    """
+    def blocks(whole: Column) -> Column:
+        n = F.size(whole)
+        step = F.ceil(F.sqrt(n)).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1), lambda k: F.slice(whole, k * step + 1, step)))
+
+    def add(state: Column, part: Column) -> Column:
+        start = state["at"] + part["before"]
+        hit = F.struct(start.alias("start"), (start + part["own"]).alias("end"), part["good"].alias("good"))
+        return F.struct((start + part["own"]).alias("at"), F.array_append(state["out"], hit).alias("out"))
+
+    def pile(state: Column, block: Column) -> Column:
+        return F.struct((state["at"] + block["at"]).alias("at"), F.array_append(state["out"], state["at"]).alias("out"))
+
+    none = F.expr("cast(array() as array<struct<start:int,end:int,good:boolean>>)")
+
+    def placed(folded: Column) -> Column:
+        begins = F.aggregate(folded, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), pile)["out"]
+        return F.zip_with(folded, begins, lambda block, at: F.transform(block["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["good"].alias("good"))))
+
+    folded = _once(lengths, lambda whole: F.transform(blocks(whole), lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), add)))
+    return F.coalesce(F.flatten(_once(folded, placed)), none)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: as an argument, not as an expression that each step repeats."""
+    return F.transform(F.array(value), use)[0]
+
+
 def match_spans(text: Column, rule: Rule) -> Column:
     """The rule's matches as ``array<struct<start, end, kind>>``, in code points, failing ones dropped.
 
@@ -89,17 +123,9 @@ def match_spans(text: Column, rule: Rule) -> Column:
     java = rule.regex
     found, between = F.regexp_extract_all(text, F.lit(java), F.lit(0)), F.split(text, java, -1)
     checked = F.regexp_extract_all(text, F.lit(java), F.lit(rule.group)) if rule.group else found
-    parts = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"), checked.alias("g"))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,good:boolean>>)")
-
-    def add(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["b"])
-        end = start + F.length(part["m"])
-        hit = F.struct(start.alias("start"), end.alias("end"), (F.length(part["g"]) >= rule.least).alias("good"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], hit).alias("out"))
-
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
-    kept = F.transform(F.filter(spans, lambda s: s["good"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+    parts = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("m"), checked.alias("g"))
+    lengths = F.transform(parts, lambda p: F.struct(F.length(p["b"]).alias("before"), F.length(p["m"]).alias("own"), (F.length(p["g"]) >= rule.least).alias("good")))
+    kept = F.transform(F.filter(_running(lengths), lambda s: s["good"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
     return F.when(F.regexp_like(text, F.lit(java)), kept).otherwise(_no_spans())
 
 
@@ -113,8 +139,9 @@ def scan_secrets(documents: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE
     A rule's matches are the leftmost ones that don't overlap; those that fail its
     length check are dropped and not retried.  Spans of different rules that start
     alike come in the order of the rules.  Null texts count as empty and have no
-    spans.  Texts of any length are scanned whole.  Repeated rows have the same spans
-    each.  Other columns are ignored.
+    spans.  Texts of any length and any number of matches are scanned whole.
+    Repeated rows have the same spans each.  An empty table gives an empty one.
+    Other columns are ignored.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     full = [r for r in rules if not queries[r.kind]]
