@@ -3,7 +3,9 @@
 The sketch is a histogram over logarithmic buckets with a fixed relative error
 (as in DDSketch).  Sketches merge by adding counts, in any order and with the
 same result, so a language's sketch is the sum of its sources' and the sketch of
-everything the sum of all.  Groups of few documents use the next wider sketch.  A
+everything the sum of all.  A group's quartiles are weighed with those of the next
+wider group by their numbers of documents, the wider one counting as
+``PARENT_WEIGHT``: one formula from a single document to any number.  A
 threshold is a fence around the middle half of a group's documents: ``REACH`` times
 the distance of the quartiles beyond them, or ``REACH`` times what one more symbol
 or repeated line adds in the document at hand, if this is larger.  Documents beyond
@@ -42,8 +44,8 @@ RULES = (
     Rule("word_length", "try_divide(metrics.word_length, n_words)", below=True),
 )
 REACH = 3.0
-#: Documents that a language, or a source of it, needs for quartiles of its own.
-LEAST_DOCUMENTS = 200
+#: Documents as which a group's wider group counts beside its own.
+PARENT_WEIGHT = 100
 
 
 def document_statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,39 +110,40 @@ def sketches(statistics: DataFrame) -> DataFrame:
     return level[0].unionByName(level[1]).unionByName(level[2])
 
 
-def thresholds(sketch: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """``lang, source, level`` and for each metric ``metric_q1, metric_q3``, of the groups that are large enough."""
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """``lang, source, level, docs`` and for each metric ``metric_q1, metric_q3``, of each group by itself."""
     keys = ["lang", "source", "level", "metric"]
     whole = Window.partitionBy(*keys)
     running = sketch.withColumn("docs", F.sum("n").over(whole)).withColumn("up_to", F.sum("n").over(whole.orderBy("bucket")))
     # The value of a bucket is its upper end.
     value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(GROWTH), F.col("bucket").cast("double")))
     quantile = lambda num: F.min(F.when(4 * F.col("up_to") >= num * F.col("docs"), value))
-    quartiles = running.where((F.col("level") == 0) | (F.col("docs") >= least_documents)).groupBy(*keys).agg(quantile(1).alias("q1"), quantile(3).alias("q3"))
+    found = running.groupBy(*keys).agg(quantile(1).alias("q1"), quantile(3).alias("q3"), F.max("docs").alias("docs"))
     pick = lambda r, q: F.max(F.when(F.col("metric") == r.metric, F.col(q))).alias(f"{r.metric}_{q}")
-    return quartiles.groupBy("lang", "source", "level").agg(*[pick(r, q) for r in RULES for q in ("q1", "q3")])
+    return found.groupBy("lang", "source", "level").agg(F.max("docs").alias("docs"), *[pick(r, q) for r in RULES for q in ("q1", "q3")])
 
 
-def apply_quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, level`` for each row.
+def apply_quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", parent_weight: float = PARENT_WEIGHT) -> DataFrame:
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` for each row.
 
     Null, empty and blank texts have no words and fail the base rules, as all of
     fewer than 50 words do.  A null language or source is a group of its own.
-    Sketches hold the documents that pass the base rules; a group with fewer than
-    ``least_documents`` of them uses its language's quartiles, or those of all
-    documents, and ``level`` tells which: 2 its own, 1 its language's, 0 those of all.
-    A value at a fence is kept.
-    Texts of any length are counted whole.  Repeated rows count and are judged each.
+    Sketches hold the documents that pass the base rules.  With ``n`` of these in a
+    language, its quartiles are ``(n * own + parent_weight * all) / (n +
+    parent_weight)``; those of a language's source are weighed alike with the
+    language's.  A value at a fence is kept.  Texts of any length are counted whole.
+    Repeated rows count and are judged each.  An empty table gives an empty one.
     Other columns are ignored.
     """
     stats = document_statistics(documents, id_col, text_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = checkpointed(stats.withColumn("metrics", _metrics()).withColumn("base_failed", failed))
-    limits = checkpointed(thresholds(sketches(stats.where(~F.col("base_failed"))), least_documents))
+    limits = checkpointed(quartiles(sketches(stats.where(~F.col("base_failed")))))
+    names = [f"{r.metric}_{q}" for r in RULES for q in ("q1", "q3")]
     out = stats
     for level, keys in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])):
         side = limits.where(F.col("level") == level)
-        side = side.select(*[F.col(k).alias(f"{k}_{level}") for k in keys], F.struct(*[f"{r.metric}_{q}" for r in RULES for q in ("q1", "q3")]).alias(f"limits_{level}"))
+        side = side.select(*[F.col(k).alias(f"{k}_{level}") for k in keys], F.struct("docs", *names).alias(f"limits_{level}"))
         if keys:
             on = F.lit(True)
             for k in keys:
@@ -149,13 +152,16 @@ def apply_quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col:
         else:
             # One row at most.
             out = out.join(F.broadcast(side), F.lit(True), "left")
-    out = out.withColumn("limits", F.coalesce("limits_2", "limits_1", "limits_0"))
+    limit = {name: F.col(f"limits_0.{name}") for name in names}
+    for level in (1, 2):
+        n = F.coalesce(F.col(f"limits_{level}.docs"), F.lit(0)).cast("double")
+        own = {name: F.coalesce(F.col(f"limits_{level}.{name}"), F.lit(0.0)) for name in names}
+        limit = {name: (n * own[name] + F.lit(float(parent_weight)) * limit[name]) / (n + F.lit(float(parent_weight))) for name in names}
     fine = ~F.col("base_failed")
     for r in RULES:
-        value, q1, q3 = F.col(f"metrics.{r.metric}"), F.col(f"limits.{r.metric}_q1"), F.col(f"limits.{r.metric}_q3")
+        value, q1, q3 = F.col(f"metrics.{r.metric}"), limit[f"{r.metric}_q1"], limit[f"{r.metric}_q3"]
         width = REACH * F.greatest(q3 - q1, F.expr(r.step))
         fine = fine & F.coalesce(value <= q3 + width, F.lit(True))
         if r.below:
             fine = fine & F.coalesce(value >= q1 - width, F.lit(True))
-    level = F.when(F.col("limits_2").isNotNull(), 2).when(F.col("limits_1").isNotNull(), 1).otherwise(0)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fine.alias("kept"), level.alias("level"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fine.alias("kept"))

@@ -67,19 +67,22 @@ WITH t AS (
 ), q AS (
   SELECT level, lang, source, metric, max(docs) AS docs, min(x) FILTER (4 * up_to >= docs) AS q1, min(x) FILTER (4 * up_to >= 3 * docs) AS q3 FROM r GROUP BY ALL
 ), l AS (
-  SELECT level, lang, source, {', '.join(f"max(q1) FILTER (metric = '{k}') AS {k}_q1, max(q3) FILTER (metric = '{k}') AS {k}_q3" for k in _METRICS)} FROM q WHERE level = 0 OR docs >= LEAST_DOCS GROUP BY ALL
-), j AS (
+  SELECT level, lang, source, CAST(max(docs) AS DOUBLE) AS docs, {', '.join(f"max(q1) FILTER (metric = '{k}') AS {k}_q1, max(q3) FILTER (metric = '{k}') AS {k}_q3" for k in _METRICS)} FROM q GROUP BY ALL
+), j1 AS (
   SELECT m.*, 10000 / word_chars AS symbols_step, 10000 / n_lines AS dup_lines_step, 20000 / n_lines AS repeats_step, word_length / n_words AS word_length_step,
-    {', '.join(f"coalesce(a.{k}_{x}, b.{k}_{x}, c.{k}_{x}) AS {k}_{x}" for k in _METRICS for x in ("q1", "q3"))},
-    CAST(CASE WHEN a.level IS NOT NULL THEN 2 WHEN b.level IS NOT NULL THEN 1 ELSE 0 END AS INT) AS level
-  FROM m LEFT JOIN l a ON a.level = 2 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
-  LEFT JOIN l b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN l c ON c.level = 0
+    coalesce(b.docs, 0.0::DOUBLE) AS n1, {', '.join(f"coalesce(b.{k}_{x}, 0.0) AS {k}_{x}_1, c.{k}_{x} AS {k}_{x}_0" for k in _METRICS for x in ("q1", "q3"))}
+  FROM m LEFT JOIN l b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM m.lang LEFT JOIN l c ON c.level = 0
+), j2 AS (
+  SELECT *, {', '.join(f"(n1 * {k}_{x}_1 + 100.0 * {k}_{x}_0) / (n1 + 100.0) AS {k}_{x}_p" for k in _METRICS for x in ("q1", "q3"))} FROM j1
+), j AS (
+  SELECT j2.*, {', '.join(f"(coalesce(a.docs, 0.0::DOUBLE) * coalesce(a.{k}_{x}, 0.0) + 100.0 * {k}_{x}_p) / (coalesce(a.docs, 0.0::DOUBLE) + 100.0) AS {k}_{x}" for k in _METRICS for x in ("q1", "q3"))}
+  FROM j2 LEFT JOIN l a ON a.level = 2 AND a.lang IS NOT DISTINCT FROM j2.lang AND a.source IS NOT DISTINCT FROM j2.source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, level,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {' AND '.join(f"coalesce({k} <= {k}_q3 + 3 * greatest({k}_q3 - {k}_q1, {k}_step), true)" for k in _METRICS)}
   AND coalesce(word_length >= word_length_q1 - 3 * greatest(word_length_q3 - word_length_q1, word_length_step), true) AS kept
 FROM j
-""".replace("LEAST_DOCS", "200")
+"""
 
 OP5 = f"""
 WITH u AS (
