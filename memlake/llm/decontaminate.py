@@ -1,11 +1,13 @@
-"""Benchmark decontamination by n-gram seeds and local alignment.
+"""Benchmark decontamination by rare n-gram seeds and local alignment.
 
 Test items are cut into n-grams of words.  A filter of fixed size over the items'
 n-grams keeps, in one pass over the training texts, only the stretches of words
 around possible hits; a join on the n-gram gives the items.  Every n-gram that a
-text shares with an item is a seed, however many texts have it.  A stretch that has
-too few of its item's words for the least score is left; each other one is aligned
-with its item by Smith-Waterman over words, which also scores edited copies.
+text shares with an item is a seed, but rare and common ones differ in what they
+cost: a common one would bring all its texts to all its items, so its pairs must
+first show, by small sets of the words around the hit and of the item's words, that
+the text may have the share of words that the least score needs.  What is left is
+aligned with its item by Smith-Waterman over words, which also scores edited copies.
 """
 
 from __future__ import annotations
@@ -18,49 +20,73 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.bitfilter import filled, passes
 from memlake.llm.session import checkpointed, fresh, row_key
 from memlake.llm.textscan import ALNUM, chunks, grams, long_lists, words
 
 #: Bits of the filter: 16 MB, whatever the number of items.  False hits end in the join.
 FILTER_BITS = 27
-#: Words that a stretch reaches beyond its outermost hits.
-MARGIN = 64
+#: Longs of a set of words: one bit for each word, by its hash.
+SET_LONGS = 16
+#: Words around a hit whose set is kept; around longer items all words may be there.
+MOST_SET_WORDS = 1024
+#: Pairs of hits and items that a rare seed makes at most; those of a common one are tested by their sets.
+RARE_PAIRS = 1000
+#: Rows that an item, or a seed, is dealt out to, so that one that many texts have isn't one task's.
+SALTS = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of a row of all pairs that are aligned at once.
 BLOCK_CELLS = 100_000
 
 
+def word_sets(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """For each range of words the bits of their hashes, ``SET_LONGS`` unsigned longs in a row."""
+    out = np.zeros((len(starts), SET_LONGS), np.uint64)
+    place = (hashes % np.uint64(64 * SET_LONGS)).astype(np.int64)
+    bit = np.uint64(1) << (place & 63).astype(np.uint64)
+    out[stops - starts > MOST_SET_WORDS] = np.uint64(2**64 - 1)
+    some = np.flatnonzero(stops - starts <= MOST_SET_WORDS)
+    for at in range(0, len(some), 1000):
+        rows = some[at : at + 1000]
+        size = stops[rows] - starts[rows]
+        row = np.repeat(rows, size)
+        word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - starts[rows], size)
+        np.bitwise_or.at(out, (row, place[word] >> 6), bit[word])
+    return out
+
+
 def _item_words(n: int):
     def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``item, words, grams`` (lists of hashes; the grams in place of their first word)."""
+        """``item, words, grams, own``: hashes of words, of grams in place of their first word, and the set of words."""
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 found = words(chunk, ALNUM)
                 docs = len(chunk.bounds) - 1
                 at, g = grams(found.doc, found.hash, n)
+                cuts = np.searchsorted(found.doc, np.arange(docs + 1))
+                own = np.concatenate([np.zeros((0, SET_LONGS), np.uint64), *[np.bitwise_or.reduce(word_sets(found.hash[lo:hi], np.arange(hi - lo), np.arange(1, hi - lo + 1)), axis=0, keepdims=True) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, docs), long_lists(found.hash, np.bincount(found.doc, minlength=docs)), long_lists(g, np.bincount(found.doc[at], minlength=docs))],
-                    ["item", "words", "grams"],
+                    [
+                        batch.column(0).slice(chunk.first, docs),
+                        long_lists(found.hash, np.bincount(found.doc, minlength=docs)),
+                        long_lists(g, np.bincount(found.doc[at], minlength=docs)),
+                        long_lists(own.ravel(), np.full(docs, SET_LONGS)),
+                    ],
+                    ["item", "words", "grams", "own"],
                 )
 
     return item_words
 
 
-def _slot(g: np.ndarray) -> np.ndarray:
-    return (g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
 def _stretches(bits, n: int, reach: int):
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``id, doc_id, first, words, hits``: hits are (place in the stretch, gram) pairs in two lists."""
-        table = bits.value
+        """``id, doc_id, first, words, places, grams, sets``: a stretch's hits are its places, their grams and the sets of words around them."""
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for chunk in chunks(batch.column(1)):
                 found = words(chunk, ALNUM)
                 at, g = grams(found.doc, found.hash, n)
-                slot = _slot(g)
-                hit = np.flatnonzero(table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                hit = np.flatnonzero(passes(bits.value, g))
                 if not len(hit):
                     continue
                 at, g = at[hit], g[hit]
@@ -76,9 +102,18 @@ def _stretches(bits, n: int, reach: int):
                 size, hits = hi - lo, last - first + 1
                 inside = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
                 place = at - np.repeat(lo, hits)
+                around = word_sets(found.hash, np.maximum(at - reach, starts[doc]), np.minimum(at + n + reach, starts[doc + 1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[chunk.first + doc[first]]), batch.column(2).take(pa.array(chunk.first + doc[first])), pa.array(lo - starts[doc[first]]), long_lists(found.hash[inside], size), long_lists(place.astype(np.int64), hits), long_lists(g, hits)],
-                    ["id", "doc_id", "first", "words", "places", "grams"],
+                    [
+                        pa.array(ids[chunk.first + doc[first]]),
+                        batch.column(2).take(pa.array(chunk.first + doc[first])),
+                        pa.array(lo - starts[doc[first]]),
+                        long_lists(found.hash[inside], size),
+                        long_lists(place.astype(np.int64), hits),
+                        long_lists(g, hits),
+                        long_lists(around.ravel(), SET_LONGS * hits),
+                    ],
+                    ["id", "doc_id", "first", "words", "places", "grams", "sets"],
                 )
 
     return stretches
@@ -164,9 +199,11 @@ def contaminated_spans(
     The score is that of the best local alignment (2 for equal words, -1 for other
     words and gaps) by what the whole item would have; the words are those of the
     document's best copy, end exclusive; of equal scores the first.  Words are runs
-    of letters and digits, A-Z folded.  Every n-gram of an item is a seed.  Null and
-    empty texts match nothing, nor do items of fewer than n words, which have no
-    seed.  Of rows that repeat a document's or an item's id, with the same text or
+    of letters and digits, A-Z folded.  Every n-gram of an item is a seed, and every
+    alignment with the least score that holds one is found; a copy that keeps no n
+    words of the item in a row, as with every n-th word replaced, has none and isn't.
+    Null and empty texts match nothing, nor do items of fewer than n words, which
+    have no seed; an empty table of documents or items gives no rows.  Of rows that repeat a document's or an item's id, with the same text or
     another one, the best copy counts; rows without an id are left out.  Texts of
     any length are scanned whole.  Other columns are ignored.
     """
@@ -180,30 +217,35 @@ def contaminated_spans(
 def _spans(docs: DataFrame, items: DataFrame, n: int, least_score: float) -> DataFrame:
     """``id, doc_id, item, score, first_word, end_word`` of ``docs(id, text, doc_id)`` and ``items(item, text)``, the best of each id and item."""
     spark = docs.sparkSession
-    items = checkpointed(items.select("item", "text").mapInArrow(_item_words(n), "item long, words array<long>, grams array<long>").dropDuplicates(["item"]))
-    seeds = items.select("item", F.size("words").alias("m"), F.posexplode("grams").alias("place", "gram"))
-    # Of the items only the filter's bytes come to the driver: at most all of its 2^24.
-    slot = f"shiftrightunsigned(gram, {64 - FILTER_BITS})"
-    set_bytes = seeds.groupBy(F.expr(f"{slot} div 8").alias("byte")).agg(F.expr(f"bit_or(shiftleft(1, cast({slot} % 8 as int)))").alias("bits"))
-    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    got = set_bytes.toPandas()
-    table[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
+    items = checkpointed(items.select("item", "text").mapInArrow(_item_words(n), "item long, words array<long>, grams array<long>, own array<long>").dropDuplicates(["item"]))
+    seeds = items.select("item", F.size("words").alias("m"), "own", F.posexplode("grams").alias("place", "gram"))
+    table = filled(seeds.select(F.col("gram").alias("hash")), FILTER_BITS)
     longest = int(items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0])
-    found = docs.mapInArrow(_stretches(spark.sparkContext.broadcast(table), n, longest + MARGIN), "id long, doc_id long, first long, words array<long>, places array<long>, grams array<long>")
+    # An alignment of least_score has no more gaps and other words than its item has words: it reaches so far beyond its place.
+    found = docs.mapInArrow(_stretches(spark.sparkContext.broadcast(table), n, 2 * longest), "id long, doc_id long, first long, words array<long>, places array<long>, grams array<long>, sets array<long>")
     found = checkpointed(found)
 
-    hits = found.select("id", "first", F.explode(F.arrays_zip("places", "grams")).alias("h")).select("id", "first", F.col("h.places").alias("at"), F.col("h.grams").alias("gram"))
-    hits = hits.join(seeds, "gram")
+    hits = found.select("id", "first", "sets", F.posexplode(F.arrays_zip("places", "grams")).alias("k", "h"))
+    hits = hits.select("id", "first", F.col("h.places").alias("at"), F.col("h.grams").alias("gram"), F.slice("sets", F.col("k") * SET_LONGS + 1, F.lit(SET_LONGS)).alias("around"))
+    # How many pairs a seed would make: its hits times its items.
+    pairs = hits.groupBy("gram").agg(F.count("*").alias("n_hits")).join(seeds.groupBy("gram").agg(F.count("*").alias("n_items")), "gram")
+    pairs = pairs.select("gram", (F.col("n_hits") * F.col("n_items") <= RARE_PAIRS).alias("rare"))
+    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+    salted = seeds.join(pairs, "gram").withColumn("salt", salts)
+    met = hits.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
+    # Words of the item that aren't around the hit are no matches; the sets show some of these.
+    lost = F.aggregate(F.zip_with("own", "around", lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda total, x: total + x)
+    met = met.where(F.col("rare") | (lost <= F.floor(F.col("m") * (1 - least_score) + 1e-9)))
     # Seeds of one copy lie on near diagonals: one window for each band of them.
     band = F.floor((F.col("at") - F.col("place")) / (F.col("m") + 1))
-    windows = hits.groupBy("id", "first", "item", "m", band.alias("band"))
+    windows = met.groupBy("id", "first", "item", "m", band.alias("band"))
     windows = windows.agg(F.min(F.col("at") - F.col("place")).alias("lo"), F.max(F.col("at") - F.col("place") + F.col("m")).alias("hi"))
-    slack = F.floor(F.col("m") / 2) + 8
-    lo, hi = F.greatest(F.lit(1), F.col("lo") - slack + 1), F.col("hi") + slack + 1
+    lo, hi = F.greatest(F.lit(1), F.col("lo") - F.col("m") + 1), F.col("hi") + F.col("m") + 1
     # A copy in a stretch is found from each of its bands; equal ids have equal stretches.
     once = found.select("id", "first", "words").dropDuplicates(["id", "first"])
     texts = windows.join(once, ["id", "first"]).select("id", "item", "m", (F.col("first") + lo - 1).alias("first"), F.slice("words", lo, hi - lo).alias("text_words"))
-    ready = texts.join(items.select("item", F.col("words").alias("item_words")), "item").select("id", "item", "first", "m", "item_words", "text_words")
+    texts = texts.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int"))
+    ready = texts.join(items.select("item", F.col("words").alias("item_words"), salts.alias("salt")), ["item", "salt"]).select("id", "item", "first", "m", "item_words", "text_words")
     scored = ready.mapInArrow(_aligned(least_score), "id long, item long, score double, first_word long, end_word long").where(F.col("score") >= least_score)
     best = scored.groupBy("id", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("f"), "end_word")).alias("b"))
     best = best.join(found.select("id", "doc_id").distinct(), "id")

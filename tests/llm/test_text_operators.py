@@ -1,6 +1,7 @@
 """Decontamination and personal data against brute force; the pipeline on a small corpus."""
 
 import random
+import time
 import re
 
 import numpy as np
@@ -92,6 +93,77 @@ def test_an_edited_copy_in_many_documents_is_found_next_to_an_exact_one(spark):
     assert got == {**dict.fromkeys(range(100), 0.7125), 100: 1.0, 101: 0.7125}
 
 
+def share_of_best(item, text):
+    """Best local alignment by what the whole item would have, cell by cell."""
+    row, best = [0] * (len(text) + 1), 0
+    for a in item:
+        diagonal, row[0] = row[0], 0
+        for j, b in enumerate(text, 1):
+            value = max(0, diagonal + (2 if a == b else -1), row[j] - 1, row[j - 1] - 1)
+            diagonal, row[j] = row[j], value
+            best = max(best, value)
+    return best / (2 * len(item))
+
+
+def test_a_split_copy_has_one_score_wherever_it_stands(spark):
+    """Two halves of an item with other words between them, at seven places and with two distances."""
+    item = [f"i{k}" for k in range(40)]
+    rows, want = [], {}
+    for half, apart in ((19, 33), (20, 36)):
+        for before in (0, 5, 10, 15, 20, 30, 40):
+            text = [f"x{k}" for k in range(before)] + item[:half] + [f"y{k}" for k in range(apart)] + item[40 - half :] + ["end"] * before
+            want[len(rows)] = share_of_best(item, text)
+            rows.append((len(rows), " ".join(text)))
+    got = {r.doc_id: r.score for r in decontaminate.contaminated_spans(frame(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == want and set(want.values()) == {0.5375, 0.55}
+
+
+def test_recall_on_edited_copies(spark):
+    """Copies with words replaced, put in, left out, moved and split: nine of ten that plain alignment finds, no others, equal scores."""
+    rng = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items = {k: [rng.choice(vocabulary) + rng.choice(["", "", str(k)]) for _ in range(rng.randrange(12, 60))] for k in range(40)}
+    rows = []
+    for n in range(240):
+        copy = list(items[n % 40])
+        for _ in range(rng.randrange(1 + len(copy) // 4)):
+            at, kind = rng.randrange(len(copy)), rng.randrange(4)
+            if kind == 0:
+                copy[at] = "new" + str(rng.randrange(999))
+            elif kind == 1:
+                copy.insert(at, rng.choice(vocabulary))
+            elif kind == 2 and len(copy) > 4:
+                del copy[at]
+            else:
+                copy[at:] = [rng.choice(vocabulary) for _ in range(rng.randrange(6))] + copy[at:]
+        pad = lambda: [rng.choice(vocabulary) for _ in range(rng.randrange(70))]
+        rows.append((n, " ".join(pad() + copy + pad())))
+    want = {(n, k): score for n, t in rows for k, item in items.items() if (score := share_of_best(item, t.split())) >= 0.5}
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    for pairs in (1000, 0):
+        decontaminate.RARE_PAIRS, before = pairs, decontaminate.RARE_PAIRS
+        try:
+            got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated_spans(frame(spark, rows), bench).collect()}
+        finally:
+            decontaminate.RARE_PAIRS = before
+        assert set(got) <= set(want) and len(got) >= 0.9 * len(want) > 150
+        assert all(got[k] == want[k] for k in got)
+
+
+def test_a_seed_that_all_items_and_texts_share(spark):
+    """Four words that 1,000 items and 6,000 texts have make no result, and one real copy is found."""
+    rng = random.Random(3)
+    phrase = ["on", "the", "other", "hand"]
+    word = lambda: f"w{rng.randrange(30_000)}"
+    items = [(k, " ".join([word() for _ in range(20)] + phrase + [word() for _ in range(20)])) for k in range(1000)]
+    rows = [(k, " ".join([word() for _ in range(30)] + phrase + [word() for _ in range(30)])) for k in range(6000)] + [(9999, items[7][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    began = time.monotonic()
+    got = decontaminate.contaminated_spans(frame(spark, rows), bench).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in got] == [(9999, 7, 1.0)]
+    assert time.monotonic() - began < 60
+
+
 def test_leak_edge_cases(spark):
     item = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "too short here"), (None, item)], "item_id long, text string")
