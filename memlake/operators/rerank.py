@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,43 +57,45 @@ def budget_blocks(lines: DataFrame, key: str, order: list[str], budget: int) ->
     return lines.withColumn("used", running).where(F.col("used") - 1 <= budget)
 
 
-def _collapse(jaccard: float, containment: float):
-    def collapse(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[frozenset] = []
-        rows = []
-        for row in group.sort_values(["rank", "id"]).itertuples():
-            own = frozenset(row.tokens)
-            if own and all(len(own & k) / len(own | k) < jaccard and len(own & k) / min(len(own), len(k)) < containment for k in kept):
-                kept.append(own)
-                rows.append((row.query_id, row.id, row.rank))
-        return pd.DataFrame(rows, columns=["query_id", "id", "rank"])
-
-    return collapse
-
-
 def collapse_near_duplicates(rows: DataFrame, jaccard: float = 0.72, containment: float = 0.86) -> DataFrame:
     """Rows of each query that resemble no kept earlier one; rows without tokens go.
 
     Greedy by rank, so sequential within a query; ``rows(query_id, id, rank, tokens)``
-    are a query's candidates, a few dozen at most.
+    are a query's candidates, a few dozen at most, folded in one row.
+    """
+    own = F.sort_array(F.collect_list(F.struct("rank", "id", F.array_distinct("tokens").alias("tokens"))))
+
+    def alike(a: Column, b: Column) -> Column:
+        shared, n, m = F.size(F.array_intersect(a, b)), F.size(a), F.size(b)
+        return (shared / (n + m - shared) >= jaccard) | (shared / F.least(n, m) >= containment)
+
+    def keep(kept: Column, row: Column) -> Column:
+        fresh = (F.size(row["tokens"]) > 0) & ~F.exists(kept, lambda k: alike(row["tokens"], k["tokens"]))
+        return F.when(fresh, F.array_append(kept, row)).otherwise(kept)
+
+    grouped = rows.groupBy("query_id").agg(own.alias("own"))
+    kept = grouped.select("query_id", F.explode(F.aggregate("own", F.filter("own", lambda _: F.lit(False)), keep)).alias("k"))
+    return kept.select("query_id", "k.id", "k.rank")
+
+
+def coverage_rerank(rows: DataFrame, k: int = 5, least_words: int = 4) -> DataFrame:
+    """``query_id, id, position``: the ``k`` rows of each query, those first that add most of its words.
+
+    ``rows(query_id, id, rank, words, hits)``: ``words`` is the number of the query's
+    words, ``hits`` are those that the row has.  A query of fewer than ``least_words``
+    words, or with no more than ``k`` rows, keeps the order of its rows.  A query's
+    candidates, a few dozen, are folded in one row; of rows that add alike the first counts.
     """
-    return rows.groupBy("query_id").applyInPandas(_collapse(jaccard, containment), "query_id long, id long, rank long")
-
-
-def _cover(group: pd.DataFrame) -> pd.DataFrame:
-    left = group.sort_values(["rank", "id"]).to_dict("records")
-    covered: set = set()
-    out = []
-    while left:
-        gains = [len(set(r["hits"]) - covered) for r in left]
-        # Rows that add most come first while any adds; the rest keeps its order.
-        at = gains.index(max(gains))
-        row = left.pop(at)
-        covered |= set(row["hits"])
-        out.append((row["query_id"], row["id"], len(out) + 1))
-    return pd.DataFrame(out, columns=["query_id", "id", "position"])
-
-
-def coverage_rerank(rows: DataFrame) -> DataFrame:
-    """``rows(query_id, id, rank, hits)`` in greedy order of the query tokens that they add; a query's few candidates are one group."""
-    return rows.groupBy("query_id").applyInPandas(_cover, "query_id long, id long, position long")
+    own = F.sort_array(F.collect_list(F.struct("rank", "id", "hits")))
+    grouped = rows.groupBy("query_id").agg(F.max("words").alias("words"), own.alias("own"))
+
+    def pick(state: Column, _: Column) -> Column:
+        gains = F.transform(state["left"], lambda r: F.struct((-F.size(F.array_except(r["hits"], state["covered"]))).alias("less"), r.alias("row")))
+        best = F.array_min(gains)["row"]
+        left = F.filter(state["left"], lambda r: (r["rank"] != best["rank"]) | (r["id"] != best["id"]))
+        return F.struct(left.alias("left"), F.array_union(state["covered"], best["hits"]).alias("covered"), F.array_append(state["out"], best["id"]).alias("out"))
+
+    start = F.struct(F.col("own").alias("left"), F.expr("cast(array() as array<string>)").alias("covered"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    greedy = F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, pick)["out"]
+    order = F.when((F.col("words") >= least_words) & (F.size("own") > k), greedy).otherwise(F.slice(F.col("own.id"), 1, k))
+    return grouped.select("query_id", F.posexplode(order).alias("at", "id")).select("query_id", "id", (F.col("at") + 1).cast("long").alias("position"))

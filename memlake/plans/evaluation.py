@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memlake.functions import text as T
 from memlake.operators import evaluate, rerank
 from memlake.operators.store import duplicate_members
-from memlake.plans.retrieval import _BATCH, recall_batch
+from memlake.plans.retrieval import _BATCH, recall, recall_batch
 from memlake.sources.tables import events, table, texts
 
 # Events stand for graded probes: a user is a life, the type tells what happened, the value a score.
@@ -271,17 +271,41 @@ ROUND_ROBIN = _BATCH + """, x AS (SELECT query_id % 10 AS q, CAST(query_id // 10
 SELECT q, id, position FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY f.a, f.b, id) AS position FROM f) WHERE position <= 5"""
 
 
+def _hit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = texts(spark, sf_dir).select("id", F.array_distinct(T.tokens("content")).alias("tokens"))
+    return recall(spark, sf_dir, 12).join(own, "id")
+
+
 def near_dup_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = recall_batch(spark, sf_dir).join(texts(spark, sf_dir).select("id", F.array_distinct(T.tokens("content")).alias("tokens")), "id")
-    return rerank.collapse_near_duplicates(hits.select("query_id", "id", "rank", "tokens"))
+    """Each probe's first 12 texts without those that say much the same as an earlier one."""
+    return rerank.collapse_near_duplicates(_hit_tokens(spark, sf_dir).select("query_id", "id", "rank", "tokens"))
+
+
+_WIDE = _BATCH.replace("rank <= 5", "rank <= 12").replace("WITH t AS", "WITH RECURSIVE t AS", 1)
+#: Rows ``fx(query_id, pos, id, tok)`` folded in the order of ``pos``: kept unless they are near a kept one.
+COLLAPSE_SQL = """fk AS (SELECT DISTINCT query_id, 0 AS pos, CAST([] AS VARCHAR[][]) AS kept, false AS added FROM fx UNION ALL
+SELECT query_id, pos, CASE WHEN fresh THEN list_append(kept, tok) ELSE kept END, fresh FROM (
+  SELECT fx.query_id, fx.pos, fk.kept, fx.tok, len(fx.tok) > 0 AND len(list_filter(fk.kept, lambda o: len(list_intersect(o, fx.tok)) / (len(o) + len(fx.tok) - len(list_intersect(o, fx.tok))) >= 0.72
+    OR len(list_intersect(o, fx.tok)) / least(len(o), len(fx.tok)) >= 0.86)) = 0 AS fresh FROM fk JOIN fx ON fx.query_id = fk.query_id AND fx.pos = fk.pos + 1))"""
+NEAR_DUP_COLLAPSE = _WIDE + f""", fx AS (SELECT query_id, rank AS pos, r.id, list_distinct(ts) AS tok FROM r JOIN t USING (id)), {COLLAPSE_SQL}
+SELECT fx.query_id, fx.id, fx.pos AS rank FROM fk JOIN fx USING (query_id, pos) WHERE added"""
 
 
 def coverage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each probe's first 12 texts, the five that together have most of its words first."""
     from memlake.plans.retrieval import _probes
 
-    own = texts(spark, sf_dir).select("id", T.tokens("content").alias("tokens"))
-    hits = recall_batch(spark, sf_dir).join(own, "id").join(_probes(spark, sf_dir), "query_id")
-    return rerank.coverage_rerank(hits.select("query_id", "id", "rank", F.array_intersect("terms", "tokens").alias("hits")))
+    hits = _hit_tokens(spark, sf_dir).join(_probes(spark, sf_dir).withColumn("terms", F.array_distinct("terms")), "query_id")
+    return rerank.coverage_rerank(hits.select("query_id", "id", "rank", F.size("terms").alias("words"), F.array_intersect("terms", "tokens").alias("hits")))
+
+
+COVERAGE_RERANK = _WIDE + """, qt AS (SELECT query_id, list(DISTINCT term) AS terms FROM q GROUP BY 1),
+cx AS (SELECT query_id, rank AS pos, r.id, len(terms) AS words, list_intersect(terms, ts) AS hits, count(*) OVER (PARTITION BY query_id) AS m FROM r JOIN t USING (id) JOIN qt USING (query_id)),
+cl AS (SELECT query_id, list(struct_pack(pos := pos, id := id, hits := hits) ORDER BY pos) AS lst FROM cx WHERE words >= 4 AND m > 5 GROUP BY 1),
+cg AS (SELECT query_id, 0 AS n, lst AS lft, CAST([] AS VARCHAR[]) AS cov, CAST(NULL AS BIGINT) AS id FROM cl UNION ALL
+SELECT query_id, n + 1, list_filter(lft, lambda e: e.pos <> b.row.pos), list_concat(cov, b.row.hits), b.row.id FROM (
+  SELECT query_id, n, lft, cov, list_min(list_transform(lft, lambda e: struct_pack(less := -len(list_filter(e.hits, lambda h: NOT list_contains(cov, h))), pos := e.pos, row := e))) AS b FROM cg WHERE n < 5))
+SELECT query_id, id, CAST(n AS BIGINT) AS position FROM cg WHERE n > 0 UNION ALL SELECT query_id, id, pos FROM cx WHERE (words < 4 OR m <= 5) AND pos <= 5"""
 
 
 def budget_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,7 +226,7 @@ def relation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RELATION_EXPAND = """
-SELECT DISTINCT query_id, id FROM (SELECT c_custkey AS query_id, CAST(c_nationkey AS BIGINT) AS id FROM customer WHERE c_custkey <= 200
+SELECT DISTINCT query_id, id FROM (SELECT c_custkey AS query_id, CAST(c_nationkey AS BIGINT) AS id FROM customer
 UNION ALL SELECT c_custkey, CAST(n_nationkey AS BIGINT) FROM customer JOIN nation ON n_regionkey = c_custkey % 5) WHERE id % 7 <> 0
 """
 

@@ -10,6 +10,7 @@ from memlake.functions import text as T
 from memlake.operators import labels as L
 from memlake.operators import prefetch as P
 from memlake.operators import search
+from memlake.plans.evaluation import COLLAPSE_SQL
 from memlake.plans.retrieval import _BATCH, _FOLD, _IMPORTANCE, _TOKENS, _WEIGHT, _probes, index
 from memlake.sources.tables import importance, table, texts, turns, with_importance
 
@@ -233,6 +234,17 @@ def prefetch_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.bank(_hits(spark, sf_dir), P.profile()).select("query_id", "position", "id", F.md5(F.col("line").cast("binary")).alias("digest"))
 
 
+_BANK = (
+    _CANDIDATES.replace("WITH t AS", "WITH RECURSIVE t AS", 1)
+    + f""", gp AS (SELECT *, trim(CASE WHEN id % 5 IN (0, 1, 4) THEN substr(content, strpos(content, ']') + 1) ELSE content END) AS bare FROM g WHERE skipped IS NULL),
+fx AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, id) AS pos, id, list_distinct(list_filter(regexp_extract_all(lower(bare), '[a-z0-9][a-z0-9_./:-]*'), lambda w: length(w) > 2 AND NOT list_contains({_sql_list(P.COMMON_WORDS)}, w))) AS tok,
+  '  [2024-01-0' || (id % 9 + 1) || 'T08:15] (importance 0.' || (id % 10) || '0' || CASE WHEN source = 'conversation' THEN '' ELSE ', source ' || source END || ') ' || trim(regexp_replace(content, '\\s+', ' ', 'g')) AS line FROM gp),
+{COLLAPSE_SQL}, bk AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS position, id, line FROM fk JOIN fx USING (query_id, pos) WHERE added QUALIFY position <= 5)
+"""
+)
+PREFETCH_BANK = _BANK + "SELECT query_id, position, id, md5(line) AS digest FROM bk"
+
+
 def prefetch_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that each probe gets: identity rows, model slots and memories, within the budget."""
     found = P.bank(_hits(spark, sf_dir), P.profile())
@@ -244,6 +256,37 @@ def prefetch_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.render(P.first_lines(P.blocks(identity, model, found)), 4000)
 
 
+_CUT_SQL = "CASE WHEN strpos({c}, ' ') > 0 AND length({c}) - strpos(reverse({c}), ' ') >= greatest(8, ({n}) // 2) THEN regexp_replace(substr({c}, 1, length({c}) - strpos(reverse({c}), ' ')), '\\s+$', '') ELSE {c} END"
+
+
+def _cut_sql(line: str, room: str) -> str:
+    return _CUT_SQL.format(c=f"regexp_replace(substr({line}, 1, CAST(greatest({room}, 0) AS BIGINT)), '\\s+$', '')", n=room)
+
+
+PREFETCH_BLOCKS = (
+    _BANK
+    + f""", sa AS (SELECT item_id AS query_id, unnest({_slot_sql("'economy ring ' || text")}) AS token FROM benchmark),
+sh AS (SELECT 'model:' || lower(p_type) AS category, replace(p_name, ' ', '_') || '-' || p_partkey AS name, p_type || ' for the ' || p_brand AS body, p_size / 50 AS confidence FROM part),
+st AS (SELECT *, unnest({_slot_sql("category || ' ' || name || ' ' || body")}) AS token FROM sh), sm AS (SELECT query_id, category, name, body, confidence, count(*) AS overlap FROM sa JOIN st USING (token) GROUP BY ALL),
+sl AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, confidence DESC, category, name) AS position, '  [' || category || '] ' || replace(name, '_', ' ') || ': ' || body AS line FROM sm QUALIFY position <= 3),
+ii AS (SELECT conv_id, turn, text, turn % 3 / 4 AS importance, '2024-01-0' || (turn + 1) || 'T08:15' AS moment FROM conversations WHERE role = 'user' AND text <> '' AND conv_id IN (SELECT item_id FROM benchmark)),
+im AS (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY importance DESC, moment DESC, turn) AS n FROM ii WHERE NOT EXISTS (SELECT 1 FROM bk WHERE bk.query_id = ii.conv_id AND contains(bk.line, ii.text))),
+il AS (SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY importance DESC, moment DESC, turn) AS position, '  [' || moment || '] (importance ' || CASE turn % 3 WHEN 0 THEN '0.00' WHEN 1 THEN '0.25' ELSE '0.50' END || ') [IDENTITY] ' || text AS line FROM im WHERE n = 1),
+bl AS (SELECT query_id, 0 AS block, position, line FROM il UNION ALL SELECT DISTINCT query_id, 0, 0, '## Identity' FROM il UNION ALL SELECT query_id, 1, position, line FROM sl UNION ALL SELECT DISTINCT query_id, 1, 0, '## Model' FROM sl
+  UNION ALL SELECT query_id, 2, position, line FROM bk UNION ALL SELECT DISTINCT query_id, 2, 0, '## Memories' FROM bk),
+bn AS (SELECT *, lower(trim(regexp_replace(regexp_replace(trim(line), '^\\s*(?:(?:\\[[^\\]]*\\]|\\([^)]*\\))\\s*)+', ''), '\\s+', ' ', 'g'))) AS norm FROM bl),
+bf AS (SELECT *, norm = '' OR regexp_matches(line, '^\\s*(?:#|$)') AS fixed FROM bn), bd AS (SELECT *, row_number() OVER (PARTITION BY query_id, norm, fixed ORDER BY block, position) AS n FROM bf),
+ln AS (SELECT query_id, line, row_number() OVER (PARTITION BY query_id ORDER BY block, position) AS pos, row_number() OVER (PARTITION BY query_id, block ORDER BY position) AS k FROM bd WHERE fixed OR n = 1),
+lg AS (SELECT query_id, line, pos, CASE WHEN pos = 1 THEN '' WHEN k = 1 THEN chr(10) || chr(10) ELSE chr(10) END AS gap, CASE WHEN length(line) > 1000 THEN {_cut_sql("line", str(1000 - len(P.CUT_MARK)))} || '{P.CUT_MARK}' END AS short FROM ln),
+fw AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS pos, '' AS txt, true AS opn, false AS cut FROM lg UNION ALL
+SELECT query_id, pos, CASE WHEN whole THEN txt || gap || line WHEN short IS NOT NULL AND room >= {1000 + len(P.CUT_MARK)} THEN txt || gap || short WHEN room - {len(P.CUT_MARK)} > 16 AND trim(line) <> '' THEN txt || gap || ({_cut_sql("line", f"room - {len(P.CUT_MARK)}")}) || '{P.CUT_MARK}' ELSE txt END,
+  whole OR (short IS NOT NULL AND room >= {1000 + len(P.CUT_MARK)}), cut OR NOT whole FROM (
+  SELECT *, length(line) <= room AS whole FROM (SELECT lg.query_id, lg.pos, txt, cut, gap, line, short, 4000 - length(txt) - length(gap) AS room FROM fw JOIN lg ON lg.query_id = fw.query_id AND lg.pos = fw.pos + 1 WHERE opn))),
+fe AS (SELECT query_id, arg_max(txt, pos) AS txt, arg_max(opn, pos) AS opn, arg_max(cut, pos) AS cut FROM fw GROUP BY 1), ft AS (SELECT query_id, cut, CASE WHEN opn THEN txt ELSE ({_cut_sql("txt", str(4000 - len(P.LEFT_OUT_MARK)))}) || '{P.LEFT_OUT_MARK}' END AS txt FROM fe)
+SELECT query_id, substr(txt, 1, 4000) AS context, cut OR length(txt) > 4000 AS truncated FROM ft"""
+)
+
+
 def _plain_tokens(text: str) -> Column:
     """Tokens in ASCII, as the SQL's edit distances count bytes."""
     return F.transform(T.tokens(text), lambda t: F.regexp_replace(t, r"[^\x00-\x7F]", "x"))

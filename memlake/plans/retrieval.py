@@ -235,8 +235,12 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("item_id").alias("query_id"), F.transform(search.fallback_terms(F.col("text")), T.fold).alias("terms"))
 
 
+def recall(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return search.recall_batch(index(spark, sf_dir), _probes(spark, sf_dir), k)
+
+
 def recall_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.recall_batch(index(spark, sf_dir), _probes(spark, sf_dir), 5)
+    return recall(spark, sf_dir, 5)
 
 
 _BATCH = f"""

@@ -46,14 +46,14 @@ CASE WHEN conv_id % 2 = 0 AND (turn % 7 IN (3, 6) OR regexp_matches(lower(text),
 
 
 def event_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days and hours of events read back from ISO text, and a day from a Unix time; what can't be read is null."""
+    """Days and seconds of events read back from ISO text, and a day from a Unix time; what can't be read is null."""
     e = events(spark, sf_dir).withColumn("iso", F.when(F.col("event_id") % 10 == 9, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")))
     seconds = F.when(F.col("event_id") % 7 == 6, F.lit(float("nan"))).when(F.col("event_id") % 7 == 5, F.lit(1e18)).otherwise(F.unix_timestamp("ts").cast("double"))
-    return e.select("event_id", S.days_since("iso", START).alias("days"), F.round(S.age_hours("iso", NOW), 3).alias("hours"), S.minute_stamp("iso").alias("minute"), S.utc_date(seconds).cast("string").alias("day"))
+    return e.select("event_id", S.days_since("iso", START).alias("days"), F.round(S.age_hours("iso", NOW) * 3600).cast("long").alias("seconds"), S.minute_stamp("iso").alias("minute"), S.utc_date(seconds).cast("string").alias("day"))
 
 
 EVENT_AGES = f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS t, event_id % 10 = 9 AS bad FROM events)
-SELECT event_id, CASE WHEN NOT bad THEN CAST(floor(epoch(t - TIMESTAMP '{START}') / 86400) AS BIGINT) END AS days, CASE WHEN NOT bad THEN round(epoch(TIMESTAMP '{NOW}' - t) / 3600, 3) END AS hours,
+SELECT event_id, CASE WHEN NOT bad THEN CAST(floor(epoch(t - TIMESTAMP '{START}') / 86400) AS BIGINT) END AS days, CASE WHEN NOT bad THEN CAST(epoch(TIMESTAMP '{NOW}' - t) AS BIGINT) END AS seconds,
 CASE WHEN bad THEN 'no time' ELSE strftime(t, '%Y-%m-%dT%H:%M') END AS minute, CASE WHEN event_id % 7 < 5 THEN CAST(CAST(t AS DATE) AS VARCHAR) END AS day FROM e"""
 
 

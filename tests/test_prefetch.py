@@ -30,31 +30,65 @@ def test_folding_matches_plain_python(spark):
 
 
 def test_coverage_matches_plain_python(spark):
+    """The greedy order with its two gates: short queries and few rows keep their order."""
     rng = random.Random(2)
-    rows = [(q, i, i, sorted({f"t{rng.randrange(8)}" for _ in range(rng.randrange(0, 5))})) for q in range(5) for i in range(12)]
-    frame = spark.createDataFrame(rows, "query_id long, id long, rank long, hits array<string>")
-    got = {(r.query_id, r.position): r.id for r in rerank.coverage_rerank(frame).collect()}
-    for q in range(5):
-        left, seen = [(i, set(h)) for p, i, _, h in rows if p == q], set()
-        for position in range(1, 13):
-            best = max(left, key=lambda e: (len(e[1] - seen), -e[0]))
+    sizes = [12, 12, 12, 5, 4, 9, 1]
+    words = [4, 8, 3, 8, 8, 5, 4]
+    rows = [(q, i, i, words[q], sorted({f"t{rng.randrange(words[q])}" for _ in range(rng.randrange(0, 5))})) for q in range(7) for i in range(sizes[q])]
+    frame = spark.createDataFrame(rows, "query_id long, id long, rank long, words int, hits array<string>")
+    got = {}
+    for r in rerank.coverage_rerank(frame, k=5).collect():
+        got.setdefault(r.query_id, {})[r.position] = r.id
+    for q in range(7):
+        left, seen, want = [(i, set(h)) for p, i, _, _, h in rows if p == q], set(), []
+        greedy = words[q] >= 4 and sizes[q] > 5
+        for _ in range(min(5, sizes[q])):
+            best = max(left, key=lambda e: (len(e[1] - seen) if greedy else 0, -e[0]))
             left.remove(best)
             seen |= best[1]
-            assert got[(q, position)] == best[0]
+            want.append(best[0])
+        assert [got[q][k + 1] for k in range(len(want))] == want and len(got[q]) == len(want)
+
+
+def contexts(spark, cases):
+    """The rendered text of each (blocks, budget)."""
+    out = {}
+    for budget in {b for _, b in cases}:
+        rows = [(n, at, k, line) for n, (blocks, b) in enumerate(cases) if b == budget for at, block in enumerate(blocks) for k, line in enumerate(block)]
+        frame = spark.createDataFrame(rows, "query_id long, block int, position long, line string")
+        out |= {r.query_id: (r.context, r.truncated) for r in prefetch.render(frame, budget).collect()}
+    return [out[n] for n in range(len(cases))]
 
 
-def test_budget_never_overflows_and_keeps_what_fits():
+def test_budget_never_overflows_and_keeps_what_fits(spark):
     rng = random.Random(3)
-    for _ in range(300):
+    cases = []
+    for n in range(240):
         blocks = [[" ".join("word"[: rng.randrange(1, 5)] for _ in range(rng.randrange(1, 120))) for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(1, 4))]
+        cases.append((blocks, (256, 300, 777, 1500, 2999)[n % 5]))
+    for (blocks, budget), (text, cut) in zip(cases, contexts(spark, cases), strict=True):
         whole = "\n\n".join("\n".join(b) for b in blocks)
-        budget = rng.randrange(256, 3000)
-        text, cut = prefetch.fill(blocks, budget)
         assert len(text) <= budget
         if len(whole) <= budget:
             assert (text, cut) == (whole, False)
         else:
             assert cut and ("truncated" in text or "omitted" in text)
+            # All lines before the first that is cut stand whole.
+            assert whole.startswith(text.split(" …")[0])
+
+
+def test_budget_cases(spark):
+    """A long line is cut to its share and others follow it; a line that nearly fits closes the text; blanks add nothing."""
+    long = "abcd " * 200
+    mark, more = prefetch.CUT_MARK, prefetch.LEFT_OUT_MARK
+    got = contexts(spark, [([[long, "next"]], 600), ([["x" * 500, "y " * 80]], 600), ([["x" * 599, ""]], 600), ([["a", "b"], ["c"]], 600), ([["x" * 2000]], 600), ([["x" * 590, "   " * 20]], 600)])
+    share = 150
+    assert got[0] == ("abcd " * ((share - len(mark)) // 5 - 1) + "abcd" + mark + "\nnext", True)
+    assert got[1][1] and got[1][0].endswith(more) and got[1][0].startswith("x" * 500) and len(got[1][0]) <= 600
+    assert got[2] == ("x" * (600 - len(more)) + more, True) or got[2] == ("x" * 599 + "\n", False)
+    assert got[3] == ("a\nb\n\nc", False)
+    assert got[4] == ("x" * (share - len(mark)) + mark, True)
+    assert got[5][1] and got[5][0].endswith(more)
 
 
 def test_bank_and_context(spark):
