@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import ascii_lower, tokens
@@ -25,34 +25,77 @@ def phrases(query: str) -> list[list[str]]:
     return [p for p in found if p]
 
 
+#: Ids that share a block of postings, and the best blocks of each term that are kept for bounds.
+BLOCK_IDS, BEST_BLOCKS = 128, 64
+#: Scores are rounded to six digits: bounds leave this much room.
+ROOM = 1e-5
+
+
 class Index(NamedTuple):
-    """``postings(term, id, dl, tf, positions)`` sorted by term, ``terms(term, df)``, and ``corpus(n, avgdl)``, one row."""
+    """The written index.
 
-    postings: DataFrame
-    terms: DataFrame
+    ``blocks(term, block, entries)``: a term's postings ``(id, dl, tf, positions)`` of
+    the ids of one block.  ``bounds(term, block, n, top)``: a block's number of
+    postings and the greatest factor of term frequency and length in it.
+    ``terms(term, df, tops)``: the texts of a term and the greatest factors of its
+    best blocks, falling.  ``corpus(n, avgdl)``: one row.
+    """
+
+    blocks: DataFrame
+    bounds: DataFrame
+    terms_tops: DataFrame
     corpus: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """``term, id, dl, tf, positions``, a row for each text of a term."""
+        return self.blocks.where("term is not null").select("term", F.explode("entries").alias("e")).select("term", "e.*")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.terms_tops.select("term", "df")
+
 
 def build_index(memories: DataFrame, folder: str) -> Index:
-    """Tokenise the memories once and write their postings.
+    """Tokenise the memories once and write their postings in blocks of ids, then the blocks' bounds.
 
-    Postings are dealt by ranges of term and id, so a term that most texts have
-    spans several files, and a query's terms select a few row groups.
+    A text's tokens go through one shuffle, by term and block, so a term that most
+    texts have is dealt over as many tasks as there are blocks.  A row without a term
+    has the lengths of a block's texts.
     """
     spark = memories.sparkSession
-    own = memories.select("id", tokens("content").alias("t"))
-    lengths = own.select("id", F.size("t").alias("dl"), F.posexplode_outer("t").alias("at", "term"))
-    grouped = lengths.groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-    grouped.write.mode("overwrite").parquet(f"{folder}/by_text")
-    by_text = spark.read.parquet(f"{folder}/by_text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    posted = by_text.where("term is not null").select("term", "id", "dl", "tf", "positions")
-    posted.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
-    # A text's length stands in each of its rows; one without tokens has a row without a term.
-    by_text.select("id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/corpus")
-    return Index(postings, spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/corpus"))
+    own = memories.select("id", F.floor(F.col("id") / BLOCK_IDS).alias("block"), tokens("content").alias("t"))
+    placed = F.transform("t", lambda word, at: F.struct(word.alias("term"), at.alias("at")))
+    length = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("at"))
+    words = own.select("id", "block", F.size("t").alias("dl"), F.explode(F.concat(F.array(length), placed)).alias("w")).select("w.term", "block", "id", "dl", "w.at")
+    dealt = words.repartition(parts, "term", "block")
+    posted = dealt.groupBy("term", "block", "id", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    entry = F.struct("id", "dl", F.size("positions").alias("tf"), "positions")
+    blocks = posted.groupBy("term", "block").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    # Sorted by term, a query's terms select a few row groups.
+    blocks.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    lengths = blocks.where("term is null").select(F.explode("entries.dl").alias("dl"))
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/corpus")
+    corpus = spark.read.parquet(f"{folder}/corpus")
+    # Of the entries only lengths and frequencies are read.
+    narrow = blocks.where("term is not null").select("term", "block", F.arrays_zip(F.col("entries.tf").alias("tf"), F.col("entries.dl").alias("dl")).alias("e")).crossJoin(F.broadcast(corpus))
+    top = F.array_max(F.transform("e", lambda e: frequency_factor(e["tf"], e["dl"], F.col("avgdl"))))
+    narrow.select("term", "block", F.size("e").alias("n"), top.alias("top")).write.mode("overwrite").parquet(f"{folder}/bounds")
+    bounds = spark.read.parquet(f"{folder}/bounds")
+    df = bounds.groupBy("term").agg(F.sum("n").alias("df"))
+    # The best blocks of each part of the cluster, then of all: a term of very many blocks isn't one task's.
+    salted = Window.partitionBy("term", F.pmod("block", F.lit(64))).orderBy(F.desc("top"))
+    some = bounds.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= BEST_BLOCKS)
+    best = some.groupBy("term").agg(F.slice(F.sort_array(F.collect_list("top"), asc=False), 1, BEST_BLOCKS).alias("tops"))
+    df.join(best, "term").write.mode("overwrite").parquet(f"{folder}/terms")
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    """An index that was written before."""
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "bounds", "terms", "corpus")])
 
 
 def _phrase_frequency(places: list[Column]) -> Column:
@@ -67,9 +110,16 @@ def _less(j: int) -> Callable[[Column], Column]:
     return lambda p: p - j
 
 
+def rarity(df: Column, n: Column) -> Column:
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+
+
+def frequency_factor(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def bm25_weight(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> Column:
-    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    return rarity(df, n) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 def score(index: Index, query: str) -> DataFrame:
@@ -135,18 +185,59 @@ def fallback_terms(text: Column | str, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))), 1, most)
 
 
+class Bounded(NamedTuple):
+    """The steps of a pruned recall: query terms, blocks that may hold a result, and its candidates."""
+
+    wanted: DataFrame
+    live: DataFrame
+    partial: DataFrame
+
+
+def bounded(index: Index, queries: DataFrame, k: int) -> Bounded:
+    """What can be among the ``k`` best texts of each query, by the bounds of terms and blocks.
+
+    The k-th best block of a term holds a text with at least the block's greatest
+    weight, so the best such weight of a query's terms is a floor: no result scores
+    less.  Terms that together can't reach the floor bring in no text by themselves
+    and aren't ``essential``: a term that all texts have usually is none of these.  A
+    block is live if its essential terms' bounds and all of what the other terms may
+    add reach the floor, and only live blocks are read for essential terms.  Texts
+    are dropped once more by their own weights.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    corpus = F.broadcast(index.corpus)
+    known = asked.join(index.terms_tops, "term").crossJoin(corpus).withColumn("idf", rarity(F.col("df"), F.col("n")))
+    kth = F.try_element_at("tops", F.lit(k)) if k <= BEST_BLOCKS else F.lit(None).cast("double")
+    known = known.select("query_id", "term", "idf", "avgdl", (F.col("idf") * F.element_at("tops", 1)).alias("most"), (F.col("idf") * kth).alias("kth"))
+    each = Window.partitionBy("query_id")
+    known = known.withColumn("floor", F.coalesce(F.max("kth").over(each), F.lit(0.0)) - ROOM)
+    rising = F.sum("most").over(each.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    known = known.withColumn("essential", rising >= F.col("floor"))
+    known = known.withColumn("others", F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).over(each)).drop("most", "kth")
+    essential = known.where("essential")
+    reach = essential.join(index.bounds, "term").groupBy("query_id", "block", "floor", "others").agg(F.sum(F.col("idf") * F.col("top")).alias("top"))
+    live = reach.where(F.col("top") + F.col("others") >= F.col("floor")).select("query_id", "block")
+    posted = index.blocks.select("term", "block", F.col("entries.id").alias("ids"), F.col("entries.dl").alias("dls"), F.col("entries.tf").alias("tfs"))
+    read = live.join(essential, "query_id").join(posted, ["term", "block"]).select("query_id", "block", "idf", "avgdl", "floor", "others", F.explode(F.arrays_zip("ids", "dls", "tfs")).alias("e"))
+    weight = F.col("idf") * frequency_factor(F.col("e.tfs"), F.col("e.dls"), F.col("avgdl"))
+    partial = read.groupBy("query_id", "block", F.col("e.ids").alias("id"), F.col("e.dls").alias("dl"), "floor", "others").agg(F.sum(weight).alias("own"))
+    return Bounded(known, live, partial.where(F.col("own") + F.col("others") >= F.col("floor")))
+
+
 def recall_batch(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, id, score, rank``: top ``k`` texts of every query of ``queries(query_id, terms)``, any term counts.
 
-    Queries meet the terms first, so the postings of other terms are dropped by a
-    semi join before anything is shuffled; the ranking keeps ``k`` rows of each query
-    before its shuffle.
+    Candidates come from ``bounded``; what the terms that aren't essential add is
+    looked up by term and block for the candidates alone.  So a term that all texts
+    have doesn't bring its postings to all of its queries.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(index.terms, "term")
-    posted = index.postings.select("term", "id", "dl", "tf").join(wanted.select("term").distinct(), "term", "left_semi")
-    scored = wanted.join(posted, "term").crossJoin(F.broadcast(index.corpus))
-    weight = bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))
-    scored = scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    known, _, partial = bounded(index, queries, k)
+    others = known.where(~F.col("essential")).select("query_id", "term", "idf", "avgdl")
+    missing = partial.select("query_id", "block", "id").join(others, "query_id")
+    blocks = index.blocks.select("term", "block", F.explode(F.arrays_zip(F.col("entries.id").alias("id"), F.col("entries.dl").alias("dl"), F.col("entries.tf").alias("tf"))).alias("e"))
+    found = missing.join(blocks.select("term", "block", "e.*"), ["term", "block", "id"])
+    more = found.select("query_id", "id", (F.col("idf") * frequency_factor(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("own"))
+    scored = partial.select("query_id", "id", "own").unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("own"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 

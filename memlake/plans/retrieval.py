@@ -18,12 +18,15 @@ _MEM = f"mem AS (SELECT d.doc_id AS id, d.text AS content, d.source AS namespace
 _WEIGHT = "greatest(ln((n - {d} + 0.5) / ({d} + 0.5)), 1e-6) * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
 
 
-#: One index for each session and folder of tables: written once, read by every query.
-_INDEXES: dict[tuple[str, str], search.Index] = {}
+#: One index for each session and state of the tables: written once, read by every query.
+_INDEXES: dict[tuple[str, str, int, int], search.Index] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> search.Index:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of the documents as they are now: another time or size of a file is another index."""
+    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("*")), F.lit(0))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _INDEXES:
         _INDEXES[key] = search.build_index(texts(spark, sf_dir), shared_folder(spark, "index"))
     return _INDEXES[key]
