@@ -153,3 +153,14 @@ def one_edit(a: Column, b: Column) -> Column:
     heads = (head_a == head_b) | ((F.length(b) == n) & (head_a == F.reverse(head_b)))
     near = (n >= 2) & (F.length(b) >= 2) & (n <= 512) & (F.length(b) <= 512) & heads & ((F.levenshtein(a, b) <= 1) | F.coalesce(swapped, F.lit(False)))
     return (a == b) | near
+
+
+def one_edit_keys(name: Column) -> Column:
+    """Hashes of a name and of itself less each of its letters, with its first two letters in order.
+
+    Names that ``one_edit`` calls near share a key: both less the letter that was
+    put in, left out, changed or swapped are equal, and so are the two letters.
+    """
+    head = F.array_join(F.array_sort(F.split(F.substring(name, 1, 2), "")), "")
+    less = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.xxhash64(head, F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name)))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(head, name)), F.when((F.length(name) >= 2) & (F.length(name) <= 512), less).otherwise(F.expr("cast(array() as array<bigint>)"))))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.functions.text import one_edit, similarity
+from memlake.functions.text import one_edit, one_edit_keys, similarity
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, min_weight: float = 0.0) -> DataFrame:
@@ -48,29 +48,97 @@ def collapse_lineage(results: DataFrame) -> DataFrame:
     return results.join(parents, ["query_id", "degraded_from"], "left_anti")
 
 
+def _numbered_grams(name: Column, size: int) -> Column:
+    """Runs of ``size`` letters, for pairs with marks at both ends; the second and later equal ones are numbered."""
+    padded = F.concat(F.lit("\u0002"), name, F.lit("\u0003")) if size == 2 else name
+    n = F.length(padded) - size + 1
+    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, F.lit(size)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def number(grams: Column) -> Column:
+        return F.transform(grams, lambda g, i: F.concat(g, F.lit("\u0001"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
+
+    return F.transform(F.array(grams), number)[0]
+
+
+def edit_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` of ``left(a)`` and ``right(b)``: names that may differ in a share of ``1 - threshold`` of the longer one's letters.
+
+    A name of n letters has n + 1 pairs of neighbours with its ends; an edit changes
+    two of them, so a partner has ``n + 1 - 2 * (1 - threshold) * n`` of them, too.
+    Below a threshold of a half this is nothing, and single letters stand in, of which
+    an edit changes one.  Of a name's pairs, rarest first, one of so many that the
+    rest are too few is shared: only these are joined, between names whose lengths
+    allow it.  Nothing is lost at any threshold.
+    """
+    size = 2 if threshold >= 0.5 else 1
+    least = lambda n: F.ceil((n + 1 if size == 2 else n) - size * (1 - threshold) * n - 1e-9)
+    sides = left.select(F.col("a").alias("name")).union(right.select("b")).distinct()
+    tokens = sides.select("name", F.explode(_numbered_grams(F.col("name"), size)).alias("gram"))
+    counts = tokens.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = tokens.join(counts, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("own"))
+    n = F.length("name")
+    prefix = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.least(F.size("own"), F.size("own") - least(n) + 1)).cast("int"))
+    kept = ranked.select("name", n.alias("size"), F.explode(prefix["gram"]).alias("gram"))
+    x, y = kept.join(left.select(F.col("a").alias("name")), "name", "left_semi"), kept.join(right.select(F.col("b").alias("name")), "name", "left_semi")
+    met = x.select(F.col("name").alias("a"), F.col("size").alias("n_a"), "gram").join(y.select(F.col("name").alias("b"), F.col("size").alias("n_b"), "gram"), "gram")
+    return met.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9).select("a", "b").distinct()
+
+
+def prefix_candidates(left: DataFrame, right: DataFrame, least_ratio: float) -> DataFrame:
+    """``a, b`` where one name begins with the other and the lengths' ratio is ``least_ratio`` or more."""
+    first = F.greatest(F.lit(0), F.ceil(F.lit(least_ratio) * F.length("name") - 1e-9)).cast("int")
+    heads = lambda side, name: side.select(F.col(name).alias("name")).select("name", F.explode(F.transform(F.sequence(first, F.length("name")), lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("head"))
+    longer_a = heads(left, "a").join(right, F.col("head") == F.col("b")).select(F.col("name").alias("a"), "b")
+    longer_b = heads(right, "b").join(left, F.col("head") == F.col("a")).select("a", F.col("name").alias("b"))
+    return longer_a.union(longer_b)
+
+
+def inner_candidates(left: DataFrame, right: DataFrame, least_ratio: float) -> DataFrame:
+    """``a, b`` where one name may hold the other: it has the other's rarest pair of letters, or its letter; the empty name is in all."""
+
+    def pieces(name: Column) -> Column:
+        pairs = F.when(F.length(name) > 1, F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, F.lit(2))))
+        return F.array_distinct(F.concat(F.coalesce(pairs, F.expr("cast(array() as array<string>)")), F.split(name, ""), F.array(F.lit(""))))
+
+    names = left.select(F.col("a").alias("name")).union(right.select("b")).distinct()
+    all_pieces = names.select("name", F.explode(pieces(F.col("name"))).alias("piece"))
+    counts = all_pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    own = all_pieces.where(F.length("piece") == F.least(F.length("name"), F.lit(2))).join(counts, "piece").groupBy("name").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece"))
+    held = own.select(F.col("name").alias("short"), "piece").join(all_pieces.select(F.col("name").alias("long"), "piece"), "piece")
+    held = held.where((F.length("short") >= least_ratio * F.length("long") - 1e-9) & F.contains("long", F.col("short"))).select("short", "long")
+    a_short = held.toDF("a", "b").join(left, "a", "left_semi").join(right, "b", "left_semi")
+    b_short = held.toDF("b", "a").join(left, "a", "left_semi").join(right, "b", "left_semi")
+    return a_short.select("a", "b").union(b_short.select("a", "b"))
+
+
+def fuzzy_candidates(candidates: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: the pairs of distinct names that ``fuzzy_matches`` compares."""
+    left, right = candidates.select(F.col("name").alias("a")).dropna().distinct(), known.select(F.col("name").alias("b")).dropna().distinct()
+    met = edit_candidates(left, right, threshold).union(prefix_candidates(left, right, (threshold - 0.7) / 0.3))
+    if threshold <= 0.8:
+        met = met.union(inner_candidates(left, right, (threshold - 0.5) / 0.3))
+    return met.distinct()
+
+
 def fuzzy_matches(candidates: DataFrame, known: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of names at least ``threshold`` alike; below 0.8 too few letters are sure to stay, which is refused.
+    """``a, b, similarity``: pairs of names at least ``threshold`` alike (more than 0, 1 at most), null names aside.
 
-    Distinct names meet by two letters that both have, not each with each.  With at
-    most a fifth of the letters edited two neighbours stay intact, and a prefix has
-    them too; the first letter alone stands in for names of one letter.
+    Distinct names meet by rare pairs of letters, by being the beginning of the other,
+    or by what one holds of the other, never each with each.
     """
-    if threshold < 0.8:
-        raise ValueError("threshold must be 0.8 or more")
-    left = candidates.select(F.col("name").alias("a")).distinct()
-    right = known.select(F.col("name").alias("b")).distinct()
-    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))
-    grams = lambda c: F.array_distinct(F.when((F.length(c) == 1), F.array(F.col(c))).otherwise(F.concat(pairs(c), F.array(F.substring(c, 1, 1)))))
-    l_keys = left.select("a", F.explode(grams("a")).alias("gram"))
-    r_keys = right.select("b", F.explode(grams("b")).alias("gram"))
-    ratio = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))
-    met = l_keys.join(r_keys, "gram").where(F.startswith("a", F.col("b")) | F.startswith("b", F.col("a")) | (ratio >= threshold)).select("a", "b").distinct()
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be more than 0, and 1 at most")
+    met = fuzzy_candidates(candidates, known, threshold)
     return met.withColumn("similarity", F.round(similarity(F.col("a"), F.col("b")), 6)).where(F.col("similarity") >= threshold)
 
 
+def one_edit_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``a, b``: names that are equal less one letter each at most, and begin with the same two letters in some order."""
+    l, r = left.select(F.col("name").alias("a")).distinct(), right.select(F.col("name").alias("b")).distinct()  # noqa: E741
+    keys = lambda side, name: side.select(name, F.explode(one_edit_keys(F.col(name))).alias("key"))
+    return keys(l, "a").join(keys(r, "b"), "key").select("a", "b").distinct()
+
+
 def one_edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of names at most one edit apart; blocks are the first two letters in either order."""
-    block = lambda c: F.array_join(F.array_sort(F.split(F.substring(c, 1, 2), "")), "")
-    l = left.select(F.col("name").alias("a")).distinct().withColumn("block", block(F.col("a")))  # noqa: E741
-    r = right.select(F.col("name").alias("b")).distinct().withColumn("block", block(F.col("b")))
-    return l.join(r, "block").where(one_edit(F.col("a"), F.col("b"))).select("a", "b")
+    """Pairs of names at most one edit apart, by an index of the names less one letter."""
+    return one_edit_candidates(left, right).where(one_edit(F.col("a"), F.col("b")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.text import column, one_edit
+from memlake.functions.text import column, one_edit, one_edit_keys
 
 MOST_INDEXED, LEAST_LETTERS, MOST_TOKENS = 2048, 4, 16
 
@@ -54,13 +54,14 @@ def label_index(labels: DataFrame, most: int = MOST_INDEXED) -> DataFrame:
 def expand_queries(queries: DataFrame, index: DataFrame) -> DataFrame:
     """``query_id, expanded``: unknown tokens of ``queries(query_id, query)`` give way to the first indexed label one edit off.
 
-    Tokens and labels meet by their first two letters in either order, which one edit
-    leaves alike; a query of which nothing is replaced stays as it is.
+    Tokens and labels meet by what is left of them without one letter; a query of
+    which nothing is replaced stays as it is.
     """
-    block = lambda c: F.array_join(F.array_sort(F.split(F.substring(F.col(c), 1, 2), "")), "")
     words = queries.select("query_id", F.posexplode(F.regexp_extract_all("query", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("at", "word")).withColumn("key", F.lower("word"))
-    asked = words.select("key").distinct().join(index.select(F.col("token").alias("key")), "key", "left_anti").withColumn("block", block("key"))
-    near = asked.join(index.withColumn("block", block("token")), "block").where((F.abs(F.length("key") - F.length("token")) <= 1) & one_edit(F.col("key"), F.col("token")))
+    asked = words.select("key").distinct().join(index.select(F.col("token").alias("key")), "key", "left_anti")
+    asked = asked.select("key", F.explode(one_edit_keys(F.col("key"))).alias("less"))
+    known = index.select("token", "label", "place", F.explode(one_edit_keys(F.col("token"))).alias("less"))
+    near = asked.join(known, "less").where(one_edit(F.col("key"), F.col("token")))
     found = near.groupBy("key").agg(F.min_by("label", F.struct("place", "token")).alias("label"))
     joined = words.join(found, "key", "left")
     built = joined.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("label", "word").alias("w")))).alias("w"), F.count("label").alias("replaced"))
@@ -68,15 +69,32 @@ def expand_queries(queries: DataFrame, index: DataFrame) -> DataFrame:
     return queries.join(built, "query_id", "left").select("query_id", F.coalesce("expanded", "query").alias("expanded"))
 
 
-def collisions(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """``query_id, label`` where a query of ``queries(query_id, query)`` names a label of ``labels(label)``, but for one edit.
+def _window_keys(tokens: Column) -> Column:
+    """Hashes that a label shares with every window that names it.
 
-    They meet by two letters: a window's token that is the label's own, or one edit off it.
+    One token at most differs: of a single one, what is left without one letter
+    agrees, of several, their first or their second half.
     """
-    tokens = queries.select("query_id", label_tokens("query").alias("tokens"))
+    n = F.size(tokens)
+    half = F.floor(n / 2).cast("int")
+    part = lambda which, begin, size: F.xxhash64(n, F.lit(which), F.array_join(F.slice(tokens, begin, size), " "))
+    halves = F.array(part(1, F.lit(1), half), part(2, half + 1, n - half))
+    return F.when(n == 1, one_edit_keys(tokens[0])).otherwise(halves)
+
+
+def collision_candidates(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """``query_id, label, own, window``: windows of a query and labels that share a key."""
     known = labels.select("label", label_tokens("label").alias("own")).where(F.size("own").between(1, MOST_TOKENS)).distinct()
-    block = lambda t: F.array_join(F.array_sort(F.split(F.substring(t, 1, 2), "")), "")
-    left = tokens.select("query_id", "tokens", F.explode(F.array_distinct(F.transform("tokens", block))).alias("block"))
-    # Whatever token is the edited one, its first two letters stay, so the label's first token decides where to look.
-    right = known.withColumn("block", block(F.element_at("own", 1)))
-    return left.join(right, "block").where(names_label(F.col("tokens"), F.col("own"))).select("query_id", "label").distinct()
+    # As many rows as labels have widths: MOST_TOKENS at most.
+    widths = known.select(F.size("own").alias("width")).distinct()
+    tokens = queries.select("query_id", label_tokens("query").alias("tokens")).join(F.broadcast(widths), F.col("width") <= F.size("tokens"))
+    windows = tokens.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("width") + 1), lambda i: F.slice("tokens", i, F.col("width")))).alias("window"))
+    left = windows.distinct().select("query_id", "window", F.explode(_window_keys(F.col("window"))).alias("key"))
+    right = known.select("label", "own", F.explode(_window_keys(F.col("own"))).alias("key"))
+    return left.join(right, "key").select("query_id", "label", "own", "window").distinct()
+
+
+def collisions(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """``query_id, label`` where a query of ``queries(query_id, query)`` names a label of ``labels(label)``, but for one edit."""
+    met = collision_candidates(queries, labels)
+    return met.where(names_label(F.col("window"), F.col("own"))).select("query_id", "label").distinct()

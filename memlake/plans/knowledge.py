@@ -260,39 +260,61 @@ def lineage_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINEAGE_COLLAPSE = "SELECT l_orderkey AS query_id, CAST(l_linenumber AS BIGINT) AS id FROM lineitem l WHERE NOT (l_linenumber > 2 AND EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber = l.l_linenumber - 2))"
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, and the first and last word of every text, in ASCII, as the SQL's edit distances count bytes."""
+    own = F.transform(T.tokens("content"), lambda t: F.regexp_replace(t, r"[^\x00-\x7F]", "x"))
+    words = texts(spark, sf_dir).select(own.alias("t")).where("size(t) > 0").select(F.explode(F.array(F.element_at("t", 1), F.element_at("t", -1))).alias("name"))
+    return table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).union(words).distinct()
+
+
+_NAMES_SQL = f"""ts AS (SELECT list_transform({_TOKENS}, lambda t: regexp_replace(t, '[^\\x00-\\x7F]', 'x', 'g')) AS t FROM documents),
+nm AS (SELECT lower(n_name) AS name FROM nation UNION SELECT t[1] FROM ts WHERE len(t) > 0 UNION SELECT t[-1] FROM ts WHERE len(t) > 0)"""
+
+
 def _typed(known: DataFrame) -> DataFrame:
     return known.select(F.concat(F.substring("name", 1, 3), F.substring("name", 5, 99)).alias("name"))
 
 
 def fuzzy_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of nations and parts against the same ones with a letter left out."""
-    known = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).union(table(spark, sf_dir, "part").select("p_name"))
+    """Names against the same ones with a letter left out."""
+    known = _names(spark, sf_dir)
     return graph.fuzzy_matches(_typed(known), known, 0.8)
 
 
 _SIM = "CASE WHEN a = b THEN 1.0 WHEN starts_with(a, b) OR starts_with(b, a) THEN 0.7 + 0.3 * r WHEN contains(a, b) OR contains(b, a) THEN 0.5 + 0.3 * r ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END"
 FUZZY_ENTITIES = f"""
-WITH k AS (SELECT lower(n_name) AS b FROM nation UNION SELECT p_name FROM part), t AS (SELECT DISTINCT substr(b, 1, 3) || substr(b, 5, 99) AS a FROM k),
-p AS (SELECT a, b, least(length(a), length(b)) / greatest(length(a), length(b)) AS r FROM t, k)
+WITH {_NAMES_SQL}, t AS (SELECT DISTINCT substr(name, 1, 3) || substr(name, 5, 99) AS a FROM nm),
+p AS (SELECT a, name AS b, least(length(a), length(name)) / greatest(length(a), length(name)) AS r FROM t, nm)
 SELECT a, b, round({_SIM}, 6) AS similarity FROM p WHERE round({_SIM}, 6) >= 0.8
 """
 
 
+def loose_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations and regions against all names, six letters of ten alike or one within the other."""
+    asked = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).union(table(spark, sf_dir, "region").select(F.lower("r_name")))
+    return graph.fuzzy_matches(asked, _names(spark, sf_dir), 0.6)
+
+
+LOOSE_ENTITIES = f"""
+WITH {_NAMES_SQL}, t AS (SELECT lower(n_name) AS a FROM nation UNION SELECT lower(r_name) FROM region),
+p AS (SELECT a, name AS b, least(length(a), length(name)) / greatest(length(a), length(name)) AS r FROM t, nm)
+SELECT a, b, round({_SIM}, 6) AS similarity FROM p WHERE round({_SIM}, 6) >= 0.6
+"""
+
+
 def one_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of nations, regions and parts against the same with neighbours swapped, one edit apart."""
-    names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).unionByName(table(spark, sf_dir, "region").select(F.lower("r_name").alias("name")))
-    names = names.union(table(spark, sf_dir, "part").select("p_name"))
+    """Names against the same with neighbours swapped, one edit apart."""
+    names = _names(spark, sf_dir)
     swapped = names.select(F.concat(F.substring("name", 1, 3), F.substring("name", 5, 1), F.substring("name", 4, 1), F.substring("name", 6, 99)).alias("name"))
     return graph.one_edit_pairs(names, swapped)
 
 
-ONE_EDIT = """
-WITH n AS (SELECT lower(n_name) AS a FROM nation UNION SELECT lower(r_name) FROM region UNION SELECT p_name FROM part),
-s AS (SELECT DISTINCT substr(a, 1, 3) || substr(a, 5, 1) || substr(a, 4, 1) || substr(a, 6, 99) AS b FROM n)
+ONE_EDIT = f"""
+WITH {_NAMES_SQL}, n AS (SELECT name AS a FROM nm), s AS (SELECT DISTINCT substr(a, 1, 3) || substr(a, 5, 1) || substr(a, 4, 1) || substr(a, 6, 99) AS b FROM n)
 SELECT a, b FROM n, s WHERE a = b OR (length(a) >= 2 AND length(b) >= 2 AND (substr(a, 1, 2) = substr(b, 1, 2) OR (length(a) = length(b) AND substr(a, 1, 2) = reverse(substr(b, 1, 2)))) AND damerau_levenshtein(a, b) <= 1)
 """
 
 NAMES = (
     "snippet_cards redact_secrets entropy_tokens key_tokens end_date_extract vector_topk hybrid_score source_quality version_intervals asof_value current_facts triple_query canonical_history graph_bfs "
-    "relation_expand lineage_visible lineage_collapse fuzzy_entities one_edit"
+    "relation_expand lineage_visible lineage_collapse fuzzy_entities loose_entities one_edit"
 ).split()

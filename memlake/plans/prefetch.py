@@ -343,14 +343,16 @@ SELECT t.id AS query_id, coalesce(string_agg(coalesce(m.label, w.word), ' ' ORDE
 
 
 def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes that name a nation or a part, to the letter or one edit off."""
-    words = table(spark, sf_dir, "part").select(F.col("p_name").alias("label")).distinct()
-    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("a "), F.substring("p_name", 1, 3), F.substring("p_name", 5, 99), F.lit(" please")).alias("query"))
-    return L.collisions(asked, words)
+    """Texts whose first words, one of them misspelt, name a text's label of one or two words."""
+    own = texts(spark, sf_dir).select("id", _plain_tokens("content").alias("t")).where("size(t) > 0")
+    words = own.select(F.array_join(F.slice("t", 1, F.when(F.col("id") % 2 == 0, 1).otherwise(2)), " ").alias("label")).distinct()
+    typed = F.transform(F.slice("t", 1, 3), lambda w, i: F.when(i == 1, F.concat(F.substring(w, 1, 3), F.substring(w, 5, 99))).otherwise(w))
+    return L.collisions(own.select(F.col("id").alias("query_id"), F.concat(F.lit("a "), F.array_join(typed, " "), F.lit(" please")).alias("query")), words)
 
 
-LABEL_COLLISIONS = f"""WITH lb AS (SELECT DISTINCT p_name AS label, string_split(p_name, ' ') AS l FROM part), qs AS (SELECT p_partkey AS query_id, regexp_extract_all(lower('a ' || substr(p_name, 1, 3) || substr(p_name, 5, 99) || ' please'), '[\\p{{L}}\\p{{N}}]+') AS q FROM part)
-SELECT query_id, label FROM qs, lb WHERE {_NAMES}"""
+LABEL_COLLISIONS = f"""WITH t AS (SELECT doc_id AS id, {_PLAIN.format(_TOKENS)} AS ts FROM documents), lb AS (SELECT DISTINCT array_to_string(ts[1:CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END], ' ') AS label FROM t WHERE len(ts) > 0),
+ll AS (SELECT label, string_split(label, ' ') AS l FROM lb), qs AS (SELECT id AS query_id, list_filter(list_concat(['a'], list_transform(ts[1:3], lambda w, i: CASE WHEN i = 2 THEN substr(w, 1, 3) || substr(w, 5, 99) ELSE w END), ['please']), lambda w: w <> '') AS q FROM t WHERE len(ts) > 0)
+SELECT query_id, label FROM qs, ll WHERE {_NAMES}"""
 
 
 def tool_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
