@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Acklam's coefficients of the inverse normal distribution.
@@ -93,22 +95,57 @@ def backward_transfer(grades: DataFrame, last: int = 3) -> DataFrame:
     return first.join(final, ["life_id", "probe_id"]).groupBy("life_id").agg(F.round(F.avg(F.col("now") - F.col("then")), 6).alias("transfer"), F.count("*").alias("probes"))
 
 
-def draw(b: Column, i: Column, n: Column) -> Column:
-    """A number 0 .. n - 1 from the md5 of two numbers: the same on every engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", b.cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n
+#: Children of a node in the tree of blocks, and units of a block.
+FAN = 64
+_PRIME = 2_147_483_647
+
+
+def draw(b: Column, node: Column, level: int, t: Column, width: Column) -> Column:
+    """A number 0 .. width - 1 for draw ``t`` of a node in round ``b``, in whole numbers below 2^63: the same on every engine."""
+    z1 = (b * 48271 + node * 16807 + (level + 1)) % _PRIME
+    z2 = (z1 * z1 + t * 69621 + 11) % _PRIME
+    z3 = (z2 * 48271 + z1) % _PRIME
+    z4 = (z3 * z3 + 7) % _PRIME
+    z5 = (z4 * 69621 + z2) % _PRIME
+    return (z5 * _PRIME + z4) % width
+
+
+def block_draws(spark: SparkSession, n: int, rounds: int) -> DataFrame:
+    """``b, node, c``: how many of round b's n draws fall into each block of ``FAN`` of n units.
+
+    Draws go down a tree: a node of a range of units deals its draws to its ``FAN``
+    children, each by the share of units that it has, so a round's counts are
+    multinomial.  A node's draws are counted where they are made: between tasks only
+    counts by round and child move.
+    """
+    size, level = FAN, 0
+    while size < n:
+        size, level = size * FAN, level + 1
+    nodes = spark.range(rounds).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("node"), F.lit(n).cast("long").alias("c"))
+    while size > FAN:
+        width = F.least(F.lit(size), F.lit(n) - F.col("node") * size)
+        drawn = nodes.select("b", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("t"))
+        child = F.expr(f"(node * {size} + u) div {size // FAN}")
+        nodes = drawn.withColumn("u", draw(F.col("b"), F.col("node"), level, F.col("t"), width)).select("b", child.alias("node")).groupBy("b", "node").agg(F.count("*").alias("c"))
+        size, level = size // FAN, level - 1
+    return nodes
 
 
 def bootstrap_means(values: DataFrame, rounds: int) -> DataFrame:
     """``b, mean`` of resampled ``values(i, x, w)``: ``i`` counts from 0, ``w`` observations sum to ``x``.
 
-    Every round draws as many entries as there are.  Draws are rows, so they are
-    dealt over the cluster, and meet their values by an equi-join; equal draws of a
-    round are counted before.
+    Every round draws as many units as there are.  ``block_draws`` says how many fall
+    into each block of units; a block makes its draws itself and adds up its own sums,
+    so no row of a unit and a round ever moves.
     """
-    n = values.agg(F.count("*").alias("n"))
-    draws = values.select(F.col("i").alias("slot")).join(F.broadcast(n)).select(F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"), "slot", "n")
-    drawn = draws.select("b", draw(F.col("b"), F.col("slot"), F.col("n")).alias("i")).groupBy("b", "i").agg(F.count("*").alias("times"))
-    return drawn.join(values, "i").groupBy("b").agg((F.sum(F.col("x") * F.col("times")) / F.sum(F.col("w") * F.col("times"))).alias("mean"))
+    n = values.count()
+    if n == 0:
+        return values.select(F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("mean")).limit(0)
+    blocks = values.groupBy(F.expr(f"i div {FAN}").alias("node")).agg(F.sort_array(F.collect_list(F.struct("i", "x", "w"))).alias("own"))
+    drawn = block_draws(values.sparkSession, n, rounds).join(blocks, "node").select("b", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("t"))
+    unit = F.element_at("own", (draw(F.col("b"), F.col("node"), 0, F.col("t"), F.size("own").cast("long")) + 1).cast("int"))
+    units = drawn.select("b", unit.alias("u"))
+    return units.groupBy("b").agg((F.sum("u.x") / F.sum("u.w")).alias("mean"))
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
@@ -140,10 +177,63 @@ def mean_of(values: DataFrame) -> DataFrame:
     return values.agg((F.sum("x") / F.sum("w")).alias("mean"))
 
 
-def percentile_floor(values: Column, share: float) -> Column:
-    """The value at the whole place below ``share`` of the way through the sorted values."""
-    order = F.sort_array(F.collect_list(values))
-    return F.try_element_at(order, (F.floor((F.size(order) - 1) * share) + 1).cast("int"))
+#: Buckets of a histogram, passes of refining, and groups whose limits are broadcast (a few dozen bytes each).
+BUCKETS, PASSES, BROADCAST_GROUPS = 1024, 2, 200_000
+
+
+def _place(share: float, rule: str) -> tuple[Column, Column]:
+    """Whole place and rest of the way from it, counted from 0, of a share of ``n`` sorted values."""
+    at = (F.col("n") - 1) * F.lit(share)
+    below = F.floor(at).cast("long")
+    return below, (at - below if rule == "linear" else F.lit(0.0))
+
+
+def order_statistics(rows: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, tuple[float, str]]) -> DataFrame:
+    """For each group exact percentiles, ``wanted`` by name as (share, rule).
+
+    The rule ``linear`` weighs the two values beside the place ``(n - 1) * share``,
+    ``floor`` takes the one at the whole place below.  Null and NaN values are left
+    out; a group without others has no row.  A histogram between a group's least and
+    greatest value shows in which bucket a place lies, a second one divides that
+    bucket, and the few values left are counted.  Histograms are added up where the
+    rows are: no group's values are gathered, however many or equal they are.
+    """
+    names = list(by)
+    by, outer = [f"g{k}" for k in range(len(names))], [f"t{k}" for k in range(len(names))]
+    own = rows.select(*[F.col(c).alias(g) for c, g in zip(names, by, strict=True)], F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    groups = own.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    asked = []
+    for name, (share, rule) in wanted.items():
+        below, rest = _place(share, rule)
+        asked.append(F.struct(F.lit(name).alias("name"), below.alias("place"), F.lit(0).alias("side"), rest.alias("rest")))
+        if rule == "linear":
+            asked.append(F.struct(F.lit(name).alias("name"), F.least(below + 1, F.col("n") - 1).alias("place"), F.lit(1).alias("side"), rest.alias("rest")))
+    targets = groups.select(*by, "lo", "hi", F.explode(F.array(*asked)).alias("a")).select(*by, "a.*", "lo", "hi")
+    key = [*by, "name", "side"]
+    few = groups.count() <= BROADCAST_GROUPS
+
+    def within(limits: DataFrame) -> DataFrame:
+        side = limits.withColumnsRenamed(dict(zip(by, outer, strict=True)))
+        side = F.broadcast(side) if few else side
+        same = reduce(and_, [F.col(g).eqNullSafe(F.col(t)) for g, t in zip(by, outer, strict=True)], F.lit(True))
+        return own.join(side, same & F.col("v").between(F.col("lo"), F.col("hi"))).drop(*outer)
+
+    for _ in range(PASSES):
+        bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
+        counts = within(targets).groupBy(*key, "place", "rest", bucket.alias("bucket")).agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        targets = _holding(counts, key, "bucket").select(*key, "place", "rest", "lo", "hi")
+    counts = within(targets).groupBy(*key, "place", "rest", "v").agg(F.count("*").alias("m"))
+    found = _holding(counts, key, "v").groupBy(*by, "name").agg(F.max("rest").alias("rest"), *[F.max(F.when(F.col("side") == k, F.col("v"))).alias(f"v{k}") for k in (0, 1)])
+    exact = found.withColumn("v", F.col("v0") + F.when(F.col("rest") > 0, F.col("rest") * (F.col("v1") - F.col("v0"))).otherwise(0.0))
+    exact = exact.select(*[F.col(g).alias(c) for c, g in zip(names, by, strict=True)], F.col("name").alias("_name"), F.col("v").alias("_v"))
+    return exact.groupBy(*names).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in wanted])
+
+
+def _holding(counts: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Of each target's buckets the one that its place is in, the place counted from there."""
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("before", before).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("m")))
+    return placed.withColumn("place", F.col("place") - F.col("before"))
 
 
 def holm(tests: DataFrame) -> DataFrame:

@@ -137,12 +137,17 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.interval(evaluate.bootstrap_means(values, ROUNDS), evaluate.mean_of(values))
 
 
-_DRAW = "CAST('0x' || substr(md5(b || ':' || i), 1, 8) AS BIGINT) % n"
-_BOOT = f"""c AS (SELECT count(*) AS n FROM v), d AS (SELECT b, {_DRAW} AS i FROM v, c, (SELECT unnest(range(0, ROUNDS)) AS b)),
+#: A round's draws go down the tree of blocks of 64 units: ``nd`` has the draws of each node, down to those of 64 units.
+_MIX = """(SELECT *, (z5 * 2147483647 + z4) % width AS u FROM (SELECT *, (z4 * 69621 + z2) % 2147483647 AS z5 FROM (SELECT *, (z3 * z3 + 7) % 2147483647 AS z4 FROM (SELECT *, (z2 * 48271 + z1) % 2147483647 AS z3
+FROM (SELECT *, (z1 * z1 + t * 69621 + 11) % 2147483647 AS z2 FROM (SELECT *, (b * 48271 + node * 16807 + (level + 1)) % 2147483647 AS z1 FROM {})))))) """
+_BOOT = f"""c AS (SELECT count(*) AS n FROM v), lv AS (SELECT greatest(0, min(k)) AS depth FROM (SELECT unnest(range(0, 8)) AS k), c WHERE CAST(pow(64, k + 1) AS BIGINT) >= n),
+nd AS (SELECT b, CAST(0 AS BIGINT) AS node, n AS c, depth AS level FROM c, lv, (SELECT unnest(range(0, ROUNDS)) AS b) UNION ALL
+  SELECT b, (node * size + u) // (size // 64) AS node, count(*) AS c, level - 1 AS level FROM {_MIX.format("(SELECT nd.b, node, level, CAST(pow(64, level + 1) AS BIGINT) AS size, least(CAST(pow(64, level + 1) AS BIGINT), n - node * CAST(pow(64, level + 1) AS BIGINT)) AS width, unnest(range(0, nd.c)) AS t FROM nd, c WHERE level > 0)")} GROUP BY b, (node * size + u) // (size // 64), level),
+d AS (SELECT b, node * 64 + u AS i FROM {_MIX.format("(SELECT nd.b, node, level, least(64, n - node * 64) AS width, unnest(range(0, nd.c)) AS t FROM nd, c WHERE level = 0)")}),
 m AS (SELECT b, sum(x) / sum(w) AS mean FROM d JOIN v USING (i) GROUP BY b), o AS (SELECT sum(x) / sum(w) AS seen FROM v)
 SELECT round(any_value(seen), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, quantile_cont(mean, 0.025) > 0 OR quantile_cont(mean, 0.975) < 0 AS excludes_zero,
 round(avg(CAST(CASE WHEN seen > 0 THEN mean <= 0 ELSE mean >= 0 END AS INT)), 6) AS other_side, count(*) AS rounds FROM m, o"""
-BOOTSTRAP_CI = f"WITH {_ARMS}, v AS (SELECT row_number() OVER (ORDER BY probe_id) - 1 AS i, round(b - a, 9) AS x, 1 AS w FROM p), {_BOOT}".replace("ROUNDS", str(ROUNDS))
+BOOTSTRAP_CI = f"WITH RECURSIVE {_ARMS}, v AS (SELECT row_number() OVER (ORDER BY probe_id) - 1 AS i, round(b - a, 9) AS x, 1 AS w FROM p), {_BOOT}".replace("ROUNDS", str(ROUNDS))
 
 
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +157,7 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.interval(evaluate.bootstrap_means(values, CLUSTER_ROUNDS), evaluate.mean_of(values))
 
 
-CLUSTER_BOOTSTRAP = f"WITH v AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, round(sum(value - 50), 6) AS x, count(*) AS w FROM events GROUP BY user_id), {_BOOT}".replace("ROUNDS", str(CLUSTER_ROUNDS))
+CLUSTER_BOOTSTRAP = f"WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, round(sum(value - 50), 6) AS x, count(*) AS w FROM events GROUP BY user_id), {_BOOT}".replace("ROUNDS", str(CLUSTER_ROUNDS))
 
 
 def power_mde(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,8 +236,10 @@ COMPOSITE_SCORES = "SELECT user_id, 100 * count(*) FILTER (event_type = 'purchas
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rules of percentiles over each type's values: interpolated, and at the whole place below."""
-    e = events(spark, sf_dir).groupBy("event_type")
-    return e.agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.95), 6).alias("p95"), evaluate.percentile_floor(F.col("value"), 0.95).alias("p95_floor"), F.count_if(F.col("value") == 0).alias("empty"))
+    e = events(spark, sf_dir)
+    exact = evaluate.order_statistics(e, ["event_type"], "value", {"median": (0.5, "linear"), "p95": (0.95, "linear"), "p95_floor": (0.95, "floor")})
+    empty = e.groupBy("event_type").agg(F.count_if(F.col("value") == 0).alias("empty"))
+    return exact.join(empty, "event_type").select("event_type", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "p95_floor", "empty")
 
 
 LATENCY_PERCENTILES = "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95_floor, count(*) FILTER (value = 0) AS empty FROM events GROUP BY event_type"
