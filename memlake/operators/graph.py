@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.text import one_edit, one_edit_keys, similarity
+from memlake.sources.tables import shared_folder
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, min_weight: float = 0.0) -> DataFrame:
-    """``node, hops``: nodes within ``max_hops`` of the seeds along ``edges(source, target, weight)``.
+def reach(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, min_weight: float = 0.0, edge_types: Sequence[str] | None = None) -> DataFrame:
+    """``node, hops``: nodes within ``max_hops`` of the seeds along ``edges(source, target, weight, edge_type)``, by their shortest way.
 
-    Breadth first: each hop joins only the nodes that the last one found and drops
-    those seen before.
+    Only edges of the given types (all, if none are given) and of ``min_weight``, 0 to
+    1, or more count; ``edge_type`` may be missing where no types are given.  Breadth
+    first: each hop reads what the last one found, and only that, from the shared
+    folder, joins it with the edges and drops the nodes of the hops before.
     """
-    usable = edges.where(F.col("weight") >= min_weight).select("source", "target")
-    frontier = seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    seen = frontier
+    if not 0 <= min_weight <= 1:
+        raise ValueError("min_weight must be 0 to 1")
+    if max_hops < 0:
+        raise ValueError("max_hops must not be negative")
+    usable = edges.where(F.col("weight") >= min_weight)
+    if edge_types is not None:
+        usable = usable.where(F.col("edge_type").isin(*edge_types))
+    usable = usable.select("source", "target")
+    spark = edges.sparkSession
+    folder = shared_folder(spark, "reach")
+    seeds.select("node").dropna().distinct().write.parquet(f"{folder}/hops=0")
     for hop in range(1, max_hops + 1):
-        found = frontier.join(usable, frontier["node"] == usable["source"]).select(F.col("target").alias("node")).distinct()
-        frontier = found.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    return seen
+        frontier = spark.read.parquet(f"{folder}/hops={hop - 1}")
+        found = usable.join(frontier, usable["source"] == frontier["node"], "left_semi").select(F.col("target").alias("node")).dropna().distinct()
+        seen = spark.read.parquet(*[f"{folder}/hops={h}" for h in range(hop)])
+        found.join(seen, "node", "left_anti").write.parquet(f"{folder}/hops={hop}")
+        if spark.read.parquet(f"{folder}/hops={hop}").isEmpty():
+            break
+    return spark.read.parquet(folder).select("node", F.col("hops").cast("int").alias("hops"))
 
 
 def expand_relations(results: DataFrame, relations: DataFrame, excluded: DataFrame) -> DataFrame:

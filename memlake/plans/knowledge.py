@@ -214,6 +214,29 @@ SELECT node, min(hops) AS hops FROM r GROUP BY node
 """
 
 
+def _typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers to their nations and nations to regions and suppliers, both ways, by type, with weights."""
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("b"), (F.col("c_custkey") % 10 / 10).alias("weight"), F.lit("lives").alias("edge_type"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), (F.col("s_suppkey") % 5 / 5), F.lit("sells"))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.lit(1.0), F.lit("part"))
+    rows = customers.union(suppliers).union(nations)
+    return rows.select(F.col("a").alias("source"), F.col("b").alias("target"), "weight", "edge_type").union(rows.select("b", "a", "weight", "edge_type"))
+
+
+def graph_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom a customer reaches in four hops over two types of edges, those of others and weak ones aside."""
+    seeds = spark.createDataFrame([("c7",), ("c8",), (None,)], "node string")
+    return graph.reach(_typed_edges(spark, sf_dir), seeds, 4, 0.3, ("lives", "part")).select("node", F.col("hops").cast("long").alias("hops"))
+
+
+GRAPH_TYPED = """
+WITH RECURSIVE l AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b, c_custkey % 10 / 10 AS w, 'lives' AS t FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey % 5 / 5, 'sells' FROM supplier
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1.0, 'part' FROM nation), e AS (SELECT a, b FROM l WHERE w >= 0.3 AND t IN ('lives', 'part') UNION SELECT b, a FROM l WHERE w >= 0.3 AND t IN ('lives', 'part')),
+r(node, hops) AS (SELECT unnest(['c7', 'c8']), CAST(0 AS BIGINT) UNION SELECT e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE r.hops < 4)
+SELECT node, min(hops) AS hops FROM r GROUP BY node
+"""
+
+
 def relation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions among results stand for their nations."""
     nation = table(spark, sf_dir, "nation")
@@ -315,6 +338,6 @@ SELECT a, b FROM n, s WHERE a = b OR (length(a) >= 2 AND length(b) >= 2 AND (sub
 """
 
 NAMES = (
-    "snippet_cards redact_secrets entropy_tokens key_tokens end_date_extract vector_topk hybrid_score source_quality version_intervals asof_value current_facts triple_query canonical_history graph_bfs "
+    "snippet_cards redact_secrets entropy_tokens key_tokens end_date_extract vector_topk hybrid_score source_quality version_intervals asof_value current_facts triple_query canonical_history graph_bfs graph_typed "
     "relation_expand lineage_visible lineage_collapse fuzzy_entities loose_entities one_edit"
 ).split()
