@@ -10,7 +10,7 @@ from memlake.operators import consolidate, plugins
 from memlake.operators.store import fold_operations
 from memlake.sources import strict
 from memlake.sources.tables import events, shared_folder, table, texts, turns
-from memlake.streaming import capture
+from memlake.streaming import capture, ledger, sync
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,4 +187,84 @@ def plugin_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLUGIN_SUMMARIES = "SELECT conv_id AS session_id, turn, role, md5(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), '. ')[1]) AS digest, CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS judgment FROM conversations"
 
-NAMES = "consolidate_sources degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed stream_changes stream_audit stream_consolidation kept_turns identity_turns json_faults evidence_sections migrated_store plugin_summaries".split()
+
+
+def _pushed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as a store, orders as changes of their customer's text: on the first text, on a later one, or on none."""
+    store = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("content"), F.lit(0).cast("long").alias("seq")).where("id % 5 > 0")
+    text = lambda status: F.concat(F.lit("status "), status)
+    key = F.col("o_orderkey")
+    base = F.when(key % 4 == 0, F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).when(key % 4 == 1, text(F.lit("F"))).when(key % 4 == 2, text(F.lit("O")))
+    changes = table(spark, sf_dir, "orders").select(key.alias("seq"), F.col("o_custkey").alias("id"), sync.digest(base).alias("base_digest"), text(F.col("o_orderstatus")).alias("content"))
+    return store, changes
+
+
+def sync_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, changes = _pushed(spark, sf_dir)
+    return sync.judge(changes, store).select("seq", "id", "outcome", "digest")
+
+
+_SYNC = """ch AS (SELECT o_orderkey AS seq, o_custkey AS id, CASE o_orderkey % 4 WHEN 0 THEN sha256('Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')) WHEN 1 THEN sha256('status F') WHEN 2 THEN sha256('status O') END AS base,
+  sha256('status ' || o_orderstatus) AS digest, 'status ' || o_orderstatus AS content, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+st AS (SELECT c_custkey AS id, sha256(c_name) AS held, c_name AS content FROM customer WHERE c_custkey % 5 > 0),
+fo AS (SELECT DISTINCT ch.id, CAST(0 AS BIGINT) AS k, st.held, CAST(NULL AS BIGINT) AS seq, '' AS outcome, '' AS digest, '' AS content FROM ch LEFT JOIN st USING (id) UNION ALL
+  SELECT id, k, CASE WHEN outcome = 'accepted' THEN digest ELSE held END, seq, outcome, digest, content FROM (SELECT ch.id, ch.k, ch.seq, ch.digest, ch.content, fo.held, CASE WHEN ch.digest IS NOT DISTINCT FROM fo.held THEN 'duplicate' WHEN ch.base IS NOT DISTINCT FROM fo.held THEN 'accepted' ELSE 'conflict' END AS outcome
+  FROM fo JOIN ch ON ch.id = fo.id AND ch.k = fo.k + 1))"""
+SYNC_PUSH = f"WITH RECURSIVE {_SYNC} SELECT seq, id, outcome, digest FROM fo WHERE k > 0"
+
+
+def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes pushed as a stream, twice over the same files: the store afterwards, each text with its number."""
+    store, changes = _pushed(spark, sf_dir)
+    at = shared_folder(spark, "sync")
+    sync.open_store(store, at)
+    for _ in range(2):
+        stream = capture.stream_parquet(spark, f"{sf_dir}/orders.parquet*", table(spark, sf_dir, "orders").schema)
+        text = F.concat(F.lit("status "), F.col("o_orderstatus"))
+        key = F.col("o_orderkey")
+        base = F.when(key % 4 == 0, F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).when(key % 4 == 1, "status F").when(key % 4 == 2, "status O")
+        sync.run_push(stream.select(key.alias("seq"), F.col("o_custkey").alias("id"), sync.digest(base).alias("base_digest"), text.alias("content")), at)
+    versions = spark.read.parquet(f"{at}/store")
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == last).select("id", "content", "seq")
+
+
+STREAM_SYNC = f"""WITH RECURSIVE {_SYNC}, la AS (SELECT id, arg_max(content, seq) AS content, max(seq) AS seq FROM fo WHERE outcome = 'accepted' GROUP BY id)
+SELECT id, content, CAST(0 AS BIGINT) AS seq FROM st WHERE id NOT IN (SELECT id FROM la) UNION ALL SELECT id, content, seq FROM la"""
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """Events as entries of a ledger: a user is an attempt, the type tells the kind; some users are never validated."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    kinds = F.when((i % 7 == 0) & (F.col("user_id") % 3 > 0), "validate").when(kind == "click", "predict").when(kind == "view", "before").otherwise("after")
+    return rows.select(F.col("user_id").cast("string").alias("attempt"), F.col("ts").cast("timestamp").alias("at"), i.alias("seq"), kinds.alias("kind"), F.concat(F.lit("case"), (F.floor("value") % 6).cast("string")).alias("case_id"), (F.col("value") % 2 >= 1).alias("passed"))
+
+
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger over all events in one run, every entry twice, and its validated attempts."""
+    at = shared_folder(spark, "ledger")
+    rows = _entries(events(spark, sf_dir))
+    rows.unionByName(rows).coalesce(1).write.parquet(f"{at}/in")
+    stream = capture.stream_parquet(spark, f"{at}/in", rows.schema)
+    ledger.run_ledger(stream, f"{at}/out", f"{at}/state", hours=24 * 365)
+    return spark.read.parquet(f"{at}/out").where("status = 'validated'")
+
+
+STREAM_LEDGER = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS attempt, event_id AS seq, CASE WHEN event_id % 7 = 0 AND user_id % 3 > 0 THEN 'validate' WHEN event_type = 'click' THEN 'predict' WHEN event_type = 'view' THEN 'before' ELSE 'after' END AS kind,
+'case' || (CAST(floor(value) AS BIGINT) % 6) AS case_id, value % 2 >= 1 AS passed FROM events), f AS (SELECT attempt, min(seq) AS first FROM e WHERE kind = 'after' GROUP BY 1),
+c AS (SELECT attempt, case_id, bool_or(kind = 'predict' AND (first IS NULL OR seq < first)) AS foretold, arg_max(passed, seq) FILTER (kind = 'before') AS was, arg_max(passed, seq) FILTER (kind = 'after') AS now,
+count(*) FILTER (kind = 'predict' AND seq > first) AS late FROM e LEFT JOIN f USING (attempt) WHERE kind <> 'validate' GROUP BY 1, 2),
+s AS (SELECT attempt, count(*) FILTER (foretold AND NOT was AND now) AS fixed, count(*) FILTER (foretold AND was IS NOT NULL AND NOT now) AS missed, count(*) FILTER (foretold AND was AND now) AS already, count(*) FILTER (NOT foretold AND was AND NOT now) AS collateral,
+CAST(sum(late) AS BIGINT) AS too_late, count(*) FILTER (now) AS passed, count(now) AS total FROM c GROUP BY 1)
+SELECT attempt, 'validated' AS status, coalesce(fixed, 0) AS fixed, coalesce(missed, 0) AS missed, coalesce(already, 0) AS already, coalesce(collateral, 0) AS collateral, coalesce(too_late, 0) AS too_late, coalesce(passed, 0) AS passed, coalesce(total, 0) AS total
+FROM (SELECT DISTINCT attempt FROM e WHERE kind = 'validate') LEFT JOIN s USING (attempt)"""
+
+
+def ledger_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the table at once."""
+    return ledger.outcomes_of(_entries(events(spark, sf_dir)))
+
+
+LEDGER_OUTCOMES = STREAM_LEDGER
+
+NAMES = "consolidate_sources degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed stream_changes stream_audit stream_consolidation kept_turns identity_turns json_faults evidence_sections migrated_store plugin_summaries sync_push stream_sync stream_ledger ledger_outcomes".split()
