@@ -27,9 +27,11 @@ from memlake.llm.session import checkpointed
 from memlake.llm.textscan import LOWER, Chunk, chunks, mix, multipliers, span_hashes, word_spans
 
 #: Bytes of text in a block; a longer text is cut between pieces, which no phrase crosses.
-BLOCK_BYTES = 8_000_000
-#: Bits of the filter of frequent phrases: 32 MB, whatever their number.
-FILTER_BITS = 28
+BLOCK_BYTES = 2_500_000
+#: Rows of a batch that are told apart by language at once.
+SLICE_ROWS = 3000
+#: Bits of the filter of frequent phrases: 16 MB, whatever their number.
+FILTER_BITS = 27
 #: Frequent phrases that are broadcast to look counts up (some 100 MB with Spark's tables); beyond, a shuffle joins them.
 BROADCAST_PHRASES = 300_000
 #: Parts of a language whose first phrases are found apart before they meet.
@@ -83,8 +85,11 @@ def _language(name: str) -> np.uint64:
     return reduce(lambda h, b: mix(np.array([h ^ np.uint64(b)]))[0], name.encode(), np.uint64(len(name) + 1))
 
 
-def block_lists(chunk: Chunk, language: str, words: int, table: np.ndarray | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Phrases of so many words, whose parts pass the filter, their hashes and the lengths of their lists."""
+def block_lists(chunk: Chunk, language: str, words: int, table: np.ndarray | None, named: bool = True) -> tuple[pa.Array | None, np.ndarray, np.ndarray]:
+    """Phrases of so many words, whose parts pass the filter, their hashes and the lengths of their lists.
+
+    Phrases that are ``named`` must pass the filter themselves from two words on; others have no text.
+    """
     ids, joined, vocabulary, hashes = _vocabulary(chunk)
     seed = _language(language)
     of = mix(hashes ^ seed)
@@ -107,42 +112,73 @@ def block_lists(chunk: Chunk, language: str, words: int, table: np.ndarray | Non
         if size < words:
             kept = passes(table, of)[number]
             at, phrase = begin[kept], number[kept]
+    if not named:
+        return None, of, lengths
+    kept = passes(table, of)
+    first, of, lengths = first[kept], of[kept], lengths[kept]
     parts = [vocabulary.take(pa.array(ids[first + k])) for k in range(words)]
     return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), of, lengths
 
 
-def _counted(words: int, bits):
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, Chunk]]:
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(at, SLICE_ROWS)
+        langs = part.column(0).dictionary_encode()
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            for chunk in chunks(part.column(1).filter(pc.equal(langs.indices, code)), BLOCK_BYTES):
+                for block in _cut(chunk):
+                    yield lang, block
+        # Freed memory goes back, as a worker lives through many tasks.
+        pa.default_memory_pool().release_unused()
+
+
+def _named(words: int, bits):
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``lang, phrase, hash, n``; for single words, a row without phrase has a block's number of words."""
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            for code, lang in enumerate(langs.dictionary.to_pylist()):
-                texts = batch.column(1).filter(pc.equal(langs.indices, code))
-                for chunk in (part for c in chunks(texts, BLOCK_BYTES) for part in _cut(c)):
-                    phrases, of, lengths = block_lists(chunk, lang, words, bits and bits.value)
-                    phrases, of = phrases.cast(pa.string()), of.view(np.int64)
-                    if words == 1:
-                        phrases, of, lengths = pa.concat_arrays([phrases, pa.nulls(1, pa.string())]), np.r_[of, 0], np.r_[lengths, lengths.sum()]
-                    if len(of):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of), pa.string()), phrases, pa.array(of), pa.array(lengths.astype(np.int64))], ["lang", "phrase", "hash", "n"])
+            for lang, block in _blocks(batch):
+                phrases, of, lengths = block_lists(block, lang, words, bits and bits.value)
+                phrases, of = phrases.cast(pa.string()), of.view(np.int64)
+                if words == 1:
+                    phrases, of, lengths = pa.concat_arrays([phrases, pa.nulls(1, pa.string())]), np.r_[of, 0], np.r_[lengths, lengths.sum()]
+                if len(of):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of), pa.string()), phrases, pa.array(of), pa.array(lengths.astype(np.int64))], ["lang", "phrase", "hash", "n"])
+
+    return named
+
+
+def _hashed(words: int, bits):
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``hash, n`` of phrases whose parts pass the filter."""
+        for batch in batches:
+            for lang, block in _blocks(batch):
+                _, of, lengths = block_lists(block, lang, words, bits.value, named=False)
+                if len(of):
+                    yield pa.RecordBatch.from_arrays([pa.array(of.view(np.int64)), pa.array(lengths.astype(np.int64))], ["hash", "n"])
 
-    return counted
+    return hashed
 
 
 def frequent_phrases(texts: DataFrame, most_words: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """``lang, phrase, words, f`` of all phrases that occur ``least`` times in their language, and ``lang, n``."""
+    """``lang, phrase, words, f`` of all phrases that occur ``least`` times in their language, and ``lang, n``.
+
+    Longer phrases are counted twice: by hash, which is cheap and may only count too
+    many, for the filter, then those that pass it by their text.
+    """
     table, levels, totals = None, [], None
+    send = texts.sparkSession.sparkContext.broadcast
     for words in range(1, most_words + 1):
-        bits = texts.sparkSession.sparkContext.broadcast(table) if words > 1 else None
-        found = texts.mapInArrow(_counted(words, bits), "lang string, phrase string, hash long, n long")
+        if words > 1:
+            sums = texts.mapInArrow(_hashed(words, send(table)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+            table = filled(sums.where(F.col("n") >= least).select("hash"), FILTER_BITS, table)
+        found = texts.mapInArrow(_named(words, send(table) if words > 1 else None), "lang string, phrase string, hash long, n long")
         sums = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("hash").alias("hash"))
         level = checkpointed(sums.where(F.col("phrase").isNull() | (F.col("f") >= least)))
         if words == 1:
             totals = level.where("phrase is null").select("lang", F.col("f").alias("n"))
             level = level.where("phrase is not null")
+            table = filled(level.select("hash"), FILTER_BITS)
         levels.append(level.select("lang", "phrase", F.lit(words).alias("words"), "f"))
-        if words < most_words:
-            table = filled(level.select("hash"), FILTER_BITS, table)
     return reduce(DataFrame.unionByName, levels), totals
 
 
