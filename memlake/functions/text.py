@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters that fold to a plain one, and the ASCII alphabets.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _marks() -> tuple[str, str]:
+    """Letters with marks and their plain ones, by Unicode's decomposition, then the marks themselves, which have no counterpart and go."""
+    letters, plain, marks = [], [], []
+    for code in range(0x80, 0x20000):
+        letter = chr(code)
+        if unicodedata.category(letter)[0] == "M":
+            marks.append(letter)
+        elif not 0xAC00 <= code <= 0xD7A3:
+            base = "".join(c for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c)[0] != "M")
+            if len(base) == 1 and base != letter:
+                letters.append(letter)
+                plain.append(base)
+    return "".join(letters + marks), "".join(plain)
+
+
+#: What folding replaces and by what; letters without a decomposition, as ł and ø, stay.
+ACCENTED, PLAIN = _marks()
+# The ASCII alphabets.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,7 +43,7 @@ def column(c: Column | str) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    """Lower case without Latin-1 accents."""
+    """Lower case without accents: a letter and its marks, as one code point or several, become the plain letter."""
     return F.translate(F.lower(column(text)), ACCENTED, PLAIN)
 
 

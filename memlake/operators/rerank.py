@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,85 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = 10) -> Data
     return scored.orderBy(F.desc_nulls_last("score"), F.asc("vec_id")).limit(k)
 
 
+#: Query vectors of a block, and products that are held at once.
+QUERY_BLOCK, PRODUCTS = 1024, 4_000_000
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; NaN for rows without a length."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have ``width`` numbers, none of them null, and their places."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    fit = np.flatnonzero(sizes == width)
+    flat = column.take(pa.array(fit)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(fit), width), fit
+
+
+def _best(wanted, k: int, digits: int):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = wanted.value
+        held_ids, held = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for batch in batches:
+            vectors, fit = _matrix(batch.column(1), queries.shape[1])
+            own = np.asarray(batch.column(0))[fit]
+            for at in range(0, len(own), max(1, PRODUCTS // len(ids))):
+                stop = at + max(1, PRODUCTS // len(ids))
+                scores = np.round(queries @ _unit(vectors[at:stop]).T, digits)
+                scores = np.concatenate([held, np.where(np.isnan(scores), -2.0, scores)], axis=1)
+                names = np.concatenate([held_ids, np.broadcast_to(own[at:stop], (len(ids), len(own[at:stop])))], axis=1)
+                order = np.lexsort((names, -scores), axis=1)[:, :k]
+                held, held_ids = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+        kept = held >= -1.5
+        rows = np.repeat(ids, kept.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(held_ids[kept]), pa.array(held[kept])], ["query_id", "vec_id", "score"])
+
+    return best
+
+
+def _query_blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the queries, ``QUERY_BLOCK`` of one width at a time; they come to the driver block by block."""
+    held: dict[int, list] = {}
+
+    def block(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        matrix = _unit(np.array([r["embedding"] for r in rows]))
+        usable = ~np.isnan(matrix).any(axis=1)
+        return np.array([r["query_id"] for r in rows], np.int64)[usable], matrix[usable]
+
+    for row in asked.toLocalIterator():
+        own = held.setdefault(len(row["embedding"]), [])
+        own.append(row)
+        if len(own) == QUERY_BLOCK:
+            yield block(held.pop(len(row["embedding"])))
+    yield from (b for b in map(block, held.values()) if len(b[0]))
+
+
+def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 5) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the ``k`` vectors of the highest cosine to each of ``queries(query_id, embedding)``.
+
+    Queries go to the vectors in blocks of ``QUERY_BLOCK`` as a matrix; a task
+    multiplies its vectors with it a slice at a time and keeps the best of each query,
+    so a pair of vectors is never a row.  Scores are rounded, and of equal ones the
+    smaller id comes first.  Vectors without length, with nulls, or of another width
+    than the query's are in no result.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and not exists(embedding, x -> x is null)")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("size(embedding) > 0 and not exists(embedding, x -> x is null)")
+    parts = []
+    for block in _query_blocks(asked):
+        sent = spark.sparkContext.broadcast(block)
+        parts.append(rows.mapInArrow(_best(sent, k, digits), "query_id long, vec_id long, score double"))
+    if not parts:
+        return rows.select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = reduce(DataFrame.unionByName, parts)
+    return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
 def decay(age_hours: Column, half_life: float) -> Column:
     return F.exp(-math.log(2) * age_hours / half_life)
 

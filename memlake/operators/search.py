@@ -20,7 +20,7 @@ def phrases(query: str) -> list[list[str]]:
 
     from memlake.functions.text import ACCENTED, PLAIN
 
-    table = str.maketrans(ACCENTED, PLAIN)
+    table = str.maketrans(dict(zip(ACCENTED, PLAIN)) | dict.fromkeys(ACCENTED[len(PLAIN) :], ""))
     found = [re.findall(r"[^\W_]+", word.lower().translate(table)) for word in query.split()]
     return [p for p in found if p]
 

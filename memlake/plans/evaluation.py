@@ -221,7 +221,7 @@ def writer_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TOK = f"regexp_extract_all(translate(lower(coalesce(text, '')), '{T.ACCENTED}', '{T.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+_TOK = f"regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+')"
 WRITER_SCORE = f"""WITH t AS (SELECT conv_id, role = 'user' AS u, unnest({_TOK}) AS t FROM conversations), d AS (SELECT conv_id, t, bool_or(u) AS r, bool_or(NOT u) AS w FROM t GROUP BY ALL)
 SELECT c.conv_id, count(*) FILTER (r AND NOT w) AS missing, count(*) FILTER (w AND NOT r) AS unsupported, coalesce(bool_or(r AND w), false) AS grounded FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN d USING (conv_id) GROUP BY 1"""
 

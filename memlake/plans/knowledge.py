@@ -99,6 +99,18 @@ SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q
 """
 
 
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every twentieth vector, itself among them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return rerank.vector_topk_batch(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+VECTOR_NEIGHBOURS = """
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score IS NOT NULL AND NOT isnan(score) QUALIFY rank <= 10
+"""
+
+
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector, keyword, importance and recency signals of the texts that have a vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -110,7 +122,7 @@ def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round(score, 5).alias("score"))
 
 
-_TOKENS = f"regexp_extract_all(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+_TOKENS = f"regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')"
 HYBRID_SCORE = f"""
 WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1),
 v AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS vec FROM embeddings, q),
@@ -338,6 +350,6 @@ SELECT a, b FROM n, s WHERE a = b OR (length(a) >= 2 AND length(b) >= 2 AND (sub
 """
 
 NAMES = (
-    "snippet_cards redact_secrets entropy_tokens key_tokens end_date_extract vector_topk hybrid_score source_quality version_intervals asof_value current_facts triple_query canonical_history graph_bfs graph_typed "
+    "snippet_cards redact_secrets entropy_tokens key_tokens end_date_extract vector_topk vector_neighbours hybrid_score source_quality version_intervals asof_value current_facts triple_query canonical_history graph_bfs graph_typed "
     "relation_expand lineage_visible lineage_collapse fuzzy_entities loose_entities one_edit"
 ).split()

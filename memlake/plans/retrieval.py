@@ -11,7 +11,7 @@ from memlake.sources.tables import events, importance, shared_folder, table, tex
 from memlake.streaming import capture
 
 TERMS = "the that"
-_FOLD = f"translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}')"
+_FOLD = "strip_accents(lower({}))"
 _TOKENS = "regexp_extract_all(" + _FOLD.format("coalesce(text, '')") + ", '[\\p{L}\\p{N}]+')"
 _IMPORTANCE = "CASE WHEN quality = 1 THEN 8 WHEN quality IS NULL THEN 5 ELSE 2 END"
 _MEM = f"mem AS (SELECT d.doc_id AS id, d.text AS content, d.source AS namespace, CAST(d.n_chars AS DOUBLE) AS created_at, {_IMPORTANCE} AS importance FROM documents d LEFT JOIN labels USING (doc_id))"

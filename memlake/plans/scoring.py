@@ -175,7 +175,7 @@ def alias_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.alias_fixes(items.where("id % 10 = 1").select("canonical_name", "alias"), items).select("target", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-_TOKENS = f"regexp_extract_all(translate(lower(coalesce(text, '')), '{T.ACCENTED}', '{T.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+_TOKENS = f"regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+')"
 ALIAS_FIXES = f"""WITH r AS (SELECT DISTINCT source AS c, {_TOKENS}[3] AS a FROM documents WHERE doc_id % 10 = 1 AND doc_id % 9 > 0 AND length({_TOKENS}[3]) >= 2)
 SELECT DISTINCT doc_id AS target, md5(source || ': ' || text) AS digest FROM documents JOIN r ON c = source AND list_contains(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), a) WHERE doc_id % 9 > 0"""
 

@@ -3,10 +3,13 @@
 import math
 import random
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.operators import search
+from memlake.functions import text as T
+from memlake.operators import rerank, search
 
 
 def plain(texts, queries, k):
@@ -82,3 +85,43 @@ def test_index_parts(spark, corpus):
     assert {r.term: r.df for r in index.terms.where("term in ('all', 'mid3', 'rare5')").collect()} == {w: sum(w in t.split() for _, t in rows) for w in ("all", "mid3", "rare5")}
     assert index.blocks.where("term = 'all'").count() > 100 and index.bounds.agg(F.max("n")).first()[0] <= search.BLOCK_IDS
     assert index.postings.where("term = 'all'").count() == len(rows)
+
+
+@pytest.mark.parametrize("query", ["cafe", "CAFÉ", "café", "Cáfé"])
+def test_accents_fold_alike(spark, query):
+    """One or several code points, Vietnamese, Greek, Hungarian; letters without a decomposition stay."""
+    texts = ["Café", "café", "CAFE", "caf", "Việt Nam", "ἄλφα άλφα ΆΛΦΑ", "ő Ű łódź øre", "Ångstrom Ångstrom"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string")
+    folded = {r.id: r.t for r in frame.select("id", T.tokens("content").alias("t")).collect()}
+    assert folded[0] == folded[1] == folded[2] == ["cafe"] and folded[4] == ["viet", "nam"]
+    assert len(set(folded[5])) == 1 and folded[6] == ["o", "u", "łodz", "øre"] and folded[7] == ["angstrom", "angstrom"]
+    assert search.phrases(query) == [["cafe"]]
+    own = duckdb.sql("SELECT regexp_extract_all(strip_accents(lower(t)), '[\\p{L}\\p{N}]+') FROM (SELECT unnest(?) AS t)", params=[texts]).fetchall()
+    assert [r[0] for r in own] == [folded[i] for i in range(len(texts))]
+
+
+def test_neighbours_of_many_vectors(spark, monkeypatch):
+    """Blocks of queries and slices of vectors against one product of all; odd vectors have no score."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(300, 8)).round(3)
+    vectors[7] = vectors[9] = vectors[20] * 2
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, [0.0] * 8), (901, None), (902, [1.0, 2.0]), (903, [None] * 8), (None, [1.0] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id % 4 = 0 or vec_id > 800").withColumnRenamed("vec_id", "query_id")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 5)
+    monkeypatch.setattr(rerank, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(rerank, "PRODUCTS", 500)
+    found = rerank.vector_topk_batch(frame.repartition(3), asked, 5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert set(got) == {*range(0, 300, 4), 902}
+    assert got[902] == {1: (902, 1.0)}
+    for q in range(0, 300, 4):
+        order = sorted(range(300), key=lambda i: (-scores[q, i], i))[:5]
+        assert [got[q][k + 1][0] for k in range(5)] == order
+        assert [got[q][k + 1][1] for k in range(5)] == pytest.approx([scores[q, i] for i in order])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+    assert rerank.vector_topk_batch(frame, asked.limit(0)).count() == 0
