@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.text import KEY_TOKEN
+from memlake.functions.text import KEY_TOKEN, LOWER, UPPER
 from memlake.operators import consolidate, plugins
 from memlake.operators.store import fold_operations
 from memlake.sources import strict
@@ -20,14 +20,61 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consolidate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations consolidated; verified are those whose turns have one end and one scope."""
     rows = _sources(spark, sf_dir)
     made = consolidate.consolidate(rows)
-    checked = made.join(consolidate.covered(made, rows), "session_id")
+    checked = made.join(consolidate.covered(made, rows), ["session_id", "part"])
     return checked.select("session_id", F.md5(F.col("summary").cast("binary")).alias("digest"), "valid_until", "scope", "sources", "verified")
 
 
 CONSOLIDATE_SOURCES = """SELECT conv_id AS session_id, md5(string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' | ' ORDER BY turn, role, text)) AS digest,
-min(CASE WHEN turn % 2 = 1 THEN 1000 - turn END) AS valid_until, CASE WHEN bool_and(role <> 'system') THEN 'global' ELSE 'session' END AS scope, count(*) AS sources, true AS verified FROM conversations GROUP BY conv_id"""
+min(CASE WHEN turn % 2 = 1 THEN 1000 - turn END) AS valid_until, CASE WHEN bool_and(role <> 'system') THEN 'global' ELSE 'session' END AS scope, count(*) AS sources,
+count(DISTINCT coalesce(CASE WHEN turn % 2 = 1 THEN 1000 - turn END, -1)) = 1 AND count(DISTINCT role = 'system') = 1 AND bool_and(trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '') AS verified FROM conversations GROUP BY conv_id"""
+
+
+def _covered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in parts of three: ends, scopes and labels differ within some conversations."""
+    rows = turns(spark, sf_dir).where("length(trim(content)) > 0")
+    i, turn = F.col("session_id"), F.col("turn")
+    metadata = (
+        F.when((i % 7 == 1) & (turn % 2 == 0), '{"canonical_name": "nowhere said"}')
+        .when(i % 7 == 2, F.to_json(F.struct(F.array(F.substring(F.regexp_replace("content", r"[^A-Za-z ]", ""), 1, 3)).alias("aliases"))))
+        .when(i % 7 == 3, "{broken")
+        .when(i % 7 == 4, '{"aliases": "no list"}')
+        .when(i % 7 == 5, '{"canonical_name": ""}')
+    )
+    until = F.when(i % 5 == 0, turn % 2).when(i % 5 == 1, 7)
+    scope = F.when((i % 3 == 0) & (turn % 4 == 3), "global").otherwise("session")
+    # Roles of one turn number come in their order.
+    return rows.select("session_id", F.struct("turn", "role", "content").alias("seq"), F.concat_ws("-", turn.cast("string"), "role").alias("id"), "content", until.alias("valid_until"), scope.alias("scope"), metadata.alias("metadata"))
+
+
+def coverage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which summaries, some of them cut, put in capitals or with thoughts in them, say what their sources say."""
+    rows = _covered_sources(spark, sf_dir)
+    made = consolidate.consolidate(rows, most=3)
+    told = F.when(F.col("session_id") % 11 == 0, F.expr("substring(summary, 1, length(summary) - 1)")).when(F.col("session_id") % 11 == 1, F.translate("summary", LOWER, UPPER)).when(F.col("session_id") % 11 == 2, F.concat(F.lit("<think>so\nit is</think> "), "summary")).otherwise(F.col("summary"))
+    return consolidate.covered(made.withColumn("summary", told), rows, most=3)
+
+
+COVERAGE_CHECKS = """WITH s AS (SELECT conv_id AS i, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS line, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 3) AS alias,
+CASE WHEN conv_id % 5 = 0 THEN turn % 2 WHEN conv_id % 5 = 1 THEN 7 END AS until, CASE WHEN conv_id % 3 = 0 AND turn % 4 = 3 THEN 'global' ELSE 'session' END AS scope, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 3 AS INT) AS part,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations WHERE length(trim(text)) > 0),
+g AS (SELECT i, part, string_agg(line, ' | ' ORDER BY k) AS txt, bool_and(line <> '') AS said, count(DISTINCT coalesce(until, -1)) = 1 AS one_end, count(DISTINCT scope) = 1 AS one_scope,
+CASE i % 7 WHEN 1 THEN bool_and(turn % 2 = 1) WHEN 2 THEN count(DISTINCT alias) = 1 WHEN 3 THEN false WHEN 4 THEN false ELSE true END AS one_label, lower(trim(regexp_replace(min(alias), '\\s+', ' ', 'g'))) AS al FROM s GROUP BY i, part)
+SELECT i AS session_id, part, i % 11 <> 0 AND said AND one_end AND one_scope AND one_label AND (i % 7 <> 2 OR contains(txt, al)) AS verified FROM g"""
+
+
+def consolidated_veracity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What most of a conversation's turns rest on, in parts of four; ties go to the more careful label."""
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("stated", "Inferred", "tool", "imported", "made up")]), ((F.col("turn") * F.col("turn") + F.col("session_id")) % 5 + 1).cast("int"))
+    rows = _sources(spark, sf_dir).withColumn("turn", F.col("seq.turn")).withColumn("veracity", F.when(F.col("turn") % 9 < 8, kinds))
+    return consolidate.veracity(rows, most=4)
+
+
+CONSOLIDATED_VERACITY = """WITH s AS (SELECT conv_id AS i, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 4 AS INT) AS part, CASE WHEN turn % 9 < 8 THEN CAST((turn * turn + conv_id) % 5 AS INT) ELSE 4 END AS v FROM conversations),
+c AS (SELECT i, part, v, count(*) AS n FROM s GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY i, part ORDER BY n DESC, [5, 4, 3, 2, 1][v + 1]) AS k FROM c)
+SELECT i AS session_id, part, ['stated', 'inferred', 'tool', 'imported', 'unknown'][v + 1] AS veracity FROM o WHERE k = 1"""
 
 
 def degrade_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,4 +314,4 @@ def ledger_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER_OUTCOMES = STREAM_LEDGER
 
-NAMES = "consolidate_sources degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed stream_changes stream_audit stream_consolidation kept_turns identity_turns json_faults evidence_sections migrated_store plugin_summaries sync_push stream_sync stream_ledger ledger_outcomes".split()
+NAMES = "consolidate_sources coverage_checks consolidated_veracity degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed stream_changes stream_audit stream_consolidation kept_turns identity_turns json_faults evidence_sections migrated_store plugin_summaries sync_push stream_sync stream_ledger ledger_outcomes".split()
