@@ -64,6 +64,21 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return left.join(right, key).withColumn("diff", F.col("b") - F.col("a"))
 
 
+def strictly_paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """``paired`` of arms that must have the same probes, each once: a probe that only one arm has, or that one has twice, fails the job."""
+    left, right = a.groupBy(key).agg(F.count("*").alias("n_a"), F.first(value).alias("a")), b.groupBy(key).agg(F.count("*").alias("n_b"), F.first(value).alias("b"))
+    met = left.join(right, key, "full_outer")
+    fine = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    sure = F.when(F.coalesce(fine, F.lit(False)), F.col("b") - F.col("a")).otherwise(F.raise_error(F.concat(F.lit("not paired: "), F.col(key).cast("string"))).cast("double"))
+    return met.select(key, "a", "b", sure.alias("diff"))
+
+
+def aa_control(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """``n, differing, flat``: whether two runs that should be alike differ on no more than a hundredth of the probes, or on one."""
+    counted = strictly_paired(a, b, key, value).agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b")) | (F.col("diff") != 0)).alias("differing"))
+    return counted.withColumn("flat", F.col("differing") <= F.greatest(F.lit(1.0), F.col("n") / 100))
+
+
 def exact_share(a: Column, b: Column) -> Column:
     """Share of pairs with equal values; null without pairs."""
     return F.round(F.avg(a.eqNullSafe(b).cast("double")), 6)

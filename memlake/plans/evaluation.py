@@ -69,15 +69,14 @@ ARM_COMPARE = f"WITH {_ARMS} SELECT count(*) AS n, round(avg(a), 6) AS mean_a, r
 
 
 def aa_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same arm twice must not differ, and both have the same probes."""
-    a, _ = _arms(spark, sf_dir)
-    rows = evaluate.paired(a, a, "probe_id", "score")
-    lonely = evaluate.unpaired_keys(a, a, "probe_id").agg(F.count("*").alias("unpaired"))
-    counted = rows.agg(F.count("*").alias("n"), F.count_if(F.col("diff") != 0).alias("differing"))
-    return counted.crossJoin(F.broadcast(lonely)).withColumn("flat", F.col("differing") <= F.greatest(F.lit(1.0), F.col("n") / 100))
+    """Two runs of one measure: whether a user's events are worth more than 45 on the whole, with every event and without one of 97."""
+    e = events(spark, sf_dir).withColumn("probe_id", F.floor(F.col("event_id") / 20))
+    score = lambda rows: rows.groupBy("probe_id").agg((F.avg("value") > 45).cast("int").alias("score"))
+    return evaluate.aa_control(score(e), score(e.where("event_id % 97 > 0 or event_id % 20 = 0")), "probe_id", "score")
 
 
-AA_CONTROL = "SELECT count(DISTINCT user_id) AS n, CAST(0 AS BIGINT) AS differing, CAST(0 AS BIGINT) AS unpaired, true AS flat FROM events"
+AA_CONTROL = """WITH a AS (SELECT event_id // 20 AS p, avg(value) > 45 AS s FROM events GROUP BY 1), b AS (SELECT event_id // 20 AS p, avg(value) > 45 AS s FROM events WHERE event_id % 97 > 0 OR event_id % 20 = 0 GROUP BY 1)
+SELECT count(*) AS n, count(*) FILTER (a.s <> b.s) AS differing, count(*) FILTER (a.s <> b.s) <= greatest(1.0, count(*) / 100) AS flat FROM a JOIN b USING (p)"""
 
 
 def stage_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,30 +60,41 @@ def import_json(spark: SparkSession, path: str, existing: DataFrame, force: bool
     return existing.unionByName(rows.join(existing.select("id"), "id", "left_anti").select(*existing.columns))
 
 
+def content_digest(df: DataFrame) -> DataFrame:
+    """``rows, digest, sums``: the number of rows, and two sums over their hashes that no order changes and repeated rows don't cancel."""
+    row = F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in df.columns])
+    # Halves of the hashes, so that sums of any number of rows stay whole.
+    return df.select(row.alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("digest"), F.coalesce(F.sum((F.shiftrightunsigned("h", 32) + F.col("h").bitwiseAND(0x7FFFFFFF)).cast("decimal(20, 0)")), F.lit(0)).cast("decimal(38, 0)").cast("string").alias("sums"))
+
+
+_POINTER = "version int, path string, rows long, digest long, sums string"
+
+
 def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """Write a full snapshot and then a pointer row to it; readers follow the newest pointer."""
+    """Write a full snapshot and then a pointer row with its digest; readers follow the newest pointer.
+
+    The digest is of what was written, so a snapshot is only pointed at once it can be read.
+    """
     path = f"{root}/v={version}"
     df.write.mode("errorifexists").parquet(path)
-    checksum = df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("digest"))
-    checksum.select(F.lit(version).alias("version"), F.lit(path).alias("path"), "rows", "digest").coalesce(1).write.mode("append").json(f"{root}/pointers")
+    checksum = content_digest(df.sparkSession.read.parquet(path))
+    checksum.select(F.lit(version).alias("version"), F.lit(path).alias("path"), "rows", "digest", "sums").coalesce(1).write.mode("append").json(f"{root}/pointers")
     return path
 
 
-def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    pointers = spark.read.schema("version int, path string, rows long, digest long").json(f"{root}/pointers")
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None, check: bool = True) -> DataFrame:
+    """The newest snapshot, or the one of a version; one whose rows aren't those that were written is refused."""
+    pointers = spark.read.schema(_POINTER).json(f"{root}/pointers")
     chosen = (pointers.where(F.col("version") == version) if version is not None else pointers).orderBy(F.desc("version")).first()
     if chosen is None:
         raise ValueError("no such snapshot")
-    return spark.read.parquet(chosen.path)
+    rows = spark.read.parquet(chosen.path)
+    if check and tuple(content_digest(rows).first()) != (chosen.rows, chosen.digest, chosen.sums):
+        raise ValueError(f"snapshot {chosen.version} isn't what was written")
+    return rows
 
 
 def expired_backups(backups: DataFrame, keep: int) -> DataFrame:
     """Backups but the newest ``keep``; of equal times the paths that sort first stay."""
     newest = backups.orderBy(F.desc("made_at"), F.asc("path")).limit(keep)
     return backups.join(newest.select("path"), "path", "left_anti")
-
-
-def evidence_markdown(rows: DataFrame) -> DataFrame:
-    """A Markdown section for each row, as one text column."""
-    head = F.concat(F.lit("## "), F.col("id").cast("string"), F.lit("\n\n"))
-    return rows.select("id", F.concat(head, F.col("content"), F.lit("\n")).alias("value"))

@@ -111,3 +111,15 @@ def test_a_group_of_many_values_isn_t_gathered(spark):
     values = np.sort((np.arange(2_000_000) * 7919) % 2_000_003)
     row = found.first()
     assert row["median"] == values[(len(values) - 1) // 2] and row["p99"] == pytest.approx(np.quantile(values, 0.99))
+
+
+def test_strict_pairs_fail_where_arms_differ(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "probe long, score double")
+    a = frame([(1, 0.5), (2, 1.0), (3, None)])
+    got = {r.probe: r.diff for r in evaluate.strictly_paired(a, frame([(2, 3.0), (1, 0.5), (3, 1.0)]), "probe", "score").collect()}
+    assert got == {1: 0.0, 2: 2.0, 3: None}
+    for other in ([(1, 0.5), (2, 1.0)], [(1, 0.5), (2, 1.0), (3, 1.0), (4, 1.0)], [(1, 0.5), (2, 1.0), (3, 1.0), (3, 1.0)]):
+        with pytest.raises(Exception, match="not paired"):
+            evaluate.strictly_paired(a, frame(other), "probe", "score").collect()
+    row = evaluate.aa_control(a, frame([(1, 0.5), (2, 3.0), (3, None)]), "probe", "score").first()
+    assert (row.n, row.differing, row.flat) == (3, 1, True)

@@ -94,3 +94,28 @@ def test_small_operators(spark):
     assert {r.path for r in files.expired_backups(backups, 4).collect()} == {"b0", "b1"}
     gone = memory.mirror(spark.createDataFrame([], "target string, native_id long, content string"), spark.createDataFrame([("t", 1, "d")], "target string, native_id long, digest string"))
     assert gone[0].count() == 0 and gone[1].count() == 1
+
+
+def test_snapshots_are_what_was_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", 0.5), (2, "b", 0.5)], "id long, text string, x double")
+    root = str(tmp_path)
+    files.write_snapshot(rows, root, 1)
+    files.write_snapshot(rows.where("id = 1"), root, 2)
+    assert files.read_snapshot(spark, root).count() == 1 and files.read_snapshot(spark, root, 1).count() == 3
+    with pytest.raises(ValueError, match="no such"):
+        files.read_snapshot(spark, root, 7)
+    # Rows that are gone, doubled or changed are noticed.
+    for k, other in enumerate((rows.where("id = 2"), rows.union(rows.where("id = 2")), rows.withColumn("x", F.lit(0.5)))):
+        other.write.mode("overwrite").parquet(f"{root}/v=1")
+        with pytest.raises(ValueError, match="isn't what was written"):
+            files.read_snapshot(spark, root, 1)
+        assert files.read_snapshot(spark, root, 1, check=False).count() == (2, 5, 3)[k]
+
+
+def test_exports_come_back(spark, tmp_path):
+    made = files.remember(spark.createDataFrame([("one", "n", 5, 1.0), ("two", "n", None, 2.0)], "content string, namespace string, importance int, created_at double"))
+    files.export_json(made, f"{tmp_path}/out")
+    changed = made.withColumn("importance", F.lit(9)).limit(1)
+    plain = files.import_json(spark, f"{tmp_path}/out", changed)
+    assert plain.count() == 2 and plain.where("importance = 9").count() == 1
+    assert files.import_json(spark, f"{tmp_path}/out", changed, force=True).where("importance = 9").count() == 0
