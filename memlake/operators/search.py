@@ -159,6 +159,29 @@ def recall(memories: DataFrame, index: Index, query: str, k: int = 10, namespace
     return best.join(memories.select("id", "content"), "id").orderBy(F.desc("score"), F.desc("importance"), F.desc("created_at"), F.asc("id"))
 
 
+def accesses(hits: DataFrame, at: Column) -> DataFrame:
+    """``ids, at``: a row for each query of ``hits(query_id, id)``, the texts that it was answered with and when.
+
+    It is what ``store.fold_accesses`` takes; a query without hits touches nothing.
+    """
+    return hits.groupBy("query_id").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.max(at).alias("at")).select("ids", "at")
+
+
+def recall_recorded(memories: DataFrame, index: Index, query: str, at: float, log: str, k: int = 10, namespace: str | None = None, min_importance: int | None = None) -> DataFrame:
+    """``recall``, which also appends to the folder ``log`` that its rows were accessed at a time.
+
+    An empty query is refused.  The answer is at most 100 rows; they are written
+    first, so that the rows that are returned and those that are counted are the same.
+    """
+    if not query.strip():
+        raise ValueError("query must not be empty")
+    hits = recall(memories, index, query, k, namespace, min_importance)
+    spark = memories.sparkSession
+    rows = spark.createDataFrame(hits.toArrow()) if not hits.isEmpty() else hits
+    accesses(rows.select(F.lit(0).alias("query_id"), "id"), F.lit(float(at))).write.mode("append").parquet(log)
+    return rows
+
+
 def predicate(namespace: str | None, min_importance: int | None) -> Column:
     """The filter that recall and count share; an empty namespace is none."""
     out = F.lit(True)

@@ -259,6 +259,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 RECALL_BATCH = _BATCH + "SELECT query_id, id, score, rank FROM r"
 
 
+def recall_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all probes were answered with, counted as accesses of the texts: probes ask at times of their own."""
+    hits = recall_batch(spark, sf_dir).withColumn("at", (F.col("query_id") % 50).cast("double"))
+    base = texts(spark, sf_dir).select("id", F.lit(0).alias("access_count"), F.lit(None).cast("double").alias("last_accessed"))
+    counted = store.apply_accesses(base, store.fold_accesses(search.accesses(hits, F.col("at"))))
+    return counted.select("id", F.col("access_count").cast("long").alias("access_count"), "last_accessed")
+
+
+RECALL_ACCESSES = _BATCH + "SELECT doc_id AS id, count(r.query_id) AS access_count, CAST(max(r.query_id % 50) AS DOUBLE) AS last_accessed FROM documents LEFT JOIN r ON r.id = doc_id GROUP BY doc_id"
+
+
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each probe the rank of the first recalled text that has the probe's passage, and a category of its length."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
@@ -322,5 +333,5 @@ SELECT query_id, bool_or(regexp_matches(term, '[0-9]') AND length(term) >= 4 AND
 
 NAMES = (
     "index_terms fts_topk fts_filtered fts_phrase literal_recall count_matching list_recent list_by_importance describe_store count_by_namespace dedup_proposals dedup_exact dedup_members dedup_preview dedup_losers access_fold ring_last3 "
-    "latest_outcome audit_scoped turn_capture identity_signals fallback_terms recall_batch recall_mrr hit_by_category score_floor abstain_identifiers"
+    "latest_outcome audit_scoped turn_capture identity_signals fallback_terms recall_batch recall_accesses recall_mrr hit_by_category score_floor abstain_identifiers"
 ).split()

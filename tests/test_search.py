@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.functions import text as T
-from memlake.operators import rerank, search
+from memlake.operators import rerank, search, store
 
 
 def plain(texts, queries, k):
@@ -125,3 +125,18 @@ def test_neighbours_of_many_vectors(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CartesianProduct" not in plan
     assert rerank.vector_topk_batch(frame, asked.limit(0)).count() == 0
+
+
+def test_recall_records_what_it_returns(spark, tmp_path):
+    rows = [(i, f"red word{i % 3} common", "n", i % 4, float(i)) for i in range(30)]
+    memories = spark.createDataFrame(rows, "id long, content string, namespace string, importance int, created_at double").withColumns({"access_count": F.lit(0), "last_accessed": F.lit(None).cast("double")})
+    index = search.build_index(memories, str(tmp_path / "index"))
+    log = str(tmp_path / "log")
+    seen = {}
+    for at, query in enumerate(("word1", "red word2", "nothing here", "common word1"), 1):
+        for r in search.recall_recorded(memories, index, query, at, log, 5).collect():
+            seen.setdefault(r.id, []).append(float(at))
+    with pytest.raises(ValueError):
+        search.recall_recorded(memories, index, "  ", 9, log)
+    counted = store.apply_accesses(memories, store.fold_accesses(spark.read.parquet(log))).collect()
+    assert {r.id: (r.access_count, r.last_accessed) for r in counted if r.access_count} == {i: (len(v), max(v)) for i, v in seen.items()} and len(seen) >= 10
