@@ -10,7 +10,7 @@ from memlake.operators import consolidate, plugins
 from memlake.operators.store import fold_operations
 from memlake.sources import strict
 from memlake.sources.tables import events, shared_folder, table, texts, turns
-from memlake.streaming import capture, ledger, sync
+from memlake.streaming import capture, ledger, sync, working
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,4 +314,30 @@ def ledger_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER_OUTCOMES = STREAM_LEDGER
 
-NAMES = "consolidate_sources coverage_checks consolidated_veracity degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed stream_changes stream_audit stream_consolidation kept_turns identity_turns json_faults evidence_sections migrated_store plugin_summaries sync_push stream_sync stream_ledger ledger_outcomes".split()
+def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn three times over, as clients send again what wasn't confirmed; each is kept once."""
+    at = shared_folder(spark, "turns")
+    rows = turns(spark, sf_dir).withColumn("at", (F.lit(1_700_000_000) + F.col("session_id") * 60 + F.col("turn")).cast("timestamp"))
+    rows.unionByName(rows).unionByName(rows).write.parquet(f"{at}/in")
+    stream = capture.stream_parquet(spark, f"{at}/in", rows.schema, 10_000)
+    capture.run_available(working.new_turns(stream).select("session_id", "turn", "role", F.md5(F.col("content").cast("binary")).alias("digest")), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out")
+
+
+STREAM_TURNS = "SELECT DISTINCT ON (conv_id, turn, role) conv_id AS session_id, turn, role, md5(text) AS digest FROM conversations"
+
+
+def stream_expirations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as memories that their events touch: those whose last event is two days or more before the newest one."""
+    at = shared_folder(spark, "working")
+    rows = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    rows.coalesce(1).write.parquet(f"{at}/in")
+    working.run_expirations(capture.stream_parquet(spark, f"{at}/in", rows.schema), f"{at}/out", f"{at}/state", hours=47)
+    return spark.read.parquet(f"{at}/out").select("id", F.col("touched").cast("timestamp_ntz").alias("touched"), "touches")
+
+
+STREAM_EXPIRATIONS = """WITH u AS (SELECT CAST(user_id AS VARCHAR) AS id, max(ts) AS touched, count(*) AS touches FROM events GROUP BY 1), m AS (SELECT max(touched) AS now FROM u)
+SELECT id, touched, touches FROM u, m WHERE epoch_ms(touched) + 47 * 3600000 <= epoch_ms(now) - 3600000"""
+
+
+NAMES = "consolidate_sources coverage_checks consolidated_veracity degrade_tiers operation_log stream_capture stream_access_counts session_spans change_feed stream_changes stream_audit stream_consolidation kept_turns identity_turns json_faults evidence_sections migrated_store plugin_summaries sync_push stream_sync stream_ledger ledger_outcomes stream_turns stream_expirations".split()

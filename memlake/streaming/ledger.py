@@ -9,8 +9,9 @@ come in any order before the validation.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +20,21 @@ OUTCOME = "attempt string, status string, fixed long, missed long, already long,
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of this kind needs Spark's RocksDB store; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def outcome(attempt: str, status: str, entries: list[tuple[int, str, str | None, bool | None]]) -> Row:
     """An attempt's outcome from its entries ``(seq, kind, case_id, passed)``.
 
@@ -70,7 +86,8 @@ class _Attempts(StatefulProcessor):
             return
         latest, validated = 0, False
         for row in rows:
-            latest = max(latest, int(row["at"].timestamp() * 1000))
+            # Milliseconds, as Python's times depend on the worker's zone.
+            latest = max(latest, row["milliseconds"])
             if row["kind"] == "validate":
                 validated = True
             else:
@@ -99,27 +116,18 @@ def ledger(entries: DataFrame, hours: int = 24, lateness: str = "1 hour") -> Dat
     ``entries(attempt, at, seq, kind, case_id, passed)``; kinds are ``predict``,
     ``before``, ``after`` and ``validate``, ``seq`` numbers an attempt's entries.  An
     attempt without a new entry for ``hours`` is given up as ``expired`` once the
-    watermark has passed.  What comes for a validated attempt changes nothing.  A batch
+    watermark has passed.  It needs the session within ``with_rocksdb``.  What comes for a validated attempt changes nothing.  A batch
     with an attempt's validation counts all of its entries in that batch.
     """
-    spark = entries.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    stream = entries.withWatermark("at", lateness).groupBy("attempt")
+    stream = entries.withColumn("milliseconds", F.unix_millis("at")).withWatermark("at", lateness).groupBy("attempt")
     return stream.transformWithState(statefulProcessor=_Attempts(hours), outputStructType=OUTCOME, outputMode="append", timeMode="EventTime")
 
 
 def run_ledger(entries: DataFrame, sink: str, checkpoint: str, hours: int = 24, lateness: str = "1 hour") -> None:
     """Outcomes of all that is there, into a Parquet folder; a later run goes on with the state of this one."""
-    spark = entries.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    try:
+    with with_rocksdb(entries.sparkSession):
         out = ledger(entries, hours, lateness)
         out.writeStream.trigger(availableNow=True).outputMode("append").option("checkpointLocation", checkpoint).option("path", sink).format("parquet").start().awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 def outcomes_of(entries: DataFrame) -> DataFrame:

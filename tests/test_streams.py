@@ -4,7 +4,7 @@ import datetime
 import hashlib
 
 
-from memlake.streaming import capture, ledger, sync
+from memlake.streaming import capture, ledger, sync, working
 
 ENTRIES = "attempt string, at timestamp, seq long, kind string, case_id string, passed boolean"
 START = datetime.datetime(2024, 1, 1)
@@ -79,3 +79,21 @@ def test_pushes_are_judged_and_applied_once(spark, tmp_path):
     again = sync.judge(spark.createDataFrame(second, CHANGES), sync.store_at(spark, at, 1))
     assert {(r.seq, r.outcome) for r in again.collect()} == {(s, o) for s, o in want.items() if s > 5}
     assert sync.judge(spark.createDataFrame([], CHANGES), store).count() == 0
+
+
+def test_memories_expire_by_the_streams_time(spark, tmp_path):
+    """A touch puts the end off, time moves with any memory's touches, and what comes back is a new memory."""
+    at = lambda h: START + datetime.timedelta(hours=h)
+    schema = "id string, at timestamp"
+    want = []
+    for part, gone in (
+        ([("a", at(0)), ("b", at(1)), ("a", at(2))], []),
+        ([("a", at(20)), ("c", at(27))], [("b", at(1), 1)]),
+        ([("c", at(50)), ("b", at(50))], [("a", at(20), 3)]),
+        ([("d", at(80))], [("b", at(50), 1), ("c", at(50), 2)]),
+    ):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = capture.stream_parquet(spark, f"{tmp_path}/in", spark.createDataFrame(part, schema).schema)
+        working.run_expirations(stream, f"{tmp_path}/out", f"{tmp_path}/state", hours=24)
+        want += gone
+        assert sorted(tuple(r) for r in spark.read.schema("id string, touched timestamp, touches long").parquet(f"{tmp_path}/out").collect()) == sorted(want)
