@@ -32,15 +32,15 @@ class _Memories(StatefulProcessor):
         self.last = handle.getValueState("last", "touched long, touches long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # Milliseconds, as Python's times depend on the worker's zone.
-        times = [row["milliseconds"] for row in rows]
+        # Microseconds, as Python's times depend on the worker's zone.
+        times = [row["microseconds"] for row in rows]
         held = self.last.get() if self.last.exists() else None
         touched = max([*times, held[0]] if held else times)
         self.last.update((touched, len(times) + (held[1] if held else 0)))
         # A touch puts the end off: only the newest timer stays.
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(touched + self.milliseconds)
+        self.handle.registerTimer(touched // 1000 + self.milliseconds)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -58,9 +58,9 @@ def expirations(touches: DataFrame, hours: int = 24, lateness: str = "1 hour") -
     One that is touched again in time goes on, and one that comes back after its end
     is a new memory.  Time is that of the watermark: the newest touch less the lateness.
     """
-    own = touches.withColumn("milliseconds", F.unix_millis("at")).withWatermark("at", lateness).groupBy("id")
+    own = touches.withColumn("microseconds", F.unix_micros("at")).withWatermark("at", lateness).groupBy("id")
     out = own.transformWithState(statefulProcessor=_Memories(hours), outputStructType=EXPIRED, outputMode="append", timeMode="EventTime")
-    return out.withColumn("touched", F.timestamp_millis("touched"))
+    return out.withColumn("touched", F.timestamp_micros("touched"))
 
 
 def run_expirations(touches: DataFrame, sink: str, checkpoint: str, hours: int = 24, lateness: str = "1 hour") -> None:
