@@ -10,6 +10,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memlake.operators import sweep
+
 # Acklam's coefficients of the inverse normal distribution.
 ACKLAM_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
 ACKLAM_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
@@ -165,14 +167,13 @@ def bootstrap_means(values: DataFrame, rounds: int) -> DataFrame:
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """The rows with ``i``, counted from 0 in the order of the key: parts are numbered by themselves, then moved by those before."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    parts = sweep.dealt(rows, [key], [])
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("n"))
     # One row for each part.
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    placed = dealt.withColumn("own", own).join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
-    return placed.withColumn("i", (F.col("own") + F.col("before")).cast("long")).drop("part", "own", "before")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    placed = parts.withColumn("_own", own).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return placed.withColumn("i", (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
 
 
 def interval(means: DataFrame, observed: DataFrame) -> DataFrame:

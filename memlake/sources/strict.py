@@ -7,9 +7,10 @@ from collections.abc import Callable
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memlake.operators import sweep
 from memlake.sources.files import MEMORY_SCHEMA
 
 MOST_BYTES = 100_000
@@ -92,12 +93,9 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def evidence_markdown(rows: DataFrame, most_index: int = 8000) -> DataFrame:
     """``id, section, indexed`` of ``rows(id, title, content)``: a section each, and whether the index, bounded in characters, still names it."""
-    from pyspark.sql import Window
-
     entry = F.concat(F.lit("- "), "title", F.lit("\n"))
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Only the head of the ids can be in the index, so a part's own sum is added to those of the parts before it.
-    dealt = rows.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()).withColumn("size", F.length(entry)).persist()
+    dealt = sweep.dealt(rows, ["id"], []).withColumnRenamed("_part", "part").withColumn("size", F.length(entry))
     before = F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = dealt.groupBy("part").agg(F.sum("size").alias("s")).select("part", before.alias("before"))
     running = F.sum("size").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
