@@ -32,6 +32,8 @@ BLOCK_BYTES = 2_500_000
 SLICE_ROWS = 3000
 #: Bits of the filter of frequent phrases: 16 MB, whatever their number.
 FILTER_BITS = 27
+#: Numbers of words of the phrases that are counted by hash first.
+HASHED = (2,)
 #: Frequent phrases that are broadcast to look counts up (some 100 MB with Spark's tables); beyond, a shuffle joins them.
 BROADCAST_PHRASES = 300_000
 #: Parts of a language whose first phrases are found apart before they meet.
@@ -85,10 +87,10 @@ def _language(name: str) -> np.uint64:
     return reduce(lambda h, b: mix(np.array([h ^ np.uint64(b)]))[0], name.encode(), np.uint64(len(name) + 1))
 
 
-def block_lists(chunk: Chunk, language: str, words: int, table: np.ndarray | None, named: bool = True) -> tuple[pa.Array | None, np.ndarray, np.ndarray]:
+def block_lists(chunk: Chunk, language: str, words: int, table: np.ndarray | None, named: bool = True, passing: bool = False) -> tuple[pa.Array | None, np.ndarray, np.ndarray]:
     """Phrases of so many words, whose parts pass the filter, their hashes and the lengths of their lists.
 
-    Phrases that are ``named`` must pass the filter themselves from two words on; others have no text.
+    With ``passing``, only those that pass the filter themselves; phrases that aren't ``named`` have no text.
     """
     ids, joined, vocabulary, hashes = _vocabulary(chunk)
     seed = _language(language)
@@ -114,8 +116,9 @@ def block_lists(chunk: Chunk, language: str, words: int, table: np.ndarray | Non
             at, phrase = begin[kept], number[kept]
     if not named:
         return None, of, lengths
-    kept = passes(table, of)
-    first, of, lengths = first[kept], of[kept], lengths[kept]
+    if passing:
+        kept = passes(table, of)
+        first, of, lengths = first[kept], of[kept], lengths[kept]
     parts = [vocabulary.take(pa.array(ids[first + k])) for k in range(words)]
     return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), of, lengths
 
@@ -137,7 +140,7 @@ def _named(words: int, bits):
         """``lang, phrase, hash, n``; for single words, a row without phrase has a block's number of words."""
         for batch in batches:
             for lang, block in _blocks(batch):
-                phrases, of, lengths = block_lists(block, lang, words, bits and bits.value)
+                phrases, of, lengths = block_lists(block, lang, words, bits and bits.value, passing=words in HASHED)
                 phrases, of = phrases.cast(pa.string()), of.view(np.int64)
                 if words == 1:
                     phrases, of, lengths = pa.concat_arrays([phrases, pa.nulls(1, pa.string())]), np.r_[of, 0], np.r_[lengths, lengths.sum()]
@@ -162,13 +165,14 @@ def _hashed(words: int, bits):
 def frequent_phrases(texts: DataFrame, most_words: int, least: int) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of all phrases that occur ``least`` times in their language, and ``lang, n``.
 
-    Longer phrases are counted twice: by hash, which is cheap and may only count too
-    many, for the filter, then those that pass it by their text.
+    Pairs of frequent words, the most numerous phrases by far, are counted twice: by
+    hash, which is cheap and may only count too many, for the filter, then those that
+    pass it by their text.  Longer phrases are pruned by their parts enough.
     """
     table, levels, totals = None, [], None
     send = texts.sparkSession.sparkContext.broadcast
     for words in range(1, most_words + 1):
-        if words > 1:
+        if words in HASHED:
             sums = texts.mapInArrow(_hashed(words, send(table)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
             table = filled(sums.where(F.col("n") >= least).select("hash"), FILTER_BITS, table)
         found = texts.mapInArrow(_named(words, send(table) if words > 1 else None), "lang string, phrase string, hash long, n long")
@@ -177,7 +181,8 @@ def frequent_phrases(texts: DataFrame, most_words: int, least: int) -> tuple[Dat
         if words == 1:
             totals = level.where("phrase is null").select("lang", F.col("f").alias("n"))
             level = level.where("phrase is not null")
-            table = filled(level.select("hash"), FILTER_BITS)
+        if words not in HASHED and words < most_words:
+            table = filled(level.select("hash"), FILTER_BITS, table)
         levels.append(level.select("lang", "phrase", F.lit(words).alias("words"), "f"))
     return reduce(DataFrame.unionByName, levels), totals
 
