@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.session import checkpointed
+from memlake.llm.session import checkpointed, give_back
 from memlake.llm.textscan import ALNUM, Chunk, chunks, mix, multipliers, words
 
 #: Bytes of text whose keys one range of the hash holds, about, and the ranges that small inputs have at most.
@@ -95,6 +95,7 @@ def _counted(ranges: int):
             wanted = np.asarray(batch.column(0).cast(pa.int8())) == 1
             for chunk in chunks(batch.column(1)):
                 yield _counts(chunk, wanted[chunk.first : chunk.first + len(chunk.bounds) - 1], ranges)
+            give_back()
 
     return counted
 
@@ -105,6 +106,7 @@ def _counted_packs(ranges: int):
             for pack, wanted, bounds, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = _counts(_chunk(bounds, text), np.array(wanted, bool), ranges)
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, pack, np.int64))], [*out.schema.names, "pack"])
+                give_back()
 
     return counted
 
@@ -166,6 +168,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = len(chunk.bounds) - 1
             lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (batch.column(0).slice(chunk.first, size), batch.column(2).slice(chunk.first, size), pa.array(chunk.bounds))]
             yield pa.RecordBatch.from_arrays([*lists, pa.array([pa.compress(chunk.bytes.tobytes(), "zstd", asbytes=True)], pa.binary())], ["ids", "wanted", "bounds", "text"])
+            give_back()
 
 
 def _chunk(bounds: list[int], text: bytes) -> Chunk:
@@ -213,6 +216,7 @@ def _settled(rows: pa.Table) -> pa.Table:
     out = _answered(table, rows)
     for c in ("kinds", "target_words", "words"):
         out = out.append_column(c, pa.array([table[c][0].as_py(), *[0] * (out.num_rows - 1)], pa.int64()))
+    give_back()
     return out
 
 
@@ -245,6 +249,7 @@ def _losses(model: tuple[int, int, int], weight: float, prior: float):
             chance = np.minimum(1, np.maximum(0, counts[pair] - less) / np.maximum(own, 1))
             p = np.where(opens | (own <= 0), base, weight * chance + (1 - weight) * base)
             mean[k] = np.bincount(doc, -np.log(p), rows) / np.maximum(1, n)
+        give_back()
         return pa.table([ids, pa.array(n.astype(np.int64)), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
     return losses

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,11 @@ def fresh(frame: DataFrame, name: str) -> str:
 def row_key(id_col: str, text_col: str) -> Column:
     """What tells rows apart where ids may be null or come with several texts: a hash of id and text."""
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the machine: workers live through many tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
