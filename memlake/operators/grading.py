@@ -29,8 +29,13 @@ def pick(values: tuple[str, ...], at: Column) -> Column:
 
 
 def lives(ids: DataFrame) -> DataFrame:
-    """``life_id, slot, entity, attribute, version, versions, value, day, ends, text`` of each event; ``ids(life_id)``."""
-    slots = ids.select("life_id", F.explode(F.sequence(F.lit(0), F.lit(len(ATTRIBUTES) - 1))).alias("slot"))
+    """``life_id, slot, entity, attribute, version, versions, value, day, ends, text`` of each event; ``ids(life_id)``.
+
+    The ids are few bytes for all that is made of them, so they are dealt over all
+    tasks first, each life to one: what is grouped or joined by life stays there.
+    """
+    parts = max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = ids.repartition(parts, "life_id").select("life_id", F.explode(F.sequence(F.lit(0), F.lit(len(ATTRIBUTES) - 1))).alias("slot"))
     life, slot = F.col("life_id"), F.col("slot")
     named = slots.withColumn("entity", F.concat(F.lit("unit"), F.substring(F.md5(F.concat_ws(":", life.cast("string"), slot.cast("string")).cast("binary")), 1, 6)))
     named = named.withColumn("attribute", pick(ATTRIBUTES, slot)).withColumn("versions", (1 + number(life, slot, F.lit("n")) % 3).cast("int"))
@@ -65,14 +70,15 @@ def probes(events: DataFrame) -> DataFrame:
 def recall_life(asked: DataFrame, events: DataFrame, k: int = 5, strict: bool = False) -> DataFrame:
     """``probe_id, rank, text``: a life's events that name the probe's entity or attribute, the former first, newest first.
 
-    ``strict`` returns nothing for an entity that no event of the life has.
+    ``strict`` returns nothing for an entity that no event of the life has.  Lives are
+    generated from ids, by whose size Spark judges them: they are never broadcast.
     """
-    met = asked.select("probe_id", "life_id", F.col("entity").alias("named"), F.col("attribute").alias("about")).join(events.select("life_id", "slot", "version", "day", "text"), "life_id")
+    met = asked.select("probe_id", "life_id", F.col("entity").alias("named"), F.col("attribute").alias("about")).join(events.select("life_id", "slot", "version", "day", "text").hint("merge"), "life_id")
     hits = F.contains("text", F.col("named")).cast("int") * 2 + F.contains("text", F.col("about")).cast("int")
     met = met.withColumn("score", hits).where("score > 0")
     if strict:
-        met = met.withColumn("best", F.max("score").over(Window.partitionBy("probe_id"))).where("best >= 2")
-    order = Window.partitionBy("probe_id").orderBy(F.desc("score"), F.desc("day"), F.asc("slot"), F.asc("version"))
+        met = met.withColumn("best", F.max("score").over(Window.partitionBy("life_id", "probe_id"))).where("best >= 2")
+    order = Window.partitionBy("life_id", "probe_id").orderBy(F.desc("score"), F.desc("day"), F.asc("slot"), F.asc("version"))
     return met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("probe_id", "rank", "text")
 
 
@@ -84,7 +90,7 @@ def contains_term(text: Column | str, needle: Column) -> Column:
     """Whether the text has the needle as a whole term: no letter or digit touches it."""
     quoted = F.replace(normal(needle), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), quoted, F.lit(r"\E(?![\p{L}\p{N}])"))
-    return (normal(needle) != "") & F.regexp_like(normal(text), pattern)
+    return (normal(needle) != "") & F.contains(normal(text), normal(needle)) & F.regexp_like(normal(text), pattern)
 
 
 def rank_of_first(rows: DataFrame, key: str, hit: Column) -> DataFrame:
