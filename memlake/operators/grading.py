@@ -188,7 +188,7 @@ def summarize(grades: DataFrame, by: list[str]) -> DataFrame:
 def cohorts(asked: DataFrame, staged: DataFrame) -> DataFrame:
     """``probe_id, cohort``: the first stage with an event that answers the current-truth probe."""
     current = asked.where("kind = 'answerable_current'")
-    met = current.join(staged.select("life_id", "entity", "attribute", "value", "stage"), ["life_id", "entity", "attribute"]).where(F.array_contains("answers", F.col("value")))
+    met = current.join(staged.select("life_id", "entity", "attribute", "value", "stage").hint("merge"), ["life_id", "entity", "attribute"]).where(F.array_contains("answers", F.col("value")))
     return met.groupBy("probe_id").agg(F.min("stage").alias("cohort"))
 
 

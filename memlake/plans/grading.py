@@ -158,13 +158,14 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = _events(spark, sf_dir)
     asked = G.probes(told)
     staged = evaluate.stage_of(told, "life_id", "day")
-    own = asked.join(G.cohorts(asked, staged), "probe_id").select("probe_id", "life_id", "kind", "split", "entity", "attribute", "answers", "stale", "cohort", F.explode(F.sequence("cohort", F.lit(G.STAGES - 1))).alias("stage"))
-    seen = own.select("probe_id", "life_id", "stage", F.col("entity").alias("named"), "answers").join(staged.select("life_id", F.col("stage").alias("told"), "day", "slot", "version", "text"), "life_id").where("told <= stage")
-    order = Window.partitionBy("probe_id", "stage").orderBy(F.desc("day"), F.asc("slot"), F.asc("version"))
+    # Lives are made from ids, by whose size Spark judges them: none is broadcast.
+    own = asked.join(G.cohorts(asked, staged).hint("merge"), "probe_id").select("probe_id", "life_id", "kind", "split", "entity", "attribute", "answers", "stale", "cohort", F.explode(F.sequence("cohort", F.lit(G.STAGES - 1))).alias("stage"))
+    seen = own.select("probe_id", "life_id", "stage", F.col("entity").alias("named"), "answers").join(staged.select("life_id", F.col("stage").alias("told"), "day", "slot", "version", "text").hint("merge"), "life_id").where("told <= stage")
+    order = Window.partitionBy("life_id", "probe_id", "stage").orderBy(F.desc("day"), F.asc("slot"), F.asc("version"))
     held = seen.withColumn("n", F.row_number().over(order)).where("n <= 3")
     answer = F.exists("answers", lambda a: G.contains_term("text", a)) & F.contains("text", F.col("named"))
     hits = held.groupBy("probe_id", "stage").agg(F.bool_or(answer).alias("hit"))
-    return own.join(hits, ["probe_id", "stage"]).select("life_id", "probe_id", "cohort", "stage", "hit")
+    return own.join(hits.hint("merge"), ["probe_id", "stage"]).select("life_id", "probe_id", "cohort", "stage", "hit")
 
 
 _OBSERVED = f"""WITH {_LIVES}, dr AS (SELECT *, dense_rank() OVER (PARTITION BY life_id ORDER BY day) - 1 AS r FROM ev), sg AS (SELECT *, r * 4 // (max(r) OVER (PARTITION BY life_id) + 1) AS stage FROM dr),

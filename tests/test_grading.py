@@ -13,7 +13,7 @@ def planned(query, spark):
     return query(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["probe_grades", "grade_summary", "prefetch_grades", "provenance_grades", "arm_grades", "aa_grades", "backtest_states"])
+@pytest.mark.parametrize("name", ["probe_grades", "grade_summary", "prefetch_grades", "provenance_grades", "arm_grades", "aa_grades", "backtest_states", "staged_observations", "life_transfer"])
 def test_lives_are_not_broadcast(spark, name):
     """A table of ids of a few MB stands for gigabytes of events: a broadcast of these stops the driver."""
     query = getattr(scoring if name == "backtest_states" else grading, name)
