@@ -20,6 +20,18 @@ def test_lives_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in planned(query, spark)
 
 
+def test_secrets_move_without_their_texts(spark):
+    """A text of many words isn't copied for each of them; secrets of texts with equal words are told apart."""
+    planted = spark.createDataFrame([(1, "item1 passes", "item1"), (2, "item2 passes", "item2"), (3, "item3 passes", "item3")], "secret_id long, secret string, token string")
+    kept = spark.createDataFrame([("an ITEM1 Passes here",), ("an item2 fails, and passes",), ("an ITEM1 Passes here",), (None,)], "content string")
+    found = G.secrets_stored(planted, kept)
+    assert found.collect() == [(3, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode" in line]
+    # An exploded row keeps the key alone: the text is left out of it.
+    assert exploded and all("[0]" in line or "[1]" in line for line in exploded), exploded
+
+
 def test_rules_meet_items_by_word(spark):
     """Every word of a label's rules is looked up, no item is compared with every rule; rows without an id keep theirs."""
     items = [(k, "x" if k % 2 else "y", f"The WORD{k % 7} and w{k}", f"Word{k % 5}") for k in range(60)] + [(None, "x", "a word1 without id", "a"), (3, "x", "other text of 3", "zz"), (70, None, "word1", "word1")]
