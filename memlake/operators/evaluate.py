@@ -153,13 +153,14 @@ def bootstrap_means(values: DataFrame, rounds: int) -> DataFrame:
 
     Every round draws as many units as there are.  ``block_draws`` says how many fall
     into each block of units; a block makes its draws itself and adds up its own sums,
-    so no row of a unit and a round ever moves.
+    so no row of a unit and a round ever moves.  Spark judges the draws by the few rounds
+    that they are made from; they are never broadcast.
     """
     n = values.count()
     if n == 0:
         return values.select(F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("mean")).limit(0)
     blocks = values.groupBy(F.expr(f"i div {FAN}").alias("node")).agg(F.sort_array(F.collect_list(F.struct("i", "x", "w"))).alias("own"))
-    drawn = block_draws(values.sparkSession, n, rounds).join(blocks, "node").select("b", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("t"))
+    drawn = block_draws(values.sparkSession, n, rounds).hint("merge").join(blocks, "node").select("b", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("t"))
     unit = F.element_at("own", (draw(F.col("b"), F.col("node"), 0, F.col("t"), F.size("own").cast("long")) + 1).cast("int"))
     units = drawn.select("b", unit.alias("u"))
     return units.groupBy("b").agg((F.sum("u.x") / F.sum("u.w")).alias("mean"))

@@ -71,6 +71,12 @@ def test_only_counts_move(spark):
     assert evaluate.bootstrap_means(spark.createDataFrame([], "i long, x double, w long"), 5).count() == 0
 
 
+def test_draws_are_not_broadcast(spark):
+    """Ten thousand rounds are a few KB, their draws of each block many million rows."""
+    values = spark.range(200).selectExpr("id as i", "cast(id as double) as x", "1 as w")
+    assert "Broadcast" not in evaluate.bootstrap_means(values, 10_000)._jdf.queryExecution().executedPlan().toString()
+
+
 WANTED = {"low": (0.0, "linear"), "q": (0.25, "linear"), "median": (0.5, "linear"), "p95": (0.95, "linear"), "p95_floor": (0.95, "floor"), "high": (1.0, "floor")}
 
 
