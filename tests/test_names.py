@@ -111,3 +111,12 @@ def test_keys_of_near_names_meet(spark):
     from pyspark.sql import functions as F
 
     assert all(r.m for r in frame.select(F.arrays_overlap(T.one_edit_keys(F.col("a")), T.one_edit_keys(F.col("b"))).alias("m")).collect())
+
+
+def test_few_windows_are_compared(spark):
+    """Labels that share a half, asked about by very many queries: windows meet the labels that they may name, once."""
+    known = spark.createDataFrame([(f"red w{k:03d}x{k:03d}",) for k in range(300)], "label string").selectExpr("label", "split(label, ' ') as own")
+    queries = spark.createDataFrame([(q, f"a red w{q % 300:03d}x{q % 300:03d} please") for q in range(3000)], "query_id long, query string")
+    windows = labels.query_windows(queries, known)
+    assert labels.collision_candidates(windows, known).count() < 2000
+    assert labels.collisions(queries, known.select("label")).count() >= 3000
