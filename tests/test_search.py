@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,35 @@ def test_index_parts(spark, corpus):
     assert index.postings.where("term = 'all'").count() == len(rows)
 
 
+def test_postings_are_made_in_runs(spark, tmp_path, monkeypatch):
+    """Runs that end with a block, within one, or in none: the same texts of each term, rows of one id and length as one."""
+    texts = {0: "a b a", 1: "b", 2: "", 3: None, 4: "a " * 9, 200: "b a", 300: "c", 301: "a c b a"}
+    frame = spark.createDataFrame([*texts.items(), (301, "b a c a")], "id long, content string")
+    got = {}
+    for run in (1, 4, 1_000_000):
+        monkeypatch.setattr(search, "RUN_TOKENS", run)
+        rows = pa.Table.from_pylist([{"id": i, "block": i // 128, "t": (t or "").split()} for i, t in [*sorted(texts.items()), (301, "b a c a")]], pa.schema([("id", pa.int64()), ("block", pa.int64()), ("t", pa.list_(pa.string()))]))
+        found = [r for b in search._posted(iter(rows.to_batches(3))) for r in b.to_pylist()]
+        got[run] = sorted((r["term"] or "", i, dl, tf) for r in found for i, dl, tf in zip(r["ids"], r["dls"], r["tfs"]))
+        assert all(r["n"] == len(r["ids"]) and sum(r["tfs"]) == len(r["positions"]) for r in found)
+    assert got[1] == got[4] == got[1_000_000]
+    assert ("a", 301, 4, 4) in got[1] and ("a", 4, 9, 9) in got[1] and sum(r[0] == "" for r in got[1]) == len(texts)
+    index = search.build_index(frame, str(tmp_path / "index"))
+    assert {(r.id, tuple(r.positions)) for r in index.placed.where("term = 'b'").collect()} == {(0, (2,)), (1, (1,)), (200, (1,)), (301, (1, 3))}
+
+
+def test_all_terms_start_from_the_rarest(spark, corpus):
+    rows, index = corpus
+    facts = spark.createDataFrame([(i, i % 3, float(i % 5)) for i, _ in rows], "id long, importance int, created_at double")
+    queries = [(1, ["all", "mid3", "rare5"]), (2, ["all", "nowhere"]), (3, ["all"]), (4, ["mid3", "all", "mid3"]), (5, ["nowhere"])]
+    got = search.recall_all(index, spark.createDataFrame(queries, "query_id long, terms array<string>"), facts, 7).collect()
+    for q, terms in queries:
+        have = {i for i, t in rows if set(terms) <= set(t.split())}
+        mine = [r for r in got if r.query_id == q]
+        assert len(mine) == min(7, len(have)) and {r.id for r in mine} <= have
+        assert sorted(mine, key=lambda r: (-r.score, -r.importance, -r.created_at, r.id)) == sorted(mine, key=lambda r: r["rank"])
+
+
 @pytest.mark.parametrize("query", ["cafe", "CAFÉ", "café", "Cáfé"])
 def test_accents_fold_alike(spark, query):
     """One or several code points, Vietnamese, Greek, Hungarian; letters without a decomposition stay."""
