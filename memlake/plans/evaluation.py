@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as T
-from memlake.operators import evaluate, rerank
+from memlake.operators import evaluate, rerank, search
 from memlake.operators.store import duplicate_members
-from memlake.plans.retrieval import _BATCH, recall, recall_batch
+from memlake.plans.retrieval import _BATCH, _probes, recall, recall_batch
 from memlake.sources.tables import events, table, texts
 
 # Events stand for graded probes: a user is a life, the type tells what happened, the value a score.
@@ -276,8 +276,8 @@ SELECT q, id, position FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORD
 
 
 def _hit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = texts(spark, sf_dir).select("id", F.array_distinct(T.tokens("content")).alias("tokens"))
-    return recall(spark, sf_dir, 12).join(own, "id")
+    hits = search.with_texts(recall(spark, sf_dir, 12), _probes(spark, sf_dir), texts(spark, sf_dir))
+    return hits.withColumn("tokens", F.array_distinct(T.tokens("content"))).drop("content")
 
 
 def near_dup_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,8 +297,6 @@ SELECT fx.query_id, fx.id, fx.pos AS rank FROM fk JOIN fx USING (query_id, pos)
 
 def coverage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each probe's first 12 texts, the five that together have most of its words first."""
-    from memlake.plans.retrieval import _probes
-
     hits = _hit_tokens(spark, sf_dir).join(_probes(spark, sf_dir).withColumn("terms", F.array_distinct("terms")), "query_id")
     return rerank.coverage_rerank(hits.select("query_id", "id", "rank", F.size("terms").alias("words"), F.array_intersect("terms", "tokens").alias("hits")))
 

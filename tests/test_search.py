@@ -170,3 +170,17 @@ def test_recall_records_what_it_returns(spark, tmp_path):
         search.recall_recorded(memories, index, "  ", 9, log)
     counted = store.apply_accesses(memories, store.fold_accesses(spark.read.parquet(log))).collect()
     assert {r.id: (r.access_count, r.last_accessed) for r in counted if r.access_count} == {i: (len(v), max(v)) for i, v in seen.items()} and len(seen) >= 10
+
+
+def test_hits_go_to_their_texts(spark, corpus, tmp_path):
+    """A few hits are sent to the texts: of these nothing is shuffled, sorted or tokenised."""
+    rows, index = corpus
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(rows, "id long, content string").write.parquet(path)
+    asked = spark.createDataFrame([(1, ["mid3", "rare5"]), (2, ["nowhere"])], "query_id long, terms array<string>")
+    out = search.with_texts(search.recall_batch(index, asked, 4), asked, spark.read.parquet(path))
+    own = dict(rows)
+    got = out.collect()
+    assert len(got) == 4 and all(r.content == own[r.id] for r in got)
+    joined = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Join Inner" in line and "broadcast" in line for line in joined[:3])
