@@ -291,8 +291,9 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger over all events in one run, every entry twice, and its validated attempts."""
     at = shared_folder(spark, "ledger")
     rows = _entries(events(spark, sf_dir))
-    rows.unionByName(rows).coalesce(1).write.parquet(f"{at}/in")
-    stream = capture.stream_parquet(spark, f"{at}/in", rows.schema)
+    rows.unionByName(rows).write.parquet(f"{at}/in")
+    # All files are one batch: an attempt's validation counts what comes with it.
+    stream = capture.stream_parquet(spark, f"{at}/in", rows.schema, files_per_batch=2**31 - 1)
     ledger.run_ledger(stream, f"{at}/out", f"{at}/state", hours=24 * 365)
     return spark.read.parquet(f"{at}/out").where("status = 'validated'")
 

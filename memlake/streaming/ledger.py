@@ -76,35 +76,39 @@ class _Attempts(StatefulProcessor):
         self.entries = handle.getMapState("entries", "seq long", "kind string, case_id string, passed boolean")
         self.closed = handle.getValueState("closed", "at long")
 
-    def _finish(self, attempt: str, status: str) -> Row:
-        held = [(key[0], *value) for key, value in self.entries.iterator()]
+    def _finish(self, attempt: str, status: str, fresh: dict[int, tuple]) -> Row:
+        held = {key[0]: tuple(value) for key, value in self.entries.iterator()} | fresh
         self.entries.clear()
-        return outcome(attempt, status, held)
+        return outcome(attempt, status, [(seq, *value) for seq, value in held.items()])
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if self.closed.exists():
             return
-        latest, validated = 0, False
+        # State is written once for each entry of the batch, and not at all for an attempt that is validated in it.
+        latest, validated, fresh = 0, False, {}
         for row in rows:
             # Milliseconds, as Python's times depend on the worker's zone.
             latest = max(latest, row["milliseconds"])
             if row["kind"] == "validate":
                 validated = True
             else:
-                self.entries.updateValue((row["seq"],), (row["kind"], row["case_id"], row["passed"]))
+                fresh[row["seq"]] = (row["kind"], row["case_id"], row["passed"])
         for timer in list(self.handle.listTimers()):
             latest = max(latest, timer - self.milliseconds)
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(latest + self.milliseconds)
         if validated:
-            yield self._finish(key[0], "validated")
+            yield self._finish(key[0], "validated", fresh)
             self.closed.update((latest,))
+        else:
+            for seq, value in fresh.items():
+                self.entries.updateValue((seq,), value)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.closed.exists():
             self.closed.clear()
         else:
-            yield self._finish(key[0], "expired")
+            yield self._finish(key[0], "expired", {})
 
     def close(self) -> None:
         pass

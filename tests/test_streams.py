@@ -97,3 +97,43 @@ def test_memories_expire_by_the_streams_time(spark, tmp_path):
         working.run_expirations(stream, f"{tmp_path}/out", f"{tmp_path}/state", hours=24)
         want += gone
         assert sorted(tuple(r) for r in spark.read.schema("id string, touched timestamp, touches long").parquet(f"{tmp_path}/out").collect()) == sorted(want)
+
+
+def test_state_is_written_once_for_each_entry():
+    """Repeats in a batch are written once; an attempt that is validated in the batch writes no entry."""
+
+    class Map(dict):
+        writes = 0
+
+        def updateValue(self, key, value):
+            self.writes += 1
+            self[key] = value
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Handle:
+        def listTimers(self):
+            return []
+
+        def registerTimer(self, at):
+            pass
+
+    class Value:
+        at = None
+
+        def exists(self):
+            return self.at is not None
+
+        def update(self, value):
+            self.at = value
+
+    def entry(seq, kind, passed=None):
+        return {"milliseconds": 5, "seq": seq, "kind": kind, "case_id": "c", "passed": passed}
+
+    attempts = ledger._Attempts(1)
+    attempts.handle, attempts.entries, attempts.closed = Handle(), Map(), Value()
+    assert not list(attempts.handleInputRows(("a",), iter([entry(1, "predict"), entry(2, "before", False)] * 2), None))
+    assert attempts.entries.writes == 2
+    (row,) = attempts.handleInputRows(("a",), iter([entry(3, "after", True), entry(3, "after", True), entry(4, "validate")]), None)
+    assert row["fixed"] == 1 and row["total"] == 1 and attempts.entries.writes == 2 and not attempts.entries and attempts.closed.exists()
