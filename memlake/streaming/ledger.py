@@ -73,18 +73,21 @@ class _Attempts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getMapState("entries", "seq long", "kind string, case_id string, passed boolean")
+        self.entries = handle.getListState("entries", "seq long, kind string, case_id string, passed boolean")
         self.closed = handle.getValueState("closed", "at long")
 
+    def _held(self) -> dict[int, tuple]:
+        return {row[0]: tuple(row[1:]) for row in self.entries.get()}
+
     def _finish(self, attempt: str, status: str, fresh: dict[int, tuple]) -> Row:
-        held = {key[0]: tuple(value) for key, value in self.entries.iterator()} | fresh
+        held = self._held() | fresh
         self.entries.clear()
         return outcome(attempt, status, [(seq, *value) for seq, value in held.items()])
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if self.closed.exists():
             return
-        # State is written once for each entry of the batch, and not at all for an attempt that is validated in it.
+        # A batch's new entries are written at once, and not at all for an attempt that is validated in it.
         latest, validated, fresh = 0, False, {}
         for row in rows:
             # Milliseconds, as Python's times depend on the worker's zone.
@@ -101,8 +104,10 @@ class _Attempts(StatefulProcessor):
             yield self._finish(key[0], "validated", fresh)
             self.closed.update((latest,))
         else:
-            for seq, value in fresh.items():
-                self.entries.updateValue((seq,), value)
+            held = self._held()
+            new = [(seq, *value) for seq, value in fresh.items() if held.get(seq) != value]
+            if new:
+                self.entries.appendList(new)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.closed.exists():
