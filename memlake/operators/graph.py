@@ -64,16 +64,11 @@ def collapse_lineage(results: DataFrame) -> DataFrame:
     return results.join(parents, ["query_id", "degraded_from"], "left_anti")
 
 
-def _numbered_grams(name: Column, size: int) -> Column:
-    """Runs of ``size`` letters, for pairs with marks at both ends; the second and later equal ones are numbered."""
+def _grams(name: Column, size: int) -> Column:
+    """Runs of ``size`` letters in their order, for pairs with marks at both ends."""
     padded = F.concat(F.lit("\u0002"), name, F.lit("\u0003")) if size == 2 else name
     n = F.length(padded) - size + 1
-    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, F.lit(size)))).otherwise(F.expr("cast(array() as array<string>)"))
-
-    def number(grams: Column) -> Column:
-        return F.transform(grams, lambda g, i: F.concat(g, F.lit("\u0001"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
-
-    return F.transform(F.array(grams), number)[0]
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, F.lit(size)))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def edit_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -82,22 +77,30 @@ def edit_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Data
     A name of n letters has n + 1 pairs of neighbours with its ends; an edit changes
     two of them, so a partner has ``n + 1 - 2 * (1 - threshold) * n`` of them, too.
     Below a threshold of a half this is nothing, and single letters stand in, of which
-    an edit changes one.  Of a name's pairs, rarest first, one of so many that the
-    rest are too few is shared: only these are joined, between names whose lengths
-    allow it.  Nothing is lost at any threshold.
+    an edit changes one.  Of the pairs that the edits leave, the rarest is among each
+    name's rarest ones, those but for so many that the rest are too few, and edits move
+    it by no more places than their number: only names that have such a pair at such
+    places meet, if their lengths allow it.  Nothing is lost at any threshold.
     """
     size = 2 if threshold >= 0.5 else 1
     least = lambda n: F.ceil((n + 1 if size == 2 else n) - size * (1 - threshold) * n - 1e-9)
     sides = left.select(F.col("a").alias("name")).union(right.select("b")).distinct()
-    tokens = sides.select("name", F.explode(_numbered_grams(F.col("name"), size)).alias("gram"))
+    tokens = sides.select("name", F.posexplode(_grams(F.col("name"), size)).alias("place", "gram"))
     counts = tokens.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = tokens.join(counts, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("own"))
+    ranked = tokens.join(counts, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "gram", "place"))).alias("own"))
     n = F.length("name")
-    prefix = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.least(F.size("own"), F.size("own") - least(n) + 1)).cast("int"))
-    kept = ranked.select("name", n.alias("size"), F.explode(prefix["gram"]).alias("gram"))
+    last = F.element_at("own", F.greatest(F.lit(1), F.least(F.size("own"), F.size("own") - least(n) + 1)).cast("int"))
+    # All places of the last kind of pair stay: any of them may be the one that the edits leave.
+    prefix = F.filter("own", lambda e: F.struct(e["n"], e["gram"]) <= F.struct(last["n"], last["gram"]))
+    kept = ranked.select("name", n.alias("size"), F.explode(prefix).alias("e")).select("name", "size", "e.gram", "e.place")
     x, y = kept.join(left.select(F.col("a").alias("name")), "name", "left_semi"), kept.join(right.select(F.col("b").alias("name")), "name", "left_semi")
-    met = x.select(F.col("name").alias("a"), F.col("size").alias("n_a"), "gram").join(y.select(F.col("name").alias("b"), F.col("size").alias("n_b"), "gram"), "gram")
-    return met.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9).select("a", "b").distinct()
+    x, y = (side.select(F.col("name").alias(c), F.col("size").alias(f"n_{c}"), "gram", F.col("place").alias(f"at_{c}")) for side, c in ((x, "a"), (y, "b")))
+    # Few bytes make many pairs: as many tasks as a shuffle has, not as few as the bytes would fill.
+    parts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = x.repartition(parts, "gram").join(y.repartition(parts, "gram"), "gram")
+    longer = F.greatest("n_a", "n_b")
+    fits = (F.least("n_a", "n_b") >= threshold * longer - 1e-9) & (F.abs(F.col("at_a") - F.col("at_b")) <= (1 - threshold) * longer + 1e-6)
+    return met.where(fits).select("a", "b").distinct()
 
 
 def prefix_candidates(left: DataFrame, right: DataFrame, least_ratio: float) -> DataFrame:

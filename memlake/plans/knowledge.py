@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.operators import facts, graph, rerank
-from memlake.sources.tables import importance, table, texts, turns, with_importance
+from memlake.sources.tables import importance, shared_folder, table, texts, turns, with_importance
 
 
 def snippet_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,10 +296,15 @@ LINEAGE_COLLAPSE = "SELECT l_orderkey AS query_id, CAST(l_linenumber AS BIGINT)
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations, and the first and last word of every text, in ASCII, as the SQL's edit distances count bytes."""
-    own = F.transform(T.tokens("content"), lambda t: F.regexp_replace(t, r"[^\x00-\x7F]", "x"))
-    words = texts(spark, sf_dir).select(own.alias("t")).where("size(t) > 0").select(F.explode(F.array(F.element_at("t", 1), F.element_at("t", -1))).alias("name"))
-    return table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).union(words).distinct()
+    """Nations, and the first and last word of every text, in ASCII, as the SQL's edit distances count bytes.
+
+    The texts are read once: their names are written, and every step reads those.
+    """
+    ends = texts(spark, sf_dir).select(T.tokens("content").alias("t")).select(F.explode(F.array(F.try_element_at("t", F.lit(1)), F.try_element_at("t", F.lit(-1)))).alias("name"))
+    words = ends.where("name is not null").distinct().select(F.regexp_replace("name", r"[^\x00-\x7F]", "x").alias("name"))
+    folder = shared_folder(spark, "names")
+    table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).union(words).distinct().write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 _NAMES_SQL = f"""ts AS (SELECT list_transform({_TOKENS}, lambda t: regexp_replace(t, '[^\\x00-\\x7F]', 'x', 'g')) AS t FROM documents),

@@ -120,3 +120,18 @@ def test_few_windows_are_compared(spark):
     windows = labels.query_windows(queries, known)
     assert labels.collision_candidates(windows, known).count() < 2000
     assert labels.collisions(queries, known.select("label")).count() >= 3000
+
+
+def test_names_with_the_same_pairs_elsewhere_do_not_meet(spark):
+    """Halves of a name that change places share nearly all pairs of letters, none at places that few edits reach."""
+    pairs = [("abcdefghij", "fghijabcde"), ("abcdefghij", "abcdxfghij")]
+    left, right = (spark.createDataFrame([(p[i],) for p in pairs], f"{c} string").distinct() for i, c in enumerate("ab"))
+    assert {(r.a, r.b) for r in graph.edit_candidates(left, right, 0.8).collect()} == {pairs[1]}
+
+
+def test_names_come_from_one_pass_over_the_texts(spark):
+    from memlake.plans import knowledge
+
+    sf_dir = "/root/testdata/sf0.001"
+    for query in (knowledge.fuzzy_entities, knowledge.loose_entities, knowledge.one_edit):
+        assert "documents.parquet" not in query(spark, sf_dir)._jdf.queryExecution().toString()
