@@ -134,3 +134,16 @@ def test_label_windows(spark):
     frame = spark.createDataFrame(cases, "q string, l string, want boolean")
     for r in frame.select(labels.names_label(labels.label_tokens("q"), labels.label_tokens("l")).alias("got"), "want", "q").collect():
         assert r.got == r.want, r.q
+
+
+def test_slots_are_not_gathered_by_pairs_with_queries(spark):
+    """Equal slots add up, no confidence comes last, and no aggregation has a slot's text beside a query."""
+    live = [("m", "ring_a", "gold", 0.5), ("m", "ring_a", "gold", 0.5), ("m", "ring_b", "gold", 0.9), ("m", "ring_c", "gold", None), ("m", "ring_d", "gold", 0.9), ("m", "hat", "felt", 1.0)]
+    slots = spark.createDataFrame(live, "category string, name string, body string, confidence double")
+    asked = spark.createDataFrame([(1, "golden ring of gold"), (2, "felt"), (3, "nothing")], "query_id long, query string")
+    out = prefetch.slots(asked, slots, limit=3)
+    got = sorted((r.query_id, r.position, r.name, r.overlap) for r in out.collect())
+    assert got == [(1, 1, "ring_a", 4), (1, 2, "ring_b", 2), (1, 3, "ring_d", 2), (2, 1, "hat", 1)]
+    assert len(prefetch.slots(asked, slots, limit=9).where("query_id = 1").collect()) == 4
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in line and "query_id" in line and "body" in line for line in plan)
