@@ -209,3 +209,20 @@ def test_the_products_of_a_block_of_queries_stay_small():
     got = pa.Table.from_batches(out).to_pydict()
     assert got["query_id"] == np.repeat(np.arange(1024) * 20, 10).tolist() and got["vec_id"] == order.ravel().tolist()
     assert peak < 60_000_000
+
+
+def test_a_query_without_phrases_reads_no_positions(spark, corpus):
+    rows, index = corpus
+    found = search.score(index, "all mid3 mid3")
+    assert "positions" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "positions" in search.score(index, "all-mid3")._jdf.queryExecution().executedPlan().toString()
+    split = {i: t.split() for i, t in rows}
+    want = {i: sum(w for q in ("all", "mid3", "mid3") for w in [weight(split, i, q)]) for i, ws in split.items() if {"all", "mid3"} <= set(ws)}
+    got = {r.id: r.score for r in found.collect()}
+    assert got.keys() == want.keys() and [got[i] for i in want] == pytest.approx(list(want.values()))
+    assert search.score(index, "all nowhere").count() == 0
+
+
+def weight(split, i, term):
+    n, avgdl, df, tf = len(split), sum(map(len, split.values())) / len(split), sum(term in ws for ws in split.values()), split[i].count(term)
+    return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(split[i]) / avgdl))
