@@ -226,3 +226,36 @@ def test_a_query_without_phrases_reads_no_positions(spark, corpus):
 def weight(split, i, term):
     n, avgdl, df, tf = len(split), sum(map(len, split.values())) / len(split), sum(term in ws for ws in split.values()), split[i].count(term)
     return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(split[i]) / avgdl))
+
+
+def test_recall_deals_postings_once(spark, corpus):
+    """Queries are sent to the blocks: the postings of their words move once, and then each task's best of every query."""
+    rows, index = corpus
+    asked = spark.createDataFrame([(q, ["all", f"mid{q % 30}", f"rare{q}"]) for q in range(40)], "query_id long, terms array<string>")
+    out = search.recall_batch(index, asked, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert search._scored_by_block(index, search._asked(asked), 5).count() <= 40 * 5 * parts
+    want = plain(rows, [(q, ["all", f"mid{q % 30}", f"rare{q}"]) for q in range(40)], 5)
+    assert {(r.query_id, r["rank"], r.id) for r in out.collect()} == {(q, n, i) for q, best in want.items() for n, (_, i) in enumerate(best, 1)}
+
+
+@pytest.mark.parametrize("products", [1, 4_000_000])
+def test_blocks_and_joins_answer_alike(spark, tmp_path, monkeypatch, products):
+    """Equal texts in many blocks, ids with two texts, words of no text, null words, queries that come twice; a few products at a time."""
+    rng = random.Random(3)
+    rows = [(i, "copy of a text") for i in range(-300, 900)] + [(i, " ".join(rng.choices("copy of a text and one more word".split(), k=rng.randrange(0, 9)))) for i in range(850, 1400)] + [(5000, None)]
+    index = search.build_index(spark.createDataFrame(rows, "id int, content string"), str(tmp_path / "index"))
+    queries = [("q", ["copy", "text", None]), ("q", ["copy"]), ("r", ["word", "one", "nowhere"]), ("s", ["nowhere"]), ("t", []), ("u", None), ("v", ["more", "and", "a"])]
+    asked = spark.createDataFrame(queries, "query_id string, terms array<string>")
+    once = spark.createDataFrame([("q", ["copy", "text"]), *queries[2:]], "query_id string, terms array<string>")
+    monkeypatch.setattr(search, "PRODUCTS", products)
+    found = search.recall_batch(index, asked, 7)
+    assert found.schema["id"].dataType.simpleString() == "int" and found.schema["rank"].dataType.simpleString() == "bigint"
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in found.collect())
+    assert {g[0] for g in got} == {"q", "r", "v"} and len(got) == 21
+    assert search.recall_batch(index, asked.where("query_id = 's'"), 7).count() == 0
+    monkeypatch.setattr(search, "BROADCAST_WORDS", 2)
+    joined = sorted((r.query_id, r["rank"], r.id, r.score) for r in search.recall_batch(index, once, 7).collect())
+    assert [g[:3] for g in got] == [j[:3] for j in joined] and [g[3] for g in got] == pytest.approx([j[3] for j in joined], abs=2e-6)
