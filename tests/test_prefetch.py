@@ -1,6 +1,8 @@
 """Automatic recall against plain Python: greedy folding, coverage, the budget, whole contexts."""
 
+import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 from memlake.functions import text as T
 from memlake.operators import labels, prefetch, rerank
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def folded(rows, jaccard=0.72, containment=0.86):
     kept = []
@@ -147,3 +151,70 @@ def test_slots_are_not_gathered_by_pairs_with_queries(spark):
     assert len(prefetch.slots(asked, slots, limit=9).where("query_id = 1").collect()) == 4
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("Aggregate" in line and "query_id" in line and "body" in line for line in plan)
+
+
+def plan_nodes(node):
+    yield node
+    children = node.children()
+    for i in range(children.size()):
+        yield from plan_nodes(children.apply(i))
+
+
+def test_slots_meet_queries_by_sets_of_words(spark):
+    """Slots that share a word with all queries are no rows of pairs, and are tokenised once."""
+    live = spark.createDataFrame([("m", f"ring_{i}", "gold", i / 200) for i in range(200)], "category string, name string, body string, confidence double")
+    asked = spark.createDataFrame([(q, f"the ring of king {q}") for q in range(40)], "query_id long, query string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = prefetch.slots(asked, live, limit=3)
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.query_id, {})[r.position] = r.name
+        plan = list(plan_nodes(out._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {q: {1: "ring_199", 2: "ring_198", 3: "ring_197"} for q in range(40)}
+    joined = [n.metrics().get("numOutputRows").get().value() for n in plan if "Join" in n.nodeName()]
+    assert joined and max(joined) <= 200
+    assert not any("Filter" in line and "regexp_extract_all" in line and "concat_ws" in line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+@pytest.mark.parametrize("words", [100_000, 5])
+def test_slots_match_plain_python(spark, monkeypatch, words):
+    """Copies, missing fields and confidences, several rows of a query, with the queries' words sent to the slots and not."""
+    monkeypatch.setattr(prefetch, "BROADCAST_WORDS", words)
+    rng = random.Random(4)
+    terms = [f"w{i:02d}" for i in range(12)]
+    live = [(rng.choice(["w00", "w01", None]), "-".join(rng.sample(terms, rng.randrange(1, 4))), rng.choice([None, "w02", "w03:w04"]), rng.choice([None, 0.1, 0.5, 0.5])) for _ in range(160)]
+    live += [r for r in live if rng.random() < 0.4]
+    asked = [(q % 20, " ".join(rng.sample(terms, rng.randrange(0, 6)))) for q in range(30)] + [(20, None)]
+    frames = spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(live, "category string, name string, body string, confidence double")
+    for limit, least in ((3, 1), (7, 3)):
+        got = {}
+        for r in prefetch.slots(*frames, limit=limit, least=least).collect():
+            got.setdefault(r.query_id, []).append((r.position, r.overlap, r.category, r.name))
+        for q in range(21):
+            own = {w for p, text in asked if p == q and text for w in text.split()}
+            met = [(len(own & {w for part in s[:3] if part for w in part.replace(":", "-").split("-")}) * live.count(s), s) for s in set(live)]
+            best = sorted((m for m in met if m[0] >= least), key=lambda m: (-m[0], m[1][3] is None, -(m[1][3] or 0), m[1][0] or "", m[1][1], m[1][2] or ""))
+            assert [(o, c, n) for _, o, c, n in sorted(got.get(q, []), key=lambda r: r[0])] == [(o, s[0], s[1]) for o, s in best[:limit]], q
+
+
+def test_lines_of_a_block_are_made_once(spark):
+    rows = [(q, p, f"line {q} {p}") for q in range(3) for p in range(2, 4 + q)]
+    frames = [spark.range(1).crossJoin(spark.createDataFrame(rows[n:], "query_id long, position long, line string")).drop("id") for n in range(3)]
+    out = prefetch.blocks(*frames)
+    heads = ["## Identity", "## Model", "## Memories"]
+    want = [(q, n, p, line) for n in range(3) for q, p, line in rows[n:]]
+    want += [(q, n, 0, heads[n]) for n in range(3) for q in {r[0] for r in rows[n:]}]
+    assert sorted(map(tuple, out.select("query_id", "block", "position", "line").collect())) == sorted(want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 3
+
+
+def test_memories_are_recalled_once(spark):
+    """What reads the recalled rows reads them as written, and doesn't recall them."""
+    from memlake.plans import prefetch as plans
+
+    if not Path(SF_DIR).is_dir():
+        pytest.skip("the test tables are not here")
+    assert "MapInArrow" not in plans.prefetch_blocks(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
